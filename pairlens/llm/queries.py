@@ -21,9 +21,16 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path, keep_ids=False).drop("ids")
 
 
+def op7_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import simhash_components
+
+    return simhash_components(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_pack_power_of_two": op1_pack_power_of_two,
     "op5_token_files": op5_token_files,
+    "op7_simhash_near_dup": op7_simhash_near_dup,
 }
 
 ORACLES: dict[str, str] = {}
