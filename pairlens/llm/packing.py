@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, utf8
+from .common import slices
 from .tokens import END_ID, default_tokenizer, encoder
 
 MAX_LEN = 4096
@@ -50,14 +50,18 @@ def pack_documents(
         from pyspark import TaskContext
 
         tokens, next_id = encoder(path), TaskContext.get().partitionId() << 40
-        for part in slices(batches, 256):
+        for part in slices(batches, 1024):
             rows: list[tuple] = []
-            for doc, ids in zip(part.column(0).to_pylist(), tokens.encode(utf8(part.column(1)), end_id)):
-                n, at = len(ids) // 4, 0
+            ids, sizes = tokens.encode(part.column(1), end_id)
+            data, begin = ids.astype("<u4").tobytes(), 0
+            for doc, n in zip(part.column(0).to_pylist(), sizes.tolist()):
+                at = 0
                 for length in lengths_of(n, max_len):
-                    rows.append((doc, at, length, ids[4 * at : 4 * (at + length)], n, next_id, 0, length.bit_length() - 1))
+                    here = 4 * (begin + at)
+                    rows.append((doc, at, length, data[here : here + 4 * length], n, next_id, 0, length.bit_length() - 1))
                     at += length
                     next_id += 1
+                begin += n
             names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "bucket"]
             types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)

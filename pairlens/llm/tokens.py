@@ -4,10 +4,11 @@ That tokenizer never builds a token across white space or across the border betw
 and other signs: its normaliser turns runs of white space into one space and lower-cases, its
 splitter cuts texts into runs of letters, single digits and runs of other signs, and each run
 is encoded by itself, its last token marked as a word's end.  So the ids of a text are the ids
-of its runs, one after another, and a cache from white-space-separated chunks to ids, above
-one from runs to ids, saves most of the encoding.  Chunks are taken apart here only where that
-is beyond doubt (letters up to U+00FF between ASCII signs, no apostrophe); all others go to
-the tokenizer as they are.  Only ASCII white space separates chunks.
+of its runs, one after another, and a cache from runs to ids saves most of the encoding.
+White-space-separated chunks are taken apart here only where that is beyond doubt (letters of
+``LETTERS`` between ASCII signs, no apostrophe); all others go to the tokenizer as they are.
+Only ASCII white space separates chunks.  Splitting, finding distinct chunks and runs, and
+putting ids together are done by Arrow and numpy; Python looks at each distinct run of a batch.
 """
 
 from __future__ import annotations
@@ -17,9 +18,13 @@ import os
 import numpy as np
 
 END_ID = 2
-CACHE_ENTRIES = 400_000
+#: Runs that a worker keeps; with them it stays within about 300 MB.
+RUNS = 300_000
 #: ASCII signs but the apostrophe, which the splitter treats on its own.
 SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Letters that are lower-case, composed and alone in their run of letters.
+LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
+_SIGNS, _LETTERS = frozenset(SIGNS), frozenset(LETTERS)
 
 
 def default_tokenizer() -> str:
@@ -28,94 +33,112 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def apart(chunk: str) -> list[str] | None:
-    """Runs that the tokenizer's splitter makes of a chunk, or None where that is not certain."""
-    tail = chunk.lstrip(SIGNS)
-    core = tail.rstrip(SIGNS)
-    if core and not (core.isalpha() and max(core) <= "\xff"):
-        return None
-    head = chunk[: len(chunk) - len(tail)]
-    return [x for x in (head, core.lower(), tail[len(core) :]) if x]
+class Cache:
+    """A bounded dict: what came first stays, as common entries come early, and later ones are
+    let go after use; when many have been turned away (the material has changed) it starts anew."""
 
+    def __init__(self, entries: int):
+        self.known: dict[str, bytes] = {}
+        self.entries, self.turned_away = entries, 0
+
+    def let_go(self, new: list[str]) -> None:
+        if len(self.known) > self.entries:
+            self.turned_away += len(new)
+            if self.turned_away > 20 * self.entries:
+                self.known.clear()
+                self.turned_away = 0
+            else:
+                for key in new:
+                    del self.known[key]
 
-class ChunkEncoder:
-    """Encodes UTF-8 texts to little-endian unsigned 32-bit ids; one per Python worker."""
 
-    def __init__(self, path: str, cache_entries: int = CACHE_ENTRIES):
+class RunEncoder:
+    """Encodes text columns to unsigned 32-bit ids; one per Python worker."""
+
+    def __init__(self, path: str, runs: int = RUNS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # for runs, which are normal already and joined by spaces
+        self.plain = Tokenizer.from_file(path)
+        self.plain.encode_special_tokens = True
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=False, use_regex=False)])
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
-        self.chunks: dict[bytes, bytes] = {}
-        self.runs: dict[str, bytes] = {}
-        self.cache_entries = cache_entries
-        self.turned_away = 0
+        self.runs = Cache(runs)
 
     def _encode_each(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _encode_runs(self, runs: list[str]) -> list[bytes]:
-        """Runs by one call: joined by spaces, and cut after each token that ends a word."""
-        (e,) = self.tokenizer.encode_batch_fast([" ".join(runs)], add_special_tokens=False)
+        """Plain runs by one call, cut after each token that ends a word."""
+        (e,) = self.plain.encode_batch_fast([" ".join(runs)], add_special_tokens=False)
         ids = np.array(e.ids, dtype="<u4")
-        cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        cuts = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
         if len(cuts) != len(runs):
             return self._encode_each(runs)
-        data, at, out = ids.tobytes(), 0, []
-        for end in cuts.tolist():
-            out.append(data[at:end])
-            at = end
-        return out
-
-    def _learn(self, chunks: list[bytes]) -> dict[bytes, bytes]:
-        known, parts, whole = self.runs, {}, []
-        for chunk in chunks:
-            runs = apart(chunk.decode("utf-8", "replace"))
-            if runs is None:
-                whole.append(chunk)
-            else:
-                parts[chunk] = runs
-        missing = list({r for runs in parts.values() for r in runs if r not in known})
-        if len(known) + len(missing) > self.cache_entries:
-            known = self.runs = {}
-            missing = list({r for runs in parts.values() for r in runs})
-        for at in range(0, len(missing), 1000):
-            some = missing[at : at + 1000]
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *cuts], cuts)]
+
+    def _learn(self, runs: list[str]) -> None:
+        known, plain, other = self.runs.known, [], []
+        for r in runs:
+            (plain if _LETTERS.issuperset(r) or _SIGNS.issuperset(r) else other).append(r)
+        for at in range(0, len(plain), 1000):
+            some = plain[at : at + 1000]
             known.update(zip(some, self._encode_runs(some)))
-        found = {chunk: b"".join([known[r] for r in runs]) for chunk, runs in parts.items()}
-        if whole:
-            found.update(zip(whole, self._encode_each([c.decode("utf-8", "replace") for c in whole])))
-        return found
-
-    def encode(self, texts: list[bytes], end_id: int = END_ID) -> list[bytes]:
-        """The ids of each text, then ``end_id``."""
-        cache, split = self.chunks, [t.split() for t in texts]
-        missing = [c for c in set().union(*split) if c not in cache]
-        found = self._learn(missing) if missing else {}
-        cache.update(found)
-        end = np.array([end_id], dtype="<u4").tobytes()
-        get = cache.__getitem__
-        out = [b"".join(map(get, chunks)) + end for chunks in split]
-        if len(cache) > self.cache_entries:
-            # What came first stays, as common chunks come early; a change of material starts anew.
-            self.turned_away += len(found)
-            if self.turned_away > 8 * self.cache_entries:
-                cache.clear()
-                self.turned_away = 0
-            else:
-                for c in found:
-                    del cache[c]
-        return out
-
-
-_ENCODERS: dict[str, ChunkEncoder] = {}
-
-
-def encoder(path: str) -> ChunkEncoder:
+        if other:
+            known.update(zip(other, self._encode_each(other)))
+
+    def encode(self, texts, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of an Arrow string column, each followed by ``end_id``, and the ids of each text.
+
+        Null reads as empty.
+        """
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        # lower-casing ASCII first changes no id, and makes fewer chunks
+        chunks = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        ends = chunks.offsets.to_numpy()[1:] - chunks.offsets[0].as_py()
+        coded = chunks.flatten().dictionary_encode()
+        whole = coded.dictionary
+        # signs, letters, signs; a chunk that is not of that kind is left whole
+        led, trailed = pc.ascii_ltrim(whole, SIGNS), pc.ascii_rtrim(whole, SIGNS)
+        core, head, tail = pc.ascii_rtrim(led, SIGNS), pc.utf8_rtrim(trailed, LETTERS), pc.utf8_ltrim(led, LETTERS)
+        fits = pc.equal(pc.binary_length(whole), pc.add(pc.add(pc.binary_length(head), pc.binary_length(core)), pc.binary_length(tail)))
+        fits = pc.and_(fits, pc.equal(pc.utf8_ltrim(core, LETTERS), ""))
+        core, head, tail = pc.if_else(fits, core, whole), pc.if_else(fits, head, ""), pc.if_else(fits, tail, "")
+        parts = pa.chunked_array([head, core, tail]).combine_chunks().dictionary_encode()
+        runs, known = parts.dictionary.to_pylist(), self.runs.known
+        if missing := [r for r in runs if r not in known]:
+            self._learn(missing)
+        found = [known[r] for r in runs]
+        self.runs.let_go(missing)
+        flat = np.frombuffer(b"".join(found) + np.array([end_id], dtype="<u4").tobytes(), dtype="<u4")
+        sizes = np.append(np.fromiter(map(len, found), np.int64, len(found)) // 4, [1, 0])
+        starts = np.cumsum(sizes) - sizes
+        n = len(whole)
+        of = np.zeros((n + 1, 3), dtype=np.int32)
+        of[:n] = parts.indices.to_numpy().reshape(3, n).T
+        of[n] = len(runs), len(runs) + 1, len(runs) + 1  # the end of a text
+        which = of[np.insert(coded.indices.to_numpy(), ends, n)].ravel()
+        long = sizes[which]
+        at = np.cumsum(long)
+        place = np.repeat(starts[which] - (at - long), long)
+        place += np.arange(len(place))
+        last = at[3 * (ends + np.arange(len(ends))) + 2]
+        return flat[place], np.diff(last, prepend=0)
+
+
+_ENCODERS: dict[str, RunEncoder] = {}
+
+
+def encoder(path: str) -> RunEncoder:
     if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
+        _ENCODERS[path] = RunEncoder(path)
     return _ENCODERS[path]
