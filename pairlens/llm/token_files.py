@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import slices, utf8
+from .common import slices
 from .tokens import END_ID, default_tokenizer, encoder
 
 MAGIC = b"S8BWORD1"
@@ -40,6 +40,21 @@ def _widths(ids: np.ndarray) -> np.ndarray:
     return out
 
 
+_COUNTS = np.array([c for c, _ in PACKS] + [1], dtype=np.int64)
+
+
+def _choose(ahead: np.ndarray, room: np.ndarray, first: int) -> np.ndarray:
+    """The first selector from ``first`` on that takes what stands ahead of each position."""
+    if int(room.min()) < ahead.shape[1]:
+        ahead = np.where(np.arange(ahead.shape[1]) < room[:, None], ahead, 0)
+    widest = np.maximum.accumulate(ahead, axis=1)
+    kind = np.full(len(room), ESCAPE, dtype=np.int64)
+    for s in range(len(PACKS) - 1, first - 1, -1):
+        count, bits = PACKS[s]
+        kind[widest[:, count - 1] <= bits] = s
+    return kind
+
+
 _SMALL = _widths(np.arange(1 << 16, dtype=np.uint64))
 
 
@@ -53,28 +68,25 @@ def encode_ids(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndar
     width = _SMALL[ids] if int(ids.max()) < 1 << 16 else _widths(ids)
     room = block - np.arange(n, dtype=np.int32) % block
     room[(blocks - 1) * block :] = n - np.arange((blocks - 1) * block, n, dtype=np.int32)
-    choice, take = np.full(n, ESCAPE, dtype=np.uint8), np.ones(n, dtype=np.int32)
-    open_ = np.ones(n, dtype=bool)
-    for s, (count, bits) in enumerate(PACKS):
-        wide = np.flatnonzero(width > bits)
-        if len(wide) == n:
-            continue
-        # ids until the next one that is too wide
-        gap = np.full(n + 1, n, dtype=np.int64)
-        gap[wide] = wide
-        run = np.minimum.accumulate(gap[::-1])[::-1][:n] - np.arange(n)
-        fits = open_ & (run >= np.minimum(count, room))
-        choice[fits] = s
-        take[fits] = np.minimum(count, room[fits])
-        open_ &= ~fits
-    starts, at, alive = [], np.arange(blocks, dtype=np.int64) * block, np.arange(blocks)
+    padded = np.concatenate([width, np.zeros(PACKS[0][0], dtype=np.uint8)])
+    ahead = np.lib.stride_tricks.sliding_window_view(padded, PACKS[0][0])
+    starts, kinds, takes = [], [], []
+    at, alive = np.arange(blocks, dtype=np.int64) * block, np.arange(blocks)
     end = np.minimum(at + block, n)
     while len(alive):
-        starts.append(at[alive])
-        at[alive] += take[at[alive]]
-        alive = alive[at[alive] < end[alive]]
-    first = np.sort(np.concatenate(starts))
-    kind = choice[first]
+        begin, room = at[alive], end[alive] - at[alive]
+        kind = _choose(ahead[begin, :12], room, 4)
+        if len(few := np.flatnonzero(kind == 4)):  # ids of 5 bits at most: more may fit
+            kind[few] = _choose(ahead[begin[few]], room[few], 0)
+        take = np.minimum(_COUNTS[kind], room)
+        starts.append(begin)
+        kinds.append(kind)
+        takes.append(take)
+        at[alive] += take
+        alive = alive[take < room]
+    first = np.concatenate(starts)
+    order = np.argsort(first)
+    first, kind, taken = first[order], np.concatenate(kinds)[order], np.concatenate(takes)[order]
     place = np.concatenate([[0], np.cumsum(1 + (kind == ESCAPE))])
     words = np.zeros(place[-1], dtype=np.uint64)
     for s, (count, bits) in enumerate(PACKS):
@@ -82,11 +94,12 @@ def encode_ids(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndar
         if not len(mine):
             continue
         word = np.full(len(mine), s << 60, dtype=np.uint64)
-        begin, have = first[mine], take[first[mine]]
+        begin, have = first[mine], taken[mine]
+        short = np.flatnonzero(have < count)
         for j in range(count):
-            there = have > j
             value = ids[np.minimum(begin + j, n - 1)]
-            word |= np.where(there, value, np.uint64(0)) << np.uint64(j * bits)
+            value[short[have[short] <= j]] = 0
+            word |= value << np.uint64(j * bits)
         words[place[mine]] = word
     escaped = np.flatnonzero(kind == ESCAPE)
     words[place[escaped]] = np.uint64(ESCAPE << 60)
@@ -126,7 +139,7 @@ def decode_ids(words: np.ndarray, offsets: np.ndarray, n: int, block: int = BLOC
     return out
 
 
-def build_image(docs: list[int | None], lengths: list[int], ids: np.ndarray, block: int = BLOCK) -> bytes:
+def build_image(docs: list[int | None], lengths, ids: np.ndarray, block: int = BLOCK) -> bytes:
     words, offsets = encode_ids(ids, block)
     head = np.array([len(docs), len(ids), block, len(words)], dtype="<i8")
     given = np.array([d is not None for d in docs], dtype=np.uint8)
@@ -167,25 +180,27 @@ def write_token_files(
 
         tokens, part = encoder(tok), TaskContext.get().partitionId()
         docs: list = []
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
         base = size = 0
 
         def image():
-            ids = np.frombuffer(b"".join(held), dtype="<u4")
-            data = build_image(docs, [len(x) // 4 for x in held], ids)
+            ids = np.concatenate(held)
+            data = build_image(docs, np.concatenate(sizes), ids)
             return pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([base], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([data], pa.binary())], names=["part", "base", "n_ids", "image"]
             )
 
-        for some in slices(batches, 128):
-            for doc, ids in zip(some.column(0).to_pylist(), tokens.encode(utf8(some.column(1)), end_id)):
-                docs.append(doc)
-                held.append(ids)
-                size += len(ids) // 4
-                if size >= image_ids:
-                    yield image()
-                    base += size
-                    docs, held, size = [], [], 0
+        for some in slices(batches, 1024):
+            ids, lengths = tokens.encode(some.column(1), end_id)
+            docs += some.column(0).to_pylist()
+            held.append(ids)
+            sizes.append(lengths)
+            size += len(ids)
+            if size >= image_ids:
+                yield image()
+                base += size
+                docs, held, sizes, size = [], [], [], 0
         if held:
             yield image()
 
