@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import read_table, scratch_path
 
@@ -27,10 +28,34 @@ def op7_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read_table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import identify, learn_dictionaries, learning_rows
+
+    docs = read_table(spark, sf_dir, "documents")
+    learn_from = learning_rows(F.col("doc_id"))
+    dictionaries = learn_dictionaries(docs.where(learn_from))
+    found = identify(docs.select("doc_id", "text"), dictionaries)
+    return found.select("doc_id", (~learn_from).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import learning_rows
+    from .toxicity import learn, score_toxicity
+
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    learn_from = learning_rows(F.col("doc_id"))
+    labelled = docs.select("doc_id", "text").where(learn_from).join(labels.select("doc_id", "toxic").where(learn_from), "doc_id")
+    found = score_toxicity(docs.select("doc_id", "text"), learn(labelled), passages=False)
+    score = F.col("toxic_score")
+    return found.select("doc_id", (~learn_from).alias("held_out"), score.alias("score"), (score >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_pack_power_of_two": op1_pack_power_of_two,
     "op5_token_files": op5_token_files,
     "op7_simhash_near_dup": op7_simhash_near_dup,
+    "op9_language_id": op9_language_id,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
