@@ -22,12 +22,24 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path, keep_ids=False).drop("ids")
 
 
+def op6_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find_leaks
+
+    return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op7_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash_components
 
     return simhash_components(read_table(spark, sf_dir, "documents"))
 
 
+def op8_media_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import feature, read_media, store_media
+
+    return read_media(store_media(read_table(spark, sf_dir, "documents"))).withColumn("feature", feature()).drop("clips")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import identify, learn_dictionaries, learning_rows
 
@@ -53,7 +65,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_pack_power_of_two": op1_pack_power_of_two,
     "op5_token_files": op5_token_files,
+    "op6_benchmark_leaks": op6_benchmark_leaks,
     "op7_simhash_near_dup": op7_simhash_near_dup,
+    "op8_media_avi": op8_media_avi,
     "op9_language_id": op9_language_id,
     "op10_toxicity": op10_toxicity,
 }
