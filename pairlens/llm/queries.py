@@ -14,6 +14,13 @@ def op1_pack_power_of_two(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(pack_documents(read_table(spark, sf_dir, "documents")))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import example_findings, find_secrets, secret_rows, train_forest
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return secret_rows(find_secrets(docs, train_forest(example_findings(spark))))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import read_token_files, write_token_files
 
@@ -64,6 +71,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_pack_power_of_two": op1_pack_power_of_two,
+    "op4_secret_scan": op4_secret_scan,
     "op5_token_files": op5_token_files,
     "op6_benchmark_leaks": op6_benchmark_leaks,
     "op7_simhash_near_dup": op7_simhash_near_dup,
