@@ -1,0 +1,57 @@
+"""Regions of units: windows, anchors, caps, and rows that enclose or overlap others."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def line_context(rows: DataFrame, group: list[str], order: str, value: Column, around: int = 2) -> DataFrame:
+    """Each row with first and last neighbour within ``around`` rows, their number, and the sum of ``value``."""
+    w = Window.partitionBy(*group).orderBy(order).rowsBetween(-around, around)
+    return rows.select(*group, order, F.min(order).over(w).alias("first"), F.max(order).over(w).alias("last"), F.count(F.lit(1)).over(w).alias("n"), F.sum(value).over(w).alias("total"))
+
+
+def enclosing(points: DataFrame, spans: DataFrame, group: str, at: str = "at", start: str = "start", end: str = "end", width: int = 3600) -> DataFrame:
+    """Every (point, span) with start <= at <= end in the same group.
+
+    Spans are cut into bins of ``width``, so this is an equality join on (group, bin): no pair
+    is looked at that doesn't share a bin, and a hot group is dealt over its bins.
+    """
+    binned = spans.select("*", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))).alias("_bin"))
+    cut = points.select("*", F.floor(F.col(at) / width).alias("_bin"))
+    return cut.join(binned, [group, "_bin"]).where((F.col(start) <= F.col(at)) & (F.col(at) <= F.col(end))).drop("_bin")
+
+
+def innermost(pairs: DataFrame, point: str, start: str = "start", end: str = "end", key: str = "span_id") -> DataFrame:
+    """Of the spans around each point the shortest, ties to the smaller key."""
+    rest = [c for c in pairs.columns if c != point]
+    return pairs.groupBy(point).agg(F.min_by(F.struct(*rest), F.struct(F.col(end) - F.col(start), F.col(key))).alias("_r")).select(point, "_r.*")
+
+
+def overlapping(a: DataFrame, b: DataFrame, group: str, width: int = 3600) -> DataFrame:
+    """Pairs of spans (a_start, a_end) and (b_start, b_end) of a group that share a point, once each.
+
+    Both are cut into bins; a pair counts in the bin where the later of both begins.
+    """
+    x = a.select("*", F.explode(F.sequence(F.floor(F.col("a_start") / width), F.floor(F.col("a_end") / width))).alias("_bin"))
+    y = b.select("*", F.explode(F.sequence(F.floor(F.col("b_start") / width), F.floor(F.col("b_end") / width))).alias("_bin"))
+    hit = (F.col("a_start") <= F.col("b_end")) & (F.col("b_start") <= F.col("a_end")) & (F.floor(F.greatest("a_start", "b_start") / width) == F.col("_bin"))
+    return x.join(y, [group, "_bin"]).where(hit).drop("_bin")
+
+
+def informative(tokens: Column, granularity: Column, nodes: Column, names: Column) -> Column:
+    """Named calls, members or literals make any region informative; else it takes 12 tokens (context, function), or 6 tokens and 4 nodes."""
+    n = F.size(tokens)
+    return (names > 0) | F.when(granularity.isin("context", "function"), n >= 12).otherwise((n >= 6) & (nodes >= 4))
+
+
+def capped(regions: DataFrame, unit: str, target: str, order: list, cap: int) -> DataFrame:
+    """The first regions of a unit: whole targets are added until one less than ``cap`` is reached, and the list is then cut to ``cap``.
+
+    The unit's own last region comes after all targets, so it is left out where the targets reach the limit.
+    """
+    w = Window.partitionBy(unit).orderBy(*order)
+    numbered = regions.select("*", F.row_number().over(w).alias("n"))
+    before = F.coalesce(F.max(F.when(F.col("n") >= 0, F.col("n"))).over(Window.partitionBy(unit).orderBy(target).rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return numbered.select("*", before.alias("_before")).where((F.col("_before") < cap - 1) & (F.col("n") <= cap)).drop("_before")
