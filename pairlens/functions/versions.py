@@ -94,4 +94,4 @@ def in_range(version: Column, spec: str) -> Column:
             c = _comparator(key, t.strip())
             hit = c if hit is None else hit & c
         out = hit if out is None else out | hit
-    return F.coalesce(out, F.lit(False))
+    return key.isNotNull() & F.coalesce(out, F.lit(False))

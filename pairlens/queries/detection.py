@@ -292,3 +292,34 @@ def diagnostic_diff(t: Tables):
     rows = labelled(t).select("doc_id", "source", T.lines_of(F.col("text")).alias("a"))
     rows = rows.withColumn("b", F.lead("a").over(Window.partitionBy("source").orderBy("doc_id"))).where("b IS NOT NULL")
     return rows.select("doc_id", F.inline(K.diff_udf()("a", "b"))).groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("text")).alias("chars"))
+
+
+def sample_files(t: Tables):
+    from ..functions.samples import PAIRS
+    from ..operators.units import scripts_of
+
+    own = t.spark.createDataFrame([(f"{side}/{name}.js", text) for name, *pair in PAIRS for side, text in zip(("vulnerable", "patched"), pair)], "path string, content string")
+    return scripts_of(t.pages).unionByName(own)
+
+
+@query()
+def js_functions(t: Tables):
+    """Functions of the pages' scripts and of the sample pairs."""
+    from ..operators.units import extract_units
+
+    return extract_units(sample_files(t)).drop("source")
+
+
+@query()
+def js_fingerprint(t: Tables):
+    from ..operators.units import extract_units, with_fingerprints
+
+    return with_fingerprints(extract_units(sample_files(t))).select("unit_id", "name", "native", "exact", "abstracted", "abstracted_length")
+
+
+@query()
+def js_regions(t: Tables):
+    from ..operators.units import candidate_regions, extract_units
+
+    r = candidate_regions(extract_units(sample_files(t)))
+    return r.select("unit_id", "region_id", "granularity", "start_line", "end_line", F.size("tokens").alias("n_tokens"), F.array_join("calls", ",").alias("calls"))
