@@ -7,35 +7,22 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.scratch import materialise, shared_dir
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+__all__ = ["drop_scratch", "materialise", "read_table", "scratch_path", "shared_dir", "slices", "utf8"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset (tests on
-    one machine) a folder beside the warehouse is used.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", "") or ""
-    return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/pairlens-{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def drop_scratch(spark: SparkSession, path: str) -> None:
-    """Remove a folder that :func:`materialise` has written, through Spark's own file system."""
+    """Remove a folder of the shared one, through Spark's own file system."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 

@@ -76,7 +76,10 @@ def shingle_hashes(words: str, size: int = SHINGLE) -> Column:
 
 
 def signature(hashes: Column, bands: int = BANDS) -> Column:
-    return F.array(*[F.array_min(F.transform(hashes, lambda h, j=j: F.xxhash64(h, F.lit(j)))) for j in range(bands)])
+    def band(j: int) -> Column:
+        return F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, F.lit(j))))
+
+    return F.array(*[band(j) for j in range(bands)])
 
 
 def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
