@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import js
+from .batches import flat_map
 
 UNITS = "path string, unit_id string, name string, node_type string, start_line int, end_line int, start_byte int, end_byte int, source string, function_hash string"
 STRINGS = T.ArrayType(T.StringType())
@@ -17,14 +16,10 @@ STRINGS = T.ArrayType(T.StringType())
 def extract_units(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """One row per function of ``files(path, content)``; invalid and null contents give none."""
 
-    def run(frames) -> Iterator:
-        import pandas as pd
-
-        for pdf in frames:
-            rows = [{"path": p, **u} for p, c in zip(pdf["path"], pdf["content"]) if c for u in js.unit_rows(p, c)]
-            yield pd.DataFrame(rows, columns=[f.split()[0] for f in UNITS.split(", ")])
+    def run(r: dict) -> list[dict]:
+        return [{"path": r["path"], **u} for u in js.unit_rows(r["path"], r["content"])] if r["content"] else []
 
-    return files.select(F.col(path).alias("path"), F.col(content).cast("string").alias("content")).mapInPandas(run, UNITS)
+    return flat_map(files.select(F.col(path).alias("path"), F.col(content).cast("string").alias("content")), run, UNITS)
 
 
 def with_fingerprints(units: DataFrame, source: str = "source") -> DataFrame:
@@ -49,17 +44,11 @@ def candidate_regions(units: DataFrame, cap: int = 96) -> DataFrame:
         + [T.StructField(n, STRINGS) for n in ("ast_shape", "tokens", "calls", "member_accesses", "identifiers", "literals")]
     )
 
-    def run(frames) -> Iterator:
-        import pandas as pd
-
-        for pdf in frames:
-            rows = []
-            for unit, source in zip(pdf["unit_id"], pdf["source"]):
-                if source and js.valid(source):
-                    rows += [{"unit_id": unit, **r} for r in js.regions(source, unit, cap)]
-            yield pd.DataFrame(rows, columns=schema.names)
+    def run(r: dict) -> list[dict]:
+        source = r["source"]
+        return [{"unit_id": r["unit_id"], **x} for x in js.regions(source, r["unit_id"], cap)] if source and js.valid(source) else []
 
-    return units.select("unit_id", "source").mapInPandas(run, schema)
+    return flat_map(units.select("unit_id", "source"), run, schema)
 
 
 def scripts_of(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:

@@ -6,12 +6,13 @@ Network sources are landed as files first; the readers are lazy and prune column
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import SOURCE_FILE
+from ..operators.batches import flat_map
 from ..operators.state import SKIPPED
 
 REPORT_VERSION = "pairlens_scan_v1"
@@ -91,38 +92,33 @@ def read_verified(spark: SparkSession, path: str, digests: DataFrame) -> DataFra
 def extract_tars(artifacts: DataFrame, max_members: int = 50_000, max_bytes: int = 512 * 1024 * 1024) -> DataFrame:
     """Members of gzip tar files: plain files at relative paths inside.  An archive that breaks a rule gives one row with its problem."""
 
-    def run(frames) -> Iterator:
+    def run(r: dict) -> list[dict]:
         import io
         import tarfile
 
-        import pandas as pd
-
-        for pdf in frames:
-            for name, content in zip(pdf["name"], pdf["content"]):
-                rows: list[tuple] = []
-                try:
-                    if content is None:
-                        raise ValueError("no content")
-                    total = 0
-                    with tarfile.open(fileobj=io.BytesIO(content), mode="r:gz") as tar:
-                        for n, m in enumerate(tar):
-                            if n >= max_members:
-                                raise ValueError("too many members")
-                            if m.name.startswith("/") or ".." in m.name.split("/"):
-                                raise ValueError("unsafe path")
-                            if m.isdir():
-                                continue
-                            if not m.isfile():
-                                raise ValueError("not a plain file")
-                            total += m.size
-                            if total > max_bytes:
-                                raise ValueError("too large")
-                            rows.append((name, m.name, tar.extractfile(m).read(), None))
-                except (ValueError, OSError, EOFError, tarfile.TarError) as e:
-                    rows = [(name, None, None, str(e) or type(e).__name__)]
-                yield pd.DataFrame(rows, columns=["archive", "path", "content", "problem"])
-
-    return artifacts.select("name", "content").mapInPandas(run, "archive string, path string, content binary, problem string")
+        name, content, rows, total = r["name"], r["content"], [], 0
+        try:
+            if content is None:
+                raise ValueError("no content")
+            with tarfile.open(fileobj=io.BytesIO(content), mode="r:gz") as tar:
+                for n, m in enumerate(tar):
+                    if n >= max_members:
+                        raise ValueError("too many members")
+                    if m.name.startswith("/") or ".." in m.name.split("/"):
+                        raise ValueError("unsafe path")
+                    if m.isdir():
+                        continue
+                    if not m.isfile():
+                        raise ValueError("not a plain file")
+                    total += m.size
+                    if total > max_bytes:
+                        raise ValueError("too large")
+                    rows.append({"archive": name, "path": m.name, "content": tar.extractfile(m).read()})
+        except (ValueError, OSError, EOFError, tarfile.TarError) as e:
+            return [{"archive": name, "problem": str(e) or type(e).__name__}]
+        return rows
+
+    return flat_map(artifacts.select("name", "content"), run, "archive string, path string, content binary, problem string", rows=1)
 
 
 def prune_artifact(files: DataFrame, archive: str = "archive") -> DataFrame:
