@@ -6,13 +6,35 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLAIMED: dict[str, list[str]] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``; only where it is unset, a folder in the warehouse."""
     return spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
 
 
+def claim(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which :func:`release` removes."""
+    path = f"{shared_dir(spark)}/pairlens-{name}-{uuid.uuid4().hex}"
+    _CLAIMED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    path = f"{shared_dir(df.sparkSession)}/pairlens-{name}-{uuid.uuid4().hex}"
+    """Write a table to the shared folder and read it again; it survives lost executors."""
+    path = claim(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def claimed(spark: SparkSession) -> list[str]:
+    return list(_CLAIMED.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, *kept: str) -> None:
+    """Remove this application's claimed paths but those to keep.  Frames that read them are of no use afterwards."""
+    for path in [p for p in claimed(spark) if p not in kept]:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        _CLAIMED[spark.sparkContext.applicationId].remove(path)

@@ -196,3 +196,15 @@ def test_manifest_owner(spark):
     f = spark.createDataFrame([("a/b/c.js",), ("x.js",)], "path string")
     m = spark.createDataFrame([("", "root"), ("a", "inner")], "folder string, name string")
     assert {(r["path"], r["name"]) for r in S.owning_manifest(f, m).collect()} == {("a/b/c.js", "inner"), ("x.js", "root")}
+
+
+def test_scratch_tables_are_released(spark):
+    import os
+
+    from pairlens.plans import scratch
+
+    kept, gone = scratch.materialise(spark.range(3), "kept"), scratch.materialise(spark.range(4), "gone")
+    paths = scratch._CLAIMED[spark.sparkContext.applicationId][-2:]
+    scratch.release(spark, paths[0])
+    assert kept.count() == 3 and gone is not None
+    assert [os.path.isdir(p.removeprefix("file://")) for p in paths] == [True, False]
