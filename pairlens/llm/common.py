@@ -2,31 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..plans.scratch import materialise, shared_dir
+from ..plans.scratch import claim as scratch_path
+from ..plans.scratch import claimed, materialise, release, shared_dir
 
-
-__all__ = ["drop_scratch", "materialise", "read_table", "scratch_path", "shared_dir", "slices", "utf8"]
+__all__ = ["claimed", "materialise", "read_table", "release", "scratch_path", "shared_dir", "slices", "utf8"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/pairlens-{name}-{uuid.uuid4().hex}"
-
-
-def drop_scratch(spark: SparkSession, path: str) -> None:
-    """Remove a folder of the shared one, through Spark's own file system."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def slices(batches, rows: int) -> Iterator:
     """Cut Arrow batches so that what one step holds in memory stays small."""
     for batch in batches:
