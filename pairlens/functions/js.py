@@ -502,3 +502,27 @@ def compare_forms(candidate: str | None, vulnerable: str | None, patched: str |
     if None in (candidate, vulnerable, patched) or vulnerable == patched:
         return None
     return "vulnerable" if candidate == vulnerable else "patched" if candidate == patched else None
+
+
+WRAPPERS = (("", ""), ("class W {\n", "\n}"), ("function w() {\n", "\n}"), ("(", ")"))
+
+
+def expand(source: str) -> str:
+    """One-line code broken after braces and semicolons outside of brackets, so that lines tell statements apart."""
+    s = Script(source)
+    out, at = [], 0
+    for i, t in enumerate(s.tokens):
+        out.append(source[at : t.end])
+        at = t.end
+        round_ = s.inside[i] >= 0 and s.text(s.inside[i]) in ("(", "[")
+        if t.text in ("{", "}", ";") and t.kind == "sign" and not round_ and not source[at:].lstrip(" \t").startswith("\n"):
+            out.append("\n")
+    return "".join(out) + source[at:]
+
+
+def wrapped(source: str) -> tuple[str, int, int] | None:
+    """The text in the first wrapper that makes it valid, with the wrapper's lines and bytes to subtract."""
+    for head, tail in WRAPPERS:
+        if valid(head + source + tail) and (head or functions(Script(source)) or not re.match(r"\s*(async\s+)?[\w$]+\s*\([^)]*\)\s*\{", source)):
+            return head + source + tail, head.count("\n"), len(head.encode())
+    return None

@@ -150,3 +150,43 @@ def transitions(before: DataFrame, after: DataFrame, key: str, value: str) -> Da
 def three_way(vulnerable_ran: Column, patched_ran: Column, originals_differ: Column, equals_side: Column) -> Column:
     """Outcome of running both originals and a candidate."""
     return F.when(~(vulnerable_ran & patched_ran), "originals_failed").when(~originals_differ, "not_distinguishing").when(equals_side, "behaviour_confirmed").otherwise("behaviour_changed")
+
+
+def expected_rank(hits: DataFrame, expected: DataFrame, case: str = "case_id", identity: list[str] | None = None) -> DataFrame:
+    """First rank at which a case's expected origin, or an alias of it, was found; null for misses."""
+    identity = identity or ["origin"]
+    found = hits.join(expected, [case, *identity], "left_semi").groupBy(case).agg(F.min("rank").alias("rank"))
+    return expected.select(case).distinct().join(found, case, "left")
+
+
+def tool_scores(cases: DataFrame, executions: DataFrame, findings: DataFrame) -> DataFrame:
+    """Per tool: detections and false alarms of completed runs; failures and untouched targets apart.
+
+    ``cases``: case_id, expected, path, start_line, end_line, cwe.  ``executions``: tool, case_id,
+    completed, target_extracted.  ``findings``: tool, case_id, path, start_line, end_line, cwe.
+    A finding counts where it overlaps the target's lines and names its weakness.
+    """
+    hit = findings.select("tool", "case_id", F.col("path").alias("p"), F.col("start_line").alias("a"), F.col("end_line").alias("b"), F.col("cwe").alias("c"))
+    on = (F.col("p") == F.col("path")) & (F.col("a") <= F.col("end_line")) & (F.col("b") >= F.col("start_line")) & (F.col("c") == F.col("cwe"))
+    flagged = hit.join(cases, "case_id").where(on).select("tool", "case_id").distinct().withColumn("flagged", F.lit(True))
+    rows = executions.join(cases, "case_id").join(flagged, ["tool", "case_id"], "left").withColumn("flagged", F.coalesce("flagged", F.lit(False)))
+    done, pos = F.col("completed"), F.col("expected") == "flagged"
+    return rows.groupBy("tool").agg(
+        F.count(F.lit(1)).alias("cases"),
+        F.count_if(~done).alias("errors"),
+        share(F.count_if(done & F.col("target_extracted")), F.count_if(done)).alias("coverage"),
+        share(F.count_if(done & pos & F.col("flagged")), F.count_if(done & pos)).alias("recall"),
+        share(F.count_if(done & ~pos & F.col("flagged")), F.count_if(done & ~pos)).alias("false_alarm_rate"),
+    )
+
+
+def study_metrics(rows: DataFrame, group: list[str]) -> DataFrame:
+    """One line per arm: decisions, reviews, ranks and costs of its cases (``expected, priority, rank, regions, seconds``)."""
+    o = rows.withColumn("outcome", outcome(F.col("expected"), F.col("priority")))
+    n = lambda v: F.count_if(F.col("outcome") == v)
+    tp, fn, fp, tn = n("true_positive"), n("false_negative"), n("false_positive"), n("true_negative")
+    all_ = F.count(F.lit(1))
+    return o.groupBy(*group).agg(
+        all_.alias("cases"), share(tp, tp + fn).alias("recall"), share(tp, tp + fp).alias("precision"), share(fp, fp + tn).alias("false_positive_rate"), share(n("abstained_positive") + n("abstained_negative"), all_).alias("review_rate"),
+        share(F.count_if(F.col("rank") <= 5), all_).alias("recall_at_5"), share(F.sum(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))), all_).alias("mrr"), F.round(F.avg("regions"), 6).alias("mean_regions"), F.round(F.sum("seconds"), 4).alias("seconds"),
+    )

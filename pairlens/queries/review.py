@@ -140,3 +140,56 @@ def commit_pairs(t: Tables):
     rows += [("none", "src/n.js", None, "function a() {}", ""), ("same", "src/s.js", "let a = 1;", "let a = 1;", ""), ("layout", "src/l.js", "let a = 1;", "let a  =  1;", ""), ("broken", "src/b.js", "let a = {", "let a;", "")]
     df = t.spark.createDataFrame(rows, "sha string, path string, before string, after string, patch string")
     return X.pairs_of_commits(df).select("sha", "path", "name", "changed_lines", "change_kind", "reason_code")
+
+
+@query("""
+WITH e AS (SELECT event_type AS arm, CASE WHEN event_id % 2 = 0 THEN 'flagged' ELSE 'cleared' END AS expected, CASE WHEN event_id % 7 = 0 THEN 'manual_review' WHEN event_id % 5 IN (0, 2) THEN 'automatic_vulnerability' ELSE 'none' END AS priority,
+  CASE WHEN event_id % 3 > 0 THEN 1 + event_id % 9 END AS rank, user_id % 40 AS regions, value AS seconds FROM events),
+o AS (SELECT *, CASE WHEN priority = 'automatic_vulnerability' THEN CASE WHEN expected = 'flagged' THEN 'tp' ELSE 'fp' END WHEN priority = 'manual_review' THEN 'a' ELSE CASE WHEN expected = 'flagged' THEN 'fn' ELSE 'tn' END END AS o FROM e)
+SELECT arm, count(*) AS cases, round(count(*) FILTER (WHERE o = 'tp') / nullif(count(*) FILTER (WHERE o IN ('tp', 'fn')), 0), 6) AS recall, round(count(*) FILTER (WHERE o = 'tp') / nullif(count(*) FILTER (WHERE o IN ('tp', 'fp')), 0), 6) AS precision,
+  round(count(*) FILTER (WHERE o = 'fp') / nullif(count(*) FILTER (WHERE o IN ('fp', 'tn')), 0), 6) AS false_positive_rate, round(count(*) FILTER (WHERE o = 'a') / count(*), 6) AS review_rate, round(count(*) FILTER (WHERE rank <= 5) / count(*), 6) AS recall_at_5,
+  round(sum(coalesce(1.0 / rank, 0)) / count(*), 6) AS mrr, round(avg(regions), 6) AS mean_regions, round(sum(seconds), 4) AS seconds FROM o GROUP BY arm""")
+def study_metrics(t: Tables):
+    from ..operators.evaluation import study_metrics as metrics
+
+    k = F.col("event_id")
+    rows = t.events.select(
+        F.col("event_type").alias("arm"), F.when(k % 2 == 0, "flagged").otherwise("cleared").alias("expected"), F.when(k % 7 == 0, "manual_review").when((k % 5).isin(0, 2), "automatic_vulnerability").otherwise("none").alias("priority"),
+        F.when(k % 3 > 0, 1 + k % 9).alias("rank"), (F.col("user_id") % 40).alias("regions"), F.col("value").alias("seconds"),
+    )
+    return metrics(rows, ["arm"])
+
+
+@query("""
+WITH c AS (SELECT o_orderkey AS case_id, CASE WHEN o_orderkey % 2 = 0 THEN 'flagged' ELSE 'cleared' END AS expected, o_orderkey % 50 AS s, o_orderkey % 50 + 10 AS e, 'CWE-' || CAST(o_custkey % 3 AS VARCHAR) AS cwe FROM orders),
+x AS (SELECT 't' || CAST(n_nationkey % 3 AS VARCHAR) AS tool, case_id, (case_id + n_nationkey) % 11 > 0 AS completed, (case_id + n_nationkey) % 4 > 0 AS extracted FROM c, nation WHERE n_nationkey < 3),
+f AS (SELECT DISTINCT 't' || CAST(l_linenumber % 3 AS VARCHAR) AS tool, c.case_id FROM lineitem JOIN c ON l_orderkey = c.case_id WHERE l_suppkey % 60 <= c.e AND l_suppkey % 60 + 5 >= c.s AND 'CWE-' || CAST(l_partkey % 3 AS VARCHAR) = c.cwe),
+r AS (SELECT x.*, c.expected, f.case_id IS NOT NULL AS flagged FROM x JOIN c USING (case_id) LEFT JOIN f ON f.tool = x.tool AND f.case_id = x.case_id)
+SELECT tool, count(*) AS cases, count(*) FILTER (WHERE NOT completed) AS errors, round(count(*) FILTER (WHERE completed AND extracted) / nullif(count(*) FILTER (WHERE completed), 0), 6) AS coverage,
+  round(count(*) FILTER (WHERE completed AND expected = 'flagged' AND flagged) / nullif(count(*) FILTER (WHERE completed AND expected = 'flagged'), 0), 6) AS recall,
+  round(count(*) FILTER (WHERE completed AND expected <> 'flagged' AND flagged) / nullif(count(*) FILTER (WHERE completed AND expected <> 'flagged'), 0), 6) AS false_alarm_rate FROM r GROUP BY tool""")
+def tool_scores(t: Tables):
+    from ..operators.evaluation import tool_scores as scores
+
+    k = F.col("o_orderkey")
+    code = lambda c: F.concat(F.lit("CWE-"), (c % 3).cast("string"))
+    cases = t.orders.select(k.alias("case_id"), F.when(k % 2 == 0, "flagged").otherwise("cleared").alias("expected"), F.lit("a.js").alias("path"), (k % 50).alias("start_line"), (k % 50 + 10).alias("end_line"), code(F.col("o_custkey")).alias("cwe"))
+    runs = cases.select("case_id", F.explode(F.array(*[F.lit(n) for n in range(3)])).alias("n"))
+    runs = runs.select(F.concat(F.lit("t"), (F.col("n") % 3).cast("string")).alias("tool"), "case_id", ((F.col("case_id") + F.col("n")) % 11 > 0).alias("completed"), ((F.col("case_id") + F.col("n")) % 4 > 0).alias("target_extracted"))
+    found = t.lineitem.select(F.concat(F.lit("t"), (F.col("l_linenumber") % 3).cast("string")).alias("tool"), F.col("l_orderkey").alias("case_id"), F.lit("a.js").alias("path"), (F.col("l_suppkey") % 60).alias("start_line"), (F.col("l_suppkey") % 60 + 5).alias("end_line"), code(F.col("l_partkey")).alias("cwe"))
+    return scores(cases, runs, found)
+
+
+@query("""
+WITH h AS (SELECT l_orderkey AS unit, l_linestatus = 'O' AS loose, l_quantity > 25 AS v FROM lineitem),
+a AS (SELECT unit, bool_or(v) AS v, bool_or(NOT v) AS p, bool_or(NOT loose) AS ex, bool_or(v AND NOT loose) AS ev, bool_or(NOT v AND NOT loose) AS ep FROM h GROUP BY unit),
+s AS (SELECT CASE WHEN v AND p THEN 'uncertain' WHEN v THEN 'vulnerable' ELSE 'patched' END AS before, CASE WHEN ex THEN CASE WHEN ev AND ep THEN 'uncertain' WHEN ev THEN 'vulnerable' ELSE 'patched' END ELSE CASE WHEN v AND p THEN 'uncertain' WHEN v THEN 'vulnerable' ELSE 'patched' END END AS after FROM a)
+SELECT before || ' -> ' || after AS transition, count(*) AS n FROM s GROUP BY 1""")
+def hash_replay(t: Tables):
+    """Saved hits judged with and without the rule that exact hits go first."""
+    from ..operators.evaluation import transitions
+    from ..operators.matching import hash_verdicts
+
+    v = (F.col("l_quantity") > 25).cast("int")
+    hits = t.lineitem.select(F.col("l_orderkey").alias("unit"), F.lit("b").alias("boundary"), F.when(F.col("l_linestatus") == "O", "abstracted").otherwise("exact").alias("match"), v.alias("vulnerable"), (1 - v).alias("patched"), F.lit(1).alias("copies"))
+    return transitions(hash_verdicts(hits.withColumn("match", F.lit("exact"))), hash_verdicts(hits), "unit", "status")

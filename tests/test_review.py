@@ -71,3 +71,19 @@ def test_selection(spark):
     rows = [{"id": i, "language": "js" if i % 3 else "ts", "package": f"p{i % 2}", "advisory": i} for i in range(12)]
     chosen = S.diverse(rows, 6)
     assert len(chosen) == 6 and {r["language"] for r in chosen} == {"js", "ts"} and max(sum(r["package"] == p for r in chosen) for p in ("p0", "p1")) == 3
+
+
+def test_expanded_and_wrapped():
+    from pairlens.functions import js
+
+    assert js.expand("function f(a){for(let i=0;i<a;i++){g(i);}return a;}").count("\n") >= 4
+    text, lines, size = js.wrapped("read(path) { return path; }")
+    assert text.startswith("class") and lines == 1 and size == len("class W {\n") and js.wrapped("function f() {}")[1:] == (0, 0) and js.wrapped("{ (") is None
+
+
+def test_expected_ranks(spark):
+    from pairlens.operators.evaluation import expected_rank
+
+    hits = spark.createDataFrame([(1, "a", 3), (1, "b", 1), (2, "x", 1)], "case_id int, origin string, rank int")
+    want = spark.createDataFrame([(1, "a"), (1, "alias"), (2, "y")], "case_id int, origin string")
+    assert {tuple(r) for r in expected_rank(hits, want).collect()} == {(1, 3), (2, None)}
