@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,9 +27,7 @@ def with_fingerprints(units: DataFrame, source: str = "source") -> DataFrame:
     """Adds ``native, exact, abstracted, abstracted_length``; distinct texts are worked on once per batch."""
 
     @F.pandas_udf("native string, exact string, abstracted string, abstracted_length long")
-    def finger(texts):
-        import pandas as pd
-
+    def finger(texts: pd.Series) -> pd.DataFrame:
         known = {t: js.fingerprint(t) for t in texts.dropna().unique()}
         none = {"native": None, "exact": None, "abstracted": None, "abstracted_length": None}
         return pd.DataFrame([known.get(t, none) for t in texts], columns=list(none))
