@@ -85,9 +85,9 @@ class RunEncoder:
         return [data[a:b] for a, b in zip([0, *cuts], cuts)]
 
     def _learn(self, runs: list[str]) -> None:
-        known, plain, other = self.runs.known, [], []
-        for r in runs:
-            (plain if _LETTERS.issuperset(r) or _SIGNS.issuperset(r) else other).append(r)
+        known = self.runs.known
+        plain = [r for r in runs if (r.isascii() and r.isalpha() and r.islower()) or _LETTERS.issuperset(r) or _SIGNS.issuperset(r)]
+        other = [] if len(plain) == len(runs) else list(set(runs).difference(plain))
         for at in range(0, len(plain), 1000):
             some = plain[at : at + 1000]
             known.update(zip(some, self._encode_runs(some)))
@@ -114,11 +114,14 @@ class RunEncoder:
         fits = pc.and_(fits, pc.equal(pc.utf8_ltrim(core, LETTERS), ""))
         core, head, tail = pc.if_else(fits, core, whole), pc.if_else(fits, head, ""), pc.if_else(fits, tail, "")
         parts = pa.chunked_array([head, core, tail]).combine_chunks().dictionary_encode()
-        runs, known = parts.dictionary.to_pylist(), self.runs.known
-        if missing := [r for r in runs if r not in known]:
+        runs, known = parts.dictionary.to_numpy(zero_copy_only=False).tolist(), self.runs.known
+        found = list(map(known.get, runs))
+        if unknown := [i for i, ids in enumerate(found) if ids is None]:
+            missing = [runs[i] for i in unknown]
             self._learn(missing)
-        found = [known[r] for r in runs]
-        self.runs.let_go(missing)
+            for i, r in zip(unknown, missing):
+                found[i] = known[r]
+            self.runs.let_go(missing)
         flat = np.frombuffer(b"".join(found) + np.array([end_id], dtype="<u4").tobytes(), dtype="<u4")
         sizes = np.append(np.fromiter(map(len, found), np.int64, len(found)) // 4, [1, 0])
         starts = np.cumsum(sizes) - sizes
