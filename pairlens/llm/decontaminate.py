@@ -233,7 +233,7 @@ def _finder(index: Index):
     def find(batches) -> Iterator:
         import pyarrow as pa
 
-        for part in slices(batches, 1024):
+        for part in slices(batches, 1024, 1):
             rows = [(doc, *hit) for doc, hits in zip(part.column(0).to_pylist(), index.scan(part.column(1))) for hit in hits]
             types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
             columns = list(zip(*rows)) or [()] * 6
@@ -250,7 +250,7 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, text_col: str = "text", i
         def keep(batches) -> Iterator:
             import pyarrow as pa
 
-            for part in slices(batches, 1024):
+            for part in slices(batches, 1024, at):
                 yield part.filter(pa.array([not hits for hits in index.scan(part.column(at))], pa.bool_()))
 
         return keep

@@ -136,7 +136,7 @@ def identify(df: DataFrame, dictionaries: dict[str, bytes], text_col: str = "tex
 
         if not held:
             held.append(Classifier(dictionaries))
-        for part in slices(batches, 1024):
+        for part in slices(batches, 1024, at):
             found = [held[0].classify(t) for t in utf8(part.column(at))]
             columns = [
                 pa.array([lang for lang, _ in found], pa.string()),

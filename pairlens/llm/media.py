@@ -223,7 +223,7 @@ def store_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     def write(batches) -> Iterator:
         import pyarrow as pa
 
-        for part in slices(batches, 256):
+        for part in slices(batches, 256, 1):
             texts = utf8(part.column(1))
             columns = [part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([encode_avi(payload_of(t), mcus) for t in texts], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "media"])
@@ -244,7 +244,7 @@ def read_media(media: DataFrame) -> DataFrame:
         clip = pa.list_(pa.struct([("clip", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("frames", pa.int32())]))
         names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "clips"]
         types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), clip]
-        for part in slices(batches, 256):
+        for part in slices(batches, 256, 2):
             rows = []
             for doc, n, data in zip(*(part.column(i).to_pylist() for i in range(3))):
                 avi = Avi(data)

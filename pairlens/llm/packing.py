@@ -50,7 +50,7 @@ def pack_documents(
         from pyspark import TaskContext
 
         tokens, next_id = encoder(path), TaskContext.get().partitionId() << 40
-        for part in slices(batches, 1024):
+        for part in slices(batches, 2048, 1):
             rows: list[tuple] = []
             ids, sizes = tokens.encode(part.column(1), end_id)
             data, begin = ids.astype("<u4").tobytes(), 0

@@ -191,7 +191,7 @@ def write_token_files(
                 [pa.array([part], pa.int32()), pa.array([base], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([data], pa.binary())], names=["part", "base", "n_ids", "image"]
             )
 
-        for some in slices(batches, 1024):
+        for some in slices(batches, 2048, 1):
             ids, lengths = tokens.encode(some.column(1), end_id)
             docs += some.column(0).to_pylist()
             held.append(ids)

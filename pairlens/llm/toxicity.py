@@ -233,7 +233,7 @@ def learn(labelled: DataFrame, label_col: str = "toxic", text_col: str = "text",
     def count(batches) -> Iterator:
         import pyarrow as pa
 
-        for part in slices(batches, 256):
+        for part in slices(batches, 256, 0):
             seen: dict[str, list[int]] = {}
             for text, y in zip(utf8(part.column(0)), part.column(1).to_pylist()):
                 for u in {"", *(u for w in set(words_of(text)) for u in units_of(w))}:
@@ -271,7 +271,7 @@ def score_toxicity(df: DataFrame, model: Model, text_col: str = "text", passages
         if not held:
             held.append(Scorer(model))
         kind = pa.list_(pa.struct([("words", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("e_value", pa.float64())]))
-        for part in slices(batches, 512):
+        for part in slices(batches, 512, at):
             texts = utf8(part.column(at))
             found = [held[0].score(t) for t in texts]
             columns = [pa.array([s for s, _ in found], pa.float64())]

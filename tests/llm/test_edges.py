@@ -139,3 +139,18 @@ def test_stages(spark, docs, wide, empty, benchmark, tmp_path, k):
         assert {r["doc_id"] for r in rows} == {1, 2, 3, None, 4, 6, -7}
     if k == 3:
         assert len(rows) == len(ROWS)
+
+
+def test_slices_cover_every_row_once(monkeypatch):
+    import pyarrow as pa
+
+    from pairlens.llm import common
+
+    monkeypatch.setattr(common, "SLICE_BYTES", 10)
+    texts = ["aaaa", None, "", "b" * 25, "cc", "dddddddddd", "e"] * 3
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["i", "t"])
+    for rows in (1, 2, 100):
+        parts = list(common.slices([batch, batch.slice(0, 0)], rows, 1))
+        assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(len(texts)))
+        assert all(p.num_rows == 1 or (p.num_rows <= rows and sum(len(t or "") for t in p.column(1).to_pylist()) <= 10) for p in parts)
+        assert sum(p.num_rows for p in common.slices([batch], rows)) == len(texts)
