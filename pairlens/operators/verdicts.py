@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kernels import pick_disjoint
+from ..functions.kernels import DisjointSpans
 
 
 @dataclass(frozen=True)
@@ -117,19 +117,26 @@ def support_verdict(evidence: DataFrame, group: list[str], consensus: float = 0.
 def disjoint_evidence(rows: DataFrame, group: list[str], start: str = "start", end: str = "end", order: list | None = None) -> DataFrame:
     """Greedy choice of rows whose spans don't overlap, in order of preference, per group.
 
-    A group is one function against one boundary: its rows are bounded by regions times pairs.
+    Rows are dealt by group and sorted by preference; one pass over the sorted batches decides
+    each row with the spans that its group has taken so far, so no group is held in memory.
     """
     order = order or [F.desc("correspondence"), F.desc("same_granularity"), F.desc("weight"), F.desc("coverage"), F.desc("similarity"), F.asc("region")]
-    from pyspark.sql import Window
-
-    ranked = rows.withColumn("_o", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
-
-    def pick(pdf):
-        pdf = pdf.sort_values("_o")
-        keep = pick_disjoint(list(zip(pdf[start].tolist(), pdf[end].tolist())))
-        return pdf.iloc[keep]
-
-    return ranked.groupBy(*group).applyInPandas(pick, ranked.schema).drop("_o")
+    at = [rows.columns.index(c) for c in group]
+    a, b = rows.columns.index(start), rows.columns.index(end)
+
+    def pick(batches):
+        import pyarrow as pa
+
+        key, taken = None, DisjointSpans()
+        for batch in batches:
+            keep = []
+            for new, x, y in zip(zip(*(batch.column(i).to_pylist() for i in at)), batch.column(a).to_pylist(), batch.column(b).to_pylist()):
+                if new != key:
+                    key, taken = new, DisjointSpans()
+                keep.append(taken.take(x, y))
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return rows.repartition(*group).sortWithinPartitions(*group, *order).mapInArrow(pick, rows.schema)
 
 
 def unit_priority(states: DataFrame, unit: str = "unit") -> DataFrame:

@@ -110,9 +110,9 @@ def benchmark_containment(t: Tables):
     window = 8
     items = t.benchmark.select("item_id", T.collapse(F.col("text")).alias("q"), words.alias("w"))
     # the first word of an item may be the end of a longer one, so the key begins with the second
-    items = items.select("item_id", "q", F.slice("w", 2, window).alias("k")).select("item_id", "q", F.when(F.size("k") == window, F.xxhash64("k")).alias("h"))
+    items = items.select("item_id", "q", F.slice("w", 2, window).alias("k")).select("item_id", "q", F.when(F.size("k") == window, F.xxhash64(*[F.get("k", F.lit(n)) for n in range(window)])).alias("h"))
     docs = t.documents.select("doc_id", T.collapse(F.col("text")).alias("x"), F.explode(F.array(words)).alias("w"))
-    starts = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - window + 1, F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, window)))
+    starts = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0))), lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(window)]))
     keys = docs.select("doc_id", "x", F.explode(F.array_distinct(starts)).alias("h"))
     return keys.join(F.broadcast(items.where("h IS NOT NULL")) if items.count() <= 10_000 else items, "h").where(F.contains("x", "q")).select("item_id", "doc_id", F.length("q").cast("long").alias("chars")).distinct()
 
@@ -277,9 +277,9 @@ def sequence_similarity(t: Tables):
 def fuzzy_substring(t: Tables):
     """Benchmark items against the documents that share their second to ninth words, by words."""
     words = F.split(T.collapse(F.col("text")), " ")
-    items = t.benchmark.select("item_id", words.alias("q")).withColumn("h", F.xxhash64(F.slice("q", 2, 8)))
+    items = t.benchmark.select("item_id", words.alias("q")).withColumn("h", F.xxhash64(*[F.get("q", F.lit(n)) for n in range(1, 9)]))
     docs = t.documents.select("doc_id", F.explode(F.array(words)).alias("w"))
-    starts = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 7, F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, 8)))
+    starts = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 8, F.lit(0))), lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(8)]))
     found = docs.select("doc_id", "w", F.explode(F.array_distinct(starts)).alias("h")).join(items, "h")
     return found.select("item_id", "doc_id", F.round(K.fuzzy_udf()("q", "w"), 6).alias("similarity"))
 

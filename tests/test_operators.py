@@ -208,3 +208,19 @@ def test_scratch_tables_are_released(spark):
     scratch.release(spark, paths[0])
     assert kept.count() == 3 and gone is not None
     assert [os.path.isdir(p.removeprefix("file://")) for p in paths] == [True, False]
+
+
+def test_disjoint_evidence_against_slow_form(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = [(f"g{rng.randrange(9)}", i, (s := rng.randrange(200)), s + rng.randrange(1, 20), rng.random()) for i in range(600)]
+    df = spark.createDataFrame(rows, "g string, region int, start int, end int, score double").repartition(5)
+    got = {r["region"] for r in V.disjoint_evidence(df, ["g"], order=[F.desc("score"), F.asc("region")]).collect()}
+    want, taken = set(), {}
+    for g, i, a, b, _ in sorted(rows, key=lambda r: (-r[4], r[1])):
+        if all(b <= x or a >= y for x, y in taken.setdefault(g, [])):
+            taken[g].append((a, b))
+            want.add(i)
+    assert got == want
+    assert V.disjoint_evidence(df.where("false"), ["g"], order=[F.asc("region")]).count() == 0
