@@ -2,7 +2,8 @@
 
 Texts become sequences of canonical tokens: lower-cased words without the signs around them,
 in which numbers, units after a number and names (words with a capital inside a sentence) are
-typed placeholders that remember what they stand for.  All windows of ``WINDOW`` tokens of a
+typed placeholders that remember what they stand for.  A capitalised word that begins a sentence
+may be a name or not, so windows over it are looked up in both forms.  All windows of ``WINDOW`` tokens of a
 document are looked up in a hash table of the benchmark items' windows.  Where windows of an
 item are found, slots are checked: each value of the item must stand for the same value of the
 document in all windows that count.  A document holds an item if windows that pass make up
@@ -48,6 +49,7 @@ class Tokens:
 
     codes: np.ndarray  # 0: not in the vocabulary
     doc: np.ndarray
+    either: np.ndarray  # capitalised words that begin a sentence: their code is the word's, but they may be names
     values: np.ndarray  # number of the lower-cased word in `words`
     words: object  # Arrow strings
 
@@ -89,27 +91,63 @@ def tokenise(texts, vocabulary) -> Tokens:
         first[1:] = (doc[1:] != doc[:-1]) | (ends[keep[1:]] > ends[keep[:-1]])
     out = codes[which]
     out[title[which] & ~first] = NAME
+    either = title[which] & first
     is_number = number[which]
     out[is_number] = NUM
     after = np.zeros(len(keep), dtype=bool)
     after[1:] = is_number[:-1] & (doc[1:] == doc[:-1])
     out[unit[which] & after & ~is_number] = UNIT
-    return Tokens(out, doc, which, words)
+    either &= (out == 0) | (out >= FIRST_WORD)
+    return Tokens(out, doc, either, which, words)
 
 
-def _windows(codes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the windows of known tokens inside one text, two words or more in each."""
+def _forms(codes: np.ndarray, start: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Codes of windows, one row for each, with names at the places of ``mask``."""
+    places = np.arange(WINDOW)
+    return np.where(mask[:, None] >> places & 1, NAME, codes[start[:, None] + places])
+
+
+def _windows(t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, forms and hashes of the windows of known tokens inside one text, two words or more in each.
+
+    The form is a mask of the places that are read as names, out of those that may be: every choice is there, if it leaves a word.
+    """
+    codes, doc = t.codes, t.doc
     n = len(codes) - WINDOW + 1
     if n <= 0:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
     known = np.concatenate([[0], np.cumsum(codes > 0)])
     word = np.concatenate([[0], np.cumsum(codes >= FIRST_WORD)])
-    start = np.flatnonzero((known[WINDOW:] - known[:-WINDOW] == WINDOW) & (word[WINDOW:] - word[:-WINDOW] >= 2) & (doc[WINDOW - 1 :] == doc[:n]))
+    inside = doc[WINDOW - 1 :] == doc[:n]
+    start = np.flatnonzero((known[WINDOW:] - known[:-WINDOW] == WINDOW) & (word[WINDOW:] - word[:-WINDOW] >= 2) & inside)
     h = np.zeros(len(start), dtype=np.uint64)
     for k in range(WINDOW):
-        h = (h ^ codes[start + k].astype(np.uint64)) * _PRIME
-        h ^= h >> np.uint64(29)
-    return start, h
+        h = _mix(h, codes[start + k])
+    starts, masks, hashes = [start], [np.zeros(len(start), dtype=np.int64)], [h]
+    bits = np.zeros(n, dtype=np.int64)
+    for k in range(WINDOW):
+        bits |= t.either[k : k + n].astype(np.int64) << k
+    open_ = np.flatnonzero((bits > 0) & inside)
+    bits = bits[open_]
+    words = (codes >= FIRST_WORD) | t.either
+    for mask in range(1, 1 << WINDOW):
+        start = open_[bits & mask == mask]
+        if len(start):
+            form = _forms(codes, start, np.full(len(start), mask))
+            good = (form > 0).all(axis=1) & (form >= FIRST_WORD).any(axis=1) & (words[start[:, None] + np.arange(WINDOW)].sum(axis=1) >= 2)
+            start, form = start[good], form[good]
+            h = np.zeros(len(start), dtype=np.uint64)
+            for k in range(WINDOW):
+                h = _mix(h, form[:, k])
+            starts.append(start)
+            masks.append(np.full(len(start), mask))
+            hashes.append(h)
+    return np.concatenate(starts), np.concatenate(masks), np.concatenate(hashes)
+
+
+def _mix(h: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    h = (h ^ codes.astype(np.uint64)) * _PRIME
+    return h ^ h >> np.uint64(29)
 
 
 class Index:
@@ -128,10 +166,10 @@ class Index:
         self.codes, self.item = found.codes, found.doc
         self.values = [found.words[v].as_py() for v in found.values.tolist()]
         self.begin = np.searchsorted(found.doc, np.arange(len(items)))
-        start, h = _windows(found.codes, found.doc)
+        start, mask, h = _windows(found)
         order = np.argsort(h, kind="stable")
-        self.hashes, self.starts = h[order], start[order]
-        self.windows = np.bincount(found.doc[start], minlength=len(items))
+        self.hashes, self.starts, self.masks = h[order], start[order], mask[order]
+        self.windows = np.bincount(found.doc[np.unique(start)], minlength=len(items))
         self.filter = np.zeros(1 << max(16, int(len(h)).bit_length() + 5), dtype=bool)
         self.filter[h & np.uint64(len(self.filter) - 1)] = True
 
@@ -143,32 +181,34 @@ class Index:
         if not len(self.hashes):
             return out
         found = tokenise(texts, pa.array(self.vocabulary, pa.string()))
-        start, h = _windows(found.codes, found.doc)
+        start, mask, h = _windows(found)
         maybe = self.filter[h & np.uint64(len(self.filter) - 1)]
-        start, h = start[maybe], h[maybe]
+        start, mask, h = start[maybe], mask[maybe], h[maybe]
         at = np.searchsorted(self.hashes, h)
         hit = at < len(self.hashes)
         hit[hit] = self.hashes[at[hit]] == h[hit]
-        start, h = start[hit], h[hit]
+        start, mask, h = start[hit], mask[hit], h[hit]
+        order = np.argsort(start, kind="stable")
+        start, mask, h = start[order], mask[order], h[order]
         doc = found.doc[start]
         cuts = np.flatnonzero(np.diff(doc)) + 1
-        for some, keys in zip(np.split(start, cuts), np.split(h, cuts)):
+        for some, masks, keys in zip(np.split(start, cuts), np.split(mask, cuts), np.split(h, cuts)):
             if len(some):
-                out[found.doc[some[0]]] = self._items(found, some, keys)
+                out[found.doc[some[0]]] = self._items(found, some, masks, keys)
         return out
 
-    def _items(self, found: Tokens, starts: np.ndarray, keys: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    def _items(self, found: Tokens, starts: np.ndarray, masks: np.ndarray, keys: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         by_item: dict[int, dict[int, set]] = {}
         seen: set[tuple] = set()
-        for start, key in zip(starts.tolist(), keys):
-            codes = found.codes[start : start + WINDOW]
-            slots = tuple([found.words[found.values[start + k].item()].as_py() for k in np.flatnonzero(codes < FIRST_WORD)])
-            if (int(key), slots) in seen:
+        for start, codes, key in zip(starts.tolist(), _forms(found.codes, starts, masks), keys):
+            slots = [(k, found.words[found.values[start + k].item()].as_py()) for k in np.flatnonzero(codes < FIRST_WORD).tolist()]
+            if (int(key), tuple(slots)) in seen:
                 continue
-            seen.add((int(key), slots))
-            for own in self.starts[np.searchsorted(self.hashes, key) : np.searchsorted(self.hashes, key, "right")].tolist():
-                if (self.codes[own : own + WINDOW] == codes).all():
-                    by_item.setdefault(int(self.item[own]), {}).setdefault(own, set()).add(slots)
+            seen.add((int(key), tuple(slots)))
+            at = slice(np.searchsorted(self.hashes, key), np.searchsorted(self.hashes, key, "right"))
+            same = (_forms(self.codes, self.starts[at], self.masks[at]) == codes).all(axis=1)
+            for own in self.starts[at][same].tolist():
+                by_item.setdefault(int(self.item[own]), {}).setdefault(own, set()).add(tuple([(self.values[own + k], v) for k, v in slots]))
         out = []
         for item, windows in sorted(by_item.items()):
             passed, changed = self._consistent(windows)
@@ -185,18 +225,13 @@ class Index:
     def _consistent(self, windows: dict[int, set]) -> tuple[set[int], int]:
         """Windows whose slots agree with what most windows let each value of the item stand for; values that changed."""
         votes: dict[str, dict[str, int]] = {}
-
-        def own_slots(own):
-            return [self.values[own + k] for k in range(WINDOW) if self.codes[own + k] < FIRST_WORD]
-
-        for own, found in windows.items():
-            for slots in found:
-                for mine, theirs in zip(own_slots(own), slots):
-                    of = votes.setdefault(mine, {})
-                    of[theirs] = of.get(theirs, 0) + 1
+        for found in windows.values():
+            for mine, theirs in (pair for slots in found for pair in slots):
+                of = votes.setdefault(mine, {})
+                of[theirs] = of.get(theirs, 0) + 1
         # a value that is there unchanged stands for itself
         stands = {mine: mine if mine in of else min(of, key=lambda v: (-of[v], v)) for mine, of in votes.items()}
-        passed = {own for own, found in windows.items() if tuple([stands[v] for v in own_slots(own)]) in found}
+        passed = {own for own, found in windows.items() if any(all(stands[mine] == theirs for mine, theirs in slots) for slots in found)}
         return passed, sum(mine != theirs for mine, theirs in stands.items())
 
 
