@@ -10,6 +10,10 @@ document in all windows that count.  A document holds an item if windows that pa
 ``SHARE`` of the item's, or if they follow each other over ``RUN`` tokens.  So a question with
 other numbers or names is found, and a text that only shares phrases with it is not.
 
+Items of so few windows that one lost window is too many (none, for items of under ``WINDOW``
+tokens and rows of numbers) are also looked up whole, by a hash of all their tokens: as they
+are, and, from ``WINDOW`` tokens on, with placeholders whose values agree.
+
 The table of the benchmark goes to the tasks with the function, up to ``INDEX_CHARS`` characters
 of items; a larger benchmark is dealt into parts by a hash of the item, and the documents are
 scanned once for each part.  Scanning is narrow: documents are never shuffled, so neither common
@@ -30,6 +34,8 @@ from .common import slices
 WINDOW = 5
 SHARE = 0.8
 RUN = 13
+#: Items of fewer windows fall under ``SHARE`` if one is lost.
+FEW = 5
 INDEX_CHARS = 50_000_000
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”„‘’…–—¿¡·•€£"
 #: Words for numbers, and units that are slots after a number.
@@ -41,6 +47,7 @@ UNITS = (
 NUM, UNIT, NAME = 1, 2, 3
 FIRST_WORD = 4
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 @dataclass
@@ -48,6 +55,7 @@ class Tokens:
     """Canonical tokens of a column of texts: their codes, texts and values."""
 
     codes: np.ndarray  # 0: not in the vocabulary
+    plain: np.ndarray  # the same without placeholders
     doc: np.ndarray
     either: np.ndarray  # capitalised words that begin a sentence: their code is the word's, but they may be names
     values: np.ndarray  # number of the lower-cased word in `words`
@@ -68,7 +76,8 @@ def tokenise(texts, vocabulary) -> Tokens:
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    whole, which, doc = _distinct(texts)
+    # a line break ends a sentence, as a full stop by itself does
+    whole, which, doc = _distinct(pc.replace_substring_regex(texts, r"[\n\r\x0b\x0c\x{85}\x{2028}\x{2029}]+", " . "))
     core = pc.utf8_trim(whole, characters=SIGNS)
     words = pc.utf8_lower(core)
 
@@ -89,7 +98,8 @@ def tokenise(texts, vocabulary) -> Tokens:
     first = np.ones(len(keep), dtype=bool)
     if len(keep) > 1:
         first[1:] = (doc[1:] != doc[:-1]) | (ends[keep[1:]] > ends[keep[:-1]])
-    out = codes[which]
+    plain = codes[which]
+    out = plain.copy()
     out[title[which] & ~first] = NAME
     either = title[which] & first
     is_number = number[which]
@@ -98,7 +108,7 @@ def tokenise(texts, vocabulary) -> Tokens:
     after[1:] = is_number[:-1] & (doc[1:] == doc[:-1])
     out[unit[which] & after & ~is_number] = UNIT
     either &= (out == 0) | (out >= FIRST_WORD)
-    return Tokens(out, doc, either, which, words)
+    return Tokens(out, plain, doc, either, which, words)
 
 
 def _forms(codes: np.ndarray, start: np.ndarray, mask: np.ndarray) -> np.ndarray:
@@ -150,6 +160,24 @@ def _mix(h: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(29)
 
 
+def _runs(codes: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the runs of ``n`` known tokens inside one text."""
+    if len(codes) < n:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+    powers, back = np.full((2, len(codes)), 1, dtype=np.uint64)
+    powers[1:], back[1:] = _PRIME, _INVERSE
+    powers, back = np.cumprod(powers, dtype=np.uint64), np.cumprod(back, dtype=np.uint64)
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_mix(np.zeros(len(codes), dtype=np.uint64), codes) * powers, dtype=np.uint64)])
+    known = np.concatenate([[0], np.cumsum(codes > 0)])
+    start = np.flatnonzero((known[n:] - known[:-n] == n) & (doc[n - 1 :] == doc[: len(doc) - n + 1]))
+    return start, (sums[start + n] - sums[start]) * back[start]
+
+
+def _readings(t: Tokens) -> list[np.ndarray]:
+    """Codes of all tokens: as they are, with placeholders, and with sentence-initial names too."""
+    return [t.plain, t.codes, np.where(t.either, NAME, t.codes)]
+
+
 class Index:
     """Windows of benchmark items; picklable, so that it travels with the function that scans."""
 
@@ -170,6 +198,24 @@ class Index:
         order = np.argsort(h, kind="stable")
         self.hashes, self.starts, self.masks = h[order], start[order], mask[order]
         self.windows = np.bincount(found.doc[np.unique(start)], minlength=len(items))
+        self.readings = _readings(found)
+        #: by number of tokens and reading: sorted hashes of whole items, and the items
+        self.whole: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        sizes = np.bincount(found.doc, minlength=len(items))
+        few = (self.windows < FEW) & (sizes > 0)
+        for n in np.unique(sizes[few]).tolist():
+            of = np.flatnonzero(few & (sizes == n))
+            for kind, codes in enumerate(self.readings if n >= WINDOW else self.readings[:1]):
+                at, key = _runs(codes, found.doc, n)
+                some = np.isin(at, self.begin[of])
+                at, key = at[some], key[some]
+                if kind and len(at):
+                    # placeholders alone say nothing
+                    some = (codes[at[:, None] + np.arange(n)] >= FIRST_WORD).any(axis=1)
+                    at, key = at[some], key[some]
+                if len(at):
+                    order = np.argsort(key, kind="stable")
+                    self.whole[n, kind] = key[order], found.doc[at][order]
         self.filter = np.zeros(1 << max(16, int(len(h)).bit_length() + 5), dtype=bool)
         self.filter[h & np.uint64(len(self.filter) - 1)] = True
 
@@ -178,9 +224,10 @@ class Index:
         import pyarrow as pa
 
         out: list[list] = [[] for _ in range(len(texts))]
-        if not len(self.hashes):
+        if not len(self.hashes) and not self.whole:
             return out
         found = tokenise(texts, pa.array(self.vocabulary, pa.string()))
+        copies = self._copies(found)
         start, mask, h = _windows(found)
         maybe = self.filter[h & np.uint64(len(self.filter) - 1)]
         start, mask, h = start[maybe], mask[maybe], h[maybe]
@@ -195,6 +242,38 @@ class Index:
         for some, masks, keys in zip(np.split(start, cuts), np.split(mask, cuts), np.split(h, cuts)):
             if len(some):
                 out[found.doc[some[0]]] = self._items(found, some, masks, keys)
+        for doc, items in copies.items():
+            hits = {hit[0]: hit for hit in out[doc]}
+            for item, (n, changed) in sorted(items.items()):
+                hits[item] = (item, int(self.windows[item]), int(self.windows[item]), n, changed)
+            out[doc] = [hits[item] for item in sorted(hits)]
+        return [[(self.items[item], *hit) for item, *hit in hits] for hits in out]
+
+    def _copies(self, found: Tokens) -> dict[int, dict[int, tuple[int, int]]]:
+        """Items of few windows that stand in a text as a whole: for each text and item, its tokens and changed values (the least)."""
+        out: dict[int, dict[int, tuple[int, int]]] = {}
+        readings = _readings(found)
+        for (n, kind), (hashes, items) in self.whole.items():
+            codes = readings[kind]
+            start, key = _runs(codes, found.doc, n)
+            at = np.searchsorted(hashes, key)
+            hit = at < len(hashes)
+            hit[hit] = hashes[at[hit]] == key[hit]
+            start, key = start[hit], key[hit]
+            if not kind and len(start):
+                # all places of a copy are alike
+                _, first = np.unique(np.stack([found.doc[start].astype(np.uint64), key]), axis=1, return_index=True)
+                start, key = start[first], key[first]
+            for at, low, high in zip(start.tolist(), np.searchsorted(hashes, key).tolist(), np.searchsorted(hashes, key, "right").tolist()):
+                for item in items[low:high].tolist():
+                    own = int(self.begin[item])
+                    if (self.readings[kind][own : own + n] != codes[at : at + n]).any():
+                        continue
+                    stands: dict[str, str] = {}
+                    pairs = [(self.values[own + k], found.words[found.values[at + k].item()].as_py()) for k in np.flatnonzero(codes[at : at + n] < FIRST_WORD).tolist()]
+                    if all(stands.setdefault(mine, theirs) == theirs for mine, theirs in pairs):
+                        of = out.setdefault(int(found.doc[at]), {})
+                        of[item] = min(of.get(item, (n, n)), (n, sum(mine != theirs for mine, theirs in stands.items())))
         return out
 
     def _items(self, found: Tokens, starts: np.ndarray, masks: np.ndarray, keys: np.ndarray) -> list[tuple[int, int, int, int, int]]:
@@ -219,7 +298,7 @@ class Index:
                 longest, last = max(longest, run), own
             tokens = longest + WINDOW - 1 if longest else 0
             if passed and (len(passed) >= SHARE * self.windows[item] or tokens >= RUN):
-                out.append((self.items[item], int(self.windows[item]), len(passed), tokens, changed))
+                out.append((item, int(self.windows[item]), len(passed), tokens, changed))
         return out
 
     def _consistent(self, windows: dict[int, set]) -> tuple[set[int], int]:
@@ -252,7 +331,8 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
     ``windows`` of the item, those ``found`` that pass, the longest run of them in tokens, and
     how many of its slot values stand for others.  Null and empty texts on either side hold
-    nothing, nor do items of fewer than ``WINDOW`` tokens (too little to tell).  Repeated items
+    nothing, nor do items of signs alone.  Items of fewer than ``WINDOW`` tokens are found as they are, not with other
+    values (too little to tell).  Items of few windows are also found whole; then all windows count.  Repeated items
     are reported each; repeated documents too.  Whole texts are scanned.  Empty tables give no
     rows.  Other columns aren't read.
     """

@@ -18,3 +18,11 @@ def test_names_that_begin_sentences():
     assert exact[0][2:4] == (15, 19) and exact[0][4] == 0
     assert other and other[0][2] == 15 and other[0][4] == 2
     assert not mixed or mixed[0][2] < 15
+
+
+def test_short_and_numeric_items():
+    for item in ("What is 2+2?", "Compute 12 + 34 * 56 - 78 / 9", "What is the capital of France?", "Why?"):
+        copy, after_line, none = leaks(item, f"Before that. {item} After.", f"Question 12\n{item}\nAnswer", "The capital is 12 of 34.")
+        assert copy and after_line and not none and copy[0][4] == after_line[0][4] == 0, item
+    other, same = leaks("Compute 12 + 34 * 12 - 78 / 9", "So: compute 13 + 35 * 14 - 7 / 2", "So: compute 13 + 35 * 13 - 7 / 2")
+    assert not other and same[0][4] == 4
