@@ -5,7 +5,8 @@ in which numbers, units after a number and names (words with a capital inside a
 typed placeholders that remember what they stand for.  A capitalised word that begins a sentence
 may be a name or not, so windows over it are looked up in both forms.  All windows of ``WINDOW`` tokens of a
 document are looked up in a hash table of the benchmark items' windows.  Where windows of an
-item are found, slots are checked: each value of the item must stand for the same value of the
+item are found, slots are checked in each occurrence (windows of about the same distance between
+document and item) and over the whole document: each value of the item must stand for the same value of the
 document in all windows that count.  A document holds an item if windows that pass make up
 ``SHARE`` of the item's, or if they follow each other over ``RUN`` tokens.  So a question with
 other numbers or names is found, and a text that only shares phrases with it is not.
@@ -34,6 +35,8 @@ from .common import slices
 WINDOW = 5
 SHARE = 0.8
 RUN = 13
+#: Tokens by which an occurrence may be longer or shorter than the item, up to any of its windows.
+SLACK = 8
 #: Items of fewer windows fall under ``SHARE`` if one is lost.
 FEW = 5
 INDEX_CHARS = 50_000_000
@@ -178,6 +181,12 @@ def _readings(t: Tokens) -> list[np.ndarray]:
     return [t.plain, t.codes, np.where(t.either, NAME, t.codes)]
 
 
+def _spans(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The numbers from each ``low`` to before each ``high``, one after the other."""
+    size = high - low
+    return np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
 class Index:
     """Windows of benchmark items; picklable, so that it travels with the function that scans."""
 
@@ -198,6 +207,8 @@ class Index:
         order = np.argsort(h, kind="stable")
         self.hashes, self.starts, self.masks = h[order], start[order], mask[order]
         self.windows = np.bincount(found.doc[np.unique(start)], minlength=len(items))
+        #: windows without which neither the share nor the run can be reached
+        self.need = np.maximum(1, np.minimum(np.ceil(SHARE * self.windows), RUN - WINDOW + 1)).astype(np.int64)
         self.readings = _readings(found)
         #: by number of tokens and reading: sorted hashes of whole items, and the items
         self.whole: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
@@ -277,39 +288,75 @@ class Index:
         return out
 
     def _items(self, found: Tokens, starts: np.ndarray, masks: np.ndarray, keys: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        by_item: dict[int, dict[int, set]] = {}
-        seen: set[tuple] = set()
-        for start, codes, key in zip(starts.tolist(), _forms(found.codes, starts, masks), keys):
-            slots = [(k, found.words[found.values[start + k].item()].as_py()) for k in np.flatnonzero(codes < FIRST_WORD).tolist()]
-            if (int(key), tuple(slots)) in seen:
-                continue
-            seen.add((int(key), tuple(slots)))
-            at = slice(np.searchsorted(self.hashes, key), np.searchsorted(self.hashes, key, "right"))
-            same = (_forms(self.codes, self.starts[at], self.masks[at]) == codes).all(axis=1)
-            for own in self.starts[at][same].tolist():
-                by_item.setdefault(int(self.item[own]), {}).setdefault(own, set()).add(tuple([(self.values[own + k], v) for k, v in slots]))
-        out = []
-        for item, windows in sorted(by_item.items()):
-            passed, changed = self._consistent(windows)
-            run = longest = 0
-            last = None
-            for own in sorted(passed):
-                run = run + 1 if last is not None and own == last + 1 else 1
-                longest, last = max(longest, run), own
-            tokens = longest + WINDOW - 1 if longest else 0
-            if passed and (len(passed) >= SHARE * self.windows[item] or tokens >= RUN):
-                out.append((item, int(self.windows[item]), len(passed), tokens, changed))
+        distinct = np.unique(keys)
+        low, high = np.searchsorted(self.hashes, distinct), np.searchsorted(self.hashes, distinct, "right")
+        at = _spans(low, high)
+        item, key = self.item[self.starts[at]], np.repeat(distinct, high - low)
+        # items of which enough windows are there at all
+        few = np.unique(self.starts[at])
+        items, counts = np.unique(self.item[few], return_counts=True)
+        enough = counts >= self.need[items]
+        order = np.argsort(keys, kind="stable")
+        ordered, out = keys[order], []
+        for it in items[enough].tolist():
+            own_at, own_key = at[item == it], key[item == it]
+            low, high = np.searchsorted(ordered, own_key), np.searchsorted(ordered, own_key, "right")
+            hit, own = order[_spans(low, high)], np.repeat(own_at, high - low)
+            codes = _forms(found.codes, starts[hit], masks[hit])
+            same = (codes == _forms(self.codes, self.starts[own], self.masks[own])).all(axis=1)
+            best = self._best(it, found, starts[hit[same]], self.starts[own[same]], codes[same] < FIRST_WORD)
+            if best:
+                out.append((it, int(self.windows[it]), *best))
         return out
 
-    def _consistent(self, windows: dict[int, set]) -> tuple[set[int], int]:
+    def _best(self, item: int, found: Tokens, there: np.ndarray, own: np.ndarray, slot: np.ndarray) -> tuple[int, int, int] | None:
+        """Windows found, run in tokens and changed values of the best occurrence of an item in a text, if one is enough.
+
+        ``there`` and ``own`` are the starts of equal windows, ``slot`` the places in them that are placeholders.
+        """
+        order = np.lexsort((there, there - own))
+        there, own, slot = there[order], own[order], slot[order]
+        distance = there - own
+        exact = np.unique(distance)
+        ranges = [(np.searchsorted(distance, exact - more), np.searchsorted(distance, exact + more, "right"), False) for more in (0, SLACK)]
+        places = np.arange(WINDOW)
+        values = np.where(slot, found.values[there[:, None] + places], -1)
+        best, seen = None, set()
+        for lows, highs, whole in [*ranges, (np.array([0]), np.array([len(own)]), True)]:
+            some = highs - lows >= self.need[item]
+            for low, high in zip(lows[some].tolist(), highs[some].tolist()):
+                if not whole:
+                    # the same windows with the same values give the same
+                    key = own[low:high].tobytes(), values[low:high].tobytes()
+                    if key in seen:
+                        continue
+                    seen.add(key)
+                windows: dict[int, set] = {}
+                for o, s, v in zip(own[low:high].tolist(), slot[low:high], values[low:high].tolist()):
+                    windows.setdefault(o, set()).add(tuple([(self.values[o + k], found.words[v[k]].as_py()) for k in np.flatnonzero(s).tolist()]))
+                if len(windows) < self.need[item]:
+                    continue
+                passed, changed = self._consistent(windows, whole)
+                run = longest = 0
+                last = None
+                for o in sorted(passed):
+                    run = run + 1 if last is not None and o == last + 1 else 1
+                    longest, last = max(longest, run), o
+                if longest and (len(passed) >= SHARE * self.windows[item] or longest + WINDOW - 1 >= RUN):
+                    best = max(best or (0, 0, 0), (len(passed), longest + WINDOW - 1, -changed))
+                    if best == (self.windows[item], longest + WINDOW - 1, 0):
+                        return best
+        return best and (best[0], best[1], -best[2])
+
+    def _consistent(self, windows: dict[int, set], whole: bool) -> tuple[set[int], int]:
         """Windows whose slots agree with what most windows let each value of the item stand for; values that changed."""
         votes: dict[str, dict[str, int]] = {}
         for found in windows.values():
             for mine, theirs in (pair for slots in found for pair in slots):
                 of = votes.setdefault(mine, {})
                 of[theirs] = of.get(theirs, 0) + 1
-        # a value that is there unchanged stands for itself
-        stands = {mine: mine if mine in of else min(of, key=lambda v: (-of[v], v)) for mine, of in votes.items()}
+        # over a whole document, a value that is there unchanged stands for itself; in an occurrence, only in a tie
+        stands = {mine: mine if whole and mine in of else min(of, key=lambda v: (-of[v], v != mine, v)) for mine, of in votes.items()}
         passed = {own for own, found in windows.items() if any(all(stands[mine] == theirs for mine, theirs in slots) for slots in found)}
         return passed, sum(mine != theirs for mine, theirs in stands.items())
 

@@ -26,3 +26,21 @@ def test_short_and_numeric_items():
         assert copy and after_line and not none and copy[0][4] == after_line[0][4] == 0, item
     other, same = leaks("Compute 12 + 34 * 12 - 78 / 9", "So: compute 13 + 35 * 14 - 7 / 2", "So: compute 13 + 35 * 13 - 7 / 2")
     assert not other and same[0][4] == 4
+
+
+def test_slots_agree_within_an_occurrence():
+    item = "On Monday Alice has 12 apples and then gives 5 kg of them to Bob who sells 30 for 7 dollars."
+
+    def variant(a, b, *numbers):
+        out = item.replace("Alice", a).replace("Bob", b)
+        for old, new in zip(("12", "5 ", "30", "7 "), numbers):
+            out = out.replace(old, new)
+        return out
+
+    one, two = variant("Carol", "Dave", "40", "9 ", "11", "3 "), variant("Zoe", "Adam", "21", "8 ", "77", "4 ")
+    # a piece of the item as it is, far from the variant; two variants that mix in both orders
+    stray = "People say that Alice has 12 apples and then gives 5 kg of them to others. "
+    filler = " Something else stands here for a while." * 30 + " "
+    for text in (one, stray + filler + one, one + filler + stray, one + " " + two, two + filler + one):
+        found = leaks(item, text)[0]
+        assert found and found[0][2] == found[0][1] and found[0][4] >= 6, text
