@@ -1,7 +1,9 @@
 """Secret scans: candidate words, and a random forest that removes false positives.
 
-A text is cut at white space.  A word is a candidate if it is long and has a digit, or if it
-stands after a secret's name and a sign of assignment.  Each candidate gets features: length,
+A text is cut at white space.  A word is looked at if it is long and has a digit, or if it
+stands after a secret's name and a sign of assignment.  Every run between the quotes, brackets and
+signs of such a word is a candidate by the same rule, with the run before it as its neighbour, so that
+minified JSON, markup, URLs and calls give all their values.  Each candidate gets features: length,
 kinds of characters and the transitions between them, how much of it common words cover, shape,
 the neighbouring words and the path (the document's source).  A random forest, trained by Spark's
 own library on labelled findings, is turned into one SQL expression, the share of its trees'
@@ -37,7 +39,7 @@ def _candidate(word: str, before: str, before2: str) -> str:
     """Condition on a word and the two before it."""
     digits = f"(length({word}) >= 12 AND {word} RLIKE '[0-9]')"
     sign = f"({before} RLIKE '[:=]$' AND lower(concat({before2}, {before})) RLIKE '{SECRET_NAMES}')"
-    own = f"(lower({word}) RLIKE '({SECRET_NAMES})[^a-z0-9]*[:=]')"
+    own = f"(lower({word}) RLIKE '({SECRET_NAMES})[^a-z0-9]*[:=>]')"
     return f"(length({word}) >= 8 AND ({digits} OR {own} OR {sign}))"
 
 
@@ -67,7 +69,7 @@ def _features(value: str, word: str, before: str, path: str) -> dict[str, str]:
         "dots": f"double(length(regexp_replace({value}, '[^.]', ''))) / {n}",
         "dashes": f"double(length(regexp_replace({value}, '[^_-]', ''))) / {n}",
         "at_or_url": f"double({word} RLIKE '@|://|^www[.]|[.](com|org|net|html)' OR {value} RLIKE '^/|/[a-z]+/')",
-        "assigned": f"double({near} RLIKE '[:=]')",
+        "assigned": f"double({near} RLIKE '[:=]|<[a-z0-9_.-]+>')",
         "named": f"double({near} RLIKE '(^|[^a-z])({SECRET_NAMES})[^a-z]')",
         "other_named": f"double({near} RLIKE '(^|[^a-z])({OTHER_NAMES})[^a-z]')",
         "quoted": f"double({word} RLIKE '[\\'\"`]')",
@@ -80,6 +82,31 @@ def _value(word: str) -> str:
     return f"regexp_extract({word}, '([A-Za-z0-9+/_~.@!$%^&*#-]*[A-Za-z0-9+/_~!$%^&*#-]={{0,2}})[^A-Za-z0-9+/_~=-]*$', 1)"
 
 
+#: A run and the signs before it; base64's padding belongs to it.
+_RUN = "([^A-Za-z0-9+/_~.@!$%^&*#-]*)([A-Za-z0-9+/_~.@!$%^&*#-]+(?:==?(?![A-Za-z0-9+/_~.@!$%^&*#=-]))?)"
+
+
+def _runs(c: str) -> str:
+    """An array of the runs of a word ``c`` (at, word, before, before2) that are candidates: at, word, before, value.
+
+    ``word`` is the run with the run before it and the signs around both, which is the whole word if it has two runs at most;
+    ``before`` is what stands before that.
+    """
+    # a sign between the parameters of a URL, or of an entity, ends a run; another & is part of it
+    marked = f"regexp_replace({c}.word, '&(?=[A-Za-z0-9_.%-]{{1,64}}=[^=]|#?[A-Za-z0-9]{{1,8}};)', '\u0001')"
+    cut = f"named_struct('w', {marked})"
+    cut = f"transform(array({cut}), m -> named_struct('signs', regexp_extract_all(m.w, '{_RUN}', 1), 'runs', regexp_extract_all(m.w, '{_RUN}', 2), 'end', regexp_extract(m.w, '[^A-Za-z0-9+/_~.@!$%^&*#=-]*$', 0)))[0]"
+    lead = "CASE WHEN i = 0 THEN r.signs[0] ELSE concat(r.signs[i - 1], r.runs[i - 1], r.signs[i]) END"
+    before = f"CASE WHEN i < 2 THEN concat({c}.before2, ' ', {c}.before) ELSE r.runs[i - 2] END"
+    parts = f"named_struct('at', {c}.at, 'lead', {lead}, 'run', r.runs[i], 'word', concat({lead}, r.runs[i], coalesce(get(r.signs, i + 1), r.end)), 'before', {before}, 'value', rtrim('.@', r.runs[i]), 'first', i = 0, 'last', i = size(r.runs) - 1)"
+    long = "filter(sequence(0, size(r.runs) - 1), i -> length(r.runs[i]) >= 8)"
+    sign = f"(x.first AND {c}.before RLIKE '[:=]$' AND lower(concat({c}.before2, {c}.before)) RLIKE '{SECRET_NAMES}')"
+    named = f"lower(x.lead) RLIKE '({SECRET_NAMES})[^a-z0-9]*[:=>]'"
+    keep = f"length(x.value) >= 8 AND (x.last OR (length(x.word) >= 12 AND x.value RLIKE '[0-9]') OR {named} OR {sign})"
+    found = f"filter(transform({long}, i -> {parts}), x -> {keep})"
+    return f"flatten(transform(array({cut}), r -> CASE WHEN size(r.runs) > 0 THEN {found} ELSE filter(transform(array(0), i -> {parts}), x -> false) END))"
+
+
 def example_findings(spark: SparkSession, rows: int = TRAINING_ROWS) -> DataFrame:
     """Labelled findings built by rule: ``word, before, path, label``; the same rows each time.
 
@@ -174,7 +201,7 @@ def _tree_sql(text: str) -> str:
 def find_secrets(df: DataFrame, forest: str, text_col: str = "text", path_col: str | None = "source", out: str = "secrets", threshold: float = THRESHOLD) -> DataFrame:
     """All columns of ``df`` and an array ``out`` of the secrets: word number, value, score.
 
-    Null and empty texts have an empty array.  Each place counts, repeated values too; ties in
+    A word may hold several.  Null and empty texts have an empty array.  Each place counts, repeated values too; ties in
     the forest's vote at ``threshold`` are secrets.  Whole texts are scanned.  Repeated rows give
     the same; an empty table gives none.  A clash of ``out`` with an input column is an error.
     """
@@ -185,7 +212,7 @@ def find_secrets(df: DataFrame, forest: str, text_col: str = "text", path_col: s
         words = "_" + words
     text = F.col(f"`{text_col}`")
     # no candidate can be in a text that has neither a digit nor an assigned secret name
-    possible = text.rlike("[0-9]") | F.lower(text).rlike(f"({SECRET_NAMES})[^a-z0-9]*[:=]")
+    possible = text.rlike("[0-9]") | F.lower(text).rlike(f"({SECRET_NAMES})[^a-z0-9]*[:=>]")
     cut = _once(df, words, F.when(possible, F.split(text, r"\s+")).otherwise(F.array().cast("array<string>")))
     w = f"`{words}`"
     indices = f"filter(sequence(0, greatest(size({w}) - 1, 0)), i -> length(get({w}, i)) >= 8)"
@@ -194,8 +221,8 @@ def find_secrets(df: DataFrame, forest: str, text_col: str = "text", path_col: s
     features = _features("c.value", "c.word", "c.before", path)
     struct = ", ".join(f"'{n}', {features[n]}" for n in FEATURES)
     candidates = f"filter({near}, c -> {_candidate('c.word', 'c.before', 'c.before2')})"
-    valued = f"transform({candidates}, c -> named_struct('at', c.at, 'word', c.word, 'before', concat(c.before2, ' ', c.before), 'value', {_value('c.word')}))"
-    featured = f"transform(filter({valued}, c -> length(c.value) >= 8), c -> named_struct('at', c.at, 'value', c.value, {struct}))"
+    valued = f"flatten(transform({candidates}, c -> {_runs('c')}))"
+    featured = f"transform({valued}, c -> named_struct('at', c.at, 'value', c.value, {struct}))"
     scored = f"transform({featured}, f -> named_struct('at', f.at, 'value', f.value, 'score', {forest}))"
     return _once(cut, out, F.expr(f"filter({scored}, s -> s.score >= {threshold}D)")).drop(words)
 

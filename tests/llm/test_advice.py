@@ -1,6 +1,8 @@
 """Cases in which an operator once did less than its whole job."""
 
-from pairlens.llm import decontaminate
+import hashlib
+
+from pairlens.llm import decontaminate, secrets
 
 
 def leaks(item, *docs):
@@ -44,3 +46,18 @@ def test_slots_agree_within_an_occurrence():
     for text in (one, stray + filler + one, one + filler + stray, one + " " + two, two + filler + one):
         found = leaks(item, text)[0]
         assert found and found[0][2] == found[0][1] and found[0][4] >= 6, text
+
+
+def test_every_run_of_a_word_is_scanned(spark):
+    a, b = hashlib.sha256(b"a").hexdigest()[:32], hashlib.sha256(b"b").hexdigest()[:32]
+    rows = [
+        (1, f'{{"api_key":"{a}","user":"bob"}}', {a}), (2, "<password>k3J9xQ2mLp0Z</password>", {"k3J9xQ2mLp0Z"}), (3, f"see https://x.org/p?api_key={a}&lang=en there", {a}), (4, f'token="{a}";secret="{b}"', {a, b}),
+        (5, '[{"name":"some","page":12},' * 3000 + f'{{"token":"{a}","n":1}}' + ',{"name":"some","page":12}' * 3000, {a}), (6, f'client.login(token="{a}",true)', {a}), (7, f'{{"commit":"{a}","n":1}}', set()),
+    ]
+    forest = secrets.train_forest(secrets.example_findings(spark))
+    df = spark.createDataFrame([(d, t, "src") for d, t, _ in rows], "doc_id long, text string, source string")
+    found = secrets.find_secrets(df, forest)
+    got = {r["doc_id"]: {x["value"] for x in r["secrets"]} for r in found.collect()}
+    assert got == {d: v for d, _, v in rows}
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(found).collect()}
+    assert clean[1] == '{"api_key":"[SECRET]","user":"bob"}' and clean[2] == "<password>[SECRET]</password>" and a not in clean[5]
