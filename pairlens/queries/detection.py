@@ -101,20 +101,33 @@ def signature_coverage(t: Tables):
     return best.select("item_id", (-F.col("b.d")).alias("doc_id"), F.round(F.col("b.found") / F.col("n"), 6).alias("coverage"))
 
 
+def window_hashes(words: str, n: int):
+    """Hashes of all runs of ``n`` words of an array."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - n, F.lit(0))), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(n)]))
+
+
 @query(f"""
 WITH b AS (SELECT item_id, {NORM} AS q FROM benchmark), d AS (SELECT doc_id, {NORM} AS x FROM documents)
 SELECT item_id, doc_id, length(q) AS chars FROM b JOIN d ON contains(x, q)""")
 def benchmark_containment(t: Tables):
-    """Documents meet items at the item's first eight words; the whole item is then looked for."""
+    """Documents meet items at up to eight of the item's inner words; the whole item is then looked for.
+
+    Items without inner words (of two words or fewer) are looked for in every document.
+    """
     words = F.split(T.collapse(F.col("text")), " ")
-    window = 8
     items = t.benchmark.select("item_id", T.collapse(F.col("text")).alias("q"), words.alias("w"))
-    # the first word of an item may be the end of a longer one, so the key begins with the second
-    items = items.select("item_id", "q", F.slice("w", 2, window).alias("k")).select("item_id", "q", F.when(F.size("k") == window, F.xxhash64(*[F.get("k", F.lit(n)) for n in range(window)])).alias("h"))
+    # the first and last word of an item may be parts of longer ones, so the key is of the words between
+    items = items.withColumn("n", F.greatest(F.lit(0), F.least(F.lit(8), F.size("w") - 2)))
+    sizes = sorted([r["n"] for r in items.where("n > 0").select("n").distinct().collect()])
+    small = items.count() <= 10_000
     docs = t.documents.select("doc_id", T.collapse(F.col("text")).alias("x"), F.explode(F.array(words)).alias("w"))
-    starts = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0))), lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(window)]))
-    keys = docs.select("doc_id", "x", F.explode(F.array_distinct(starts)).alias("h"))
-    return keys.join(F.broadcast(items.where("h IS NOT NULL")) if items.count() <= 10_000 else items, "h").where(F.contains("x", "q")).select("item_id", "doc_id", F.length("q").cast("long").alias("chars")).distinct()
+    found = docs.join(F.broadcast(items.where("n = 0")) if small else items.where("n = 0"), F.contains("x", "q")).select("item_id", "doc_id", "q")
+    if sizes:
+        key = F.coalesce(*[F.when(F.col("n") == n, F.xxhash64(*[F.get("w", F.lit(1 + k)) for k in range(n)])) for n in sizes])
+        items = items.where("n > 0").select("item_id", "q", key.alias("h"))
+        keys = docs.select("doc_id", "x", F.explode(F.array_distinct(F.concat(*[window_hashes("w", n) for n in sizes]))).alias("h"))
+        found = found.union(keys.join(F.broadcast(items) if small else items, "h").where(F.contains("x", "q")).select("item_id", "doc_id", "q"))
+    return found.select("item_id", "doc_id", F.length("q").cast("long").alias("chars")).distinct()
 
 
 @query("""
