@@ -288,12 +288,23 @@ def sequence_similarity(t: Tables):
 
 @query()
 def fuzzy_substring(t: Tables):
-    """Benchmark items against the documents that share their second to ninth words, by words."""
+    """Benchmark items against the documents that share one of their pieces, by words.
+
+    An item is cut into disjoint pieces of four words (two halves, below eight words): a copy with
+    fewer edits than pieces keeps one of them, wherever the edits are.
+    """
     words = F.split(T.collapse(F.col("text")), " ")
-    items = t.benchmark.select("item_id", words.alias("q")).withColumn("h", F.xxhash64(*[F.get("q", F.lit(n)) for n in range(1, 9)]))
+    n, size = F.size("q"), F.least(F.lit(4), F.greatest(F.lit(1), F.floor(F.size("q") / 2).cast("int")))
+    items = t.benchmark.select("item_id", words.alias("q")).where("q IS NOT NULL").withColumn("size", size)
+    starts = F.transform(F.sequence(F.lit(1), F.floor(n / F.col("size")).cast("int")), lambda k: (k - 1) * F.col("size"))
+    pieces = items.select("item_id", "q", "size", F.explode(starts).alias("at"))
+    sizes = sorted([r["size"] for r in items.select("size").distinct().collect()])
     docs = t.documents.select("doc_id", F.explode(F.array(words)).alias("w"))
-    starts = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 8, F.lit(0))), lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(8)]))
-    found = docs.select("doc_id", "w", F.explode(F.array_distinct(starts)).alias("h")).join(items, "h")
+    if not sizes:
+        sizes = [4]
+    hashed = F.coalesce(*[F.when(F.col("size") == s, F.xxhash64(*[F.get("q", F.col("at") + k) for k in range(s)])) for s in sizes])
+    keys = docs.select("doc_id", "w", F.explode(F.array_distinct(F.concat(*[window_hashes("w", s) for s in sizes]))).alias("h"))
+    found = keys.join(pieces.select("item_id", "q", hashed.alias("h")), "h").select("item_id", "doc_id", "q", "w").distinct()
     return found.select("item_id", "doc_id", F.round(K.fuzzy_udf()("q", "w"), 6).alias("similarity"))
 
 
