@@ -88,13 +88,14 @@ def learn_dictionaries(labelled: DataFrame, lang_col: str = "lang", text_col: st
     known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.col(text_col) != "")).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h")
     )
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # copies count once, as they are picked all or none
+    counts = {r["lang"]: r["n"] for r in known.select("lang", "h").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return {}
-    # a hash threshold per language leaves 2 x rows of it on average; fewer only where it has fewer
+    # a hash threshold per language leaves 2 x rows of its distinct texts on average; fewer only where it has fewer
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 2 * rows / n))])
     picked = known.where(F.pmod(F.col("h"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
-    short = picked.withColumn("text", F.substring("text", 1, size // 8))
+    short = picked.withColumn("text", F.substring("text", 1, size // 8)).groupBy("lang", "h").agg(F.min("text").alias("text"))
     found: dict[str, dict] = {}
     for r in short.orderBy("h").toLocalIterator():
         of = found.setdefault(r["lang"], {})

@@ -2,7 +2,7 @@
 
 import hashlib
 
-from pairlens.llm import decontaminate, secrets
+from pairlens.llm import decontaminate, language, secrets
 
 
 def leaks(item, *docs):
@@ -61,3 +61,11 @@ def test_every_run_of_a_word_is_scanned(spark):
     assert got == {d: v for d, _, v in rows}
     clean = {r["doc_id"]: r["text"] for r in secrets.redact(found).collect()}
     assert clean[1] == '{"api_key":"[SECRET]","user":"bob"}' and clean[2] == "<password>[SECRET]</password>" and a not in clean[5]
+
+
+def test_copies_do_not_crowd_out_a_language(spark):
+    few = [("en", f"word{chr(97 + k % 26)}{chr(97 + k // 26)} of the text") for k in range(300)]
+    for hot in ("the same text again", "another hot one"):
+        df = spark.createDataFrame([*few, *[("en", hot)] * 30_000, *[("de", t) for _, t in few]], "lang string, text string").repartition(4)
+        found = language.learn_dictionaries(df)
+        assert all(f"word{chr(97 + k % 26)}{chr(97 + k // 26)} ".encode() in found["en"] for k in range(300)) and found["en"].count(hot.encode()) == 1
