@@ -79,8 +79,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     learn_from = learning_rows(F.col("doc_id"))
-    labelled = docs.select("doc_id", "text").where(learn_from).join(labels.select("doc_id", "toxic").where(learn_from), "doc_id")
-    found = score_toxicity(docs.select("doc_id", "text"), learn(labelled), passages=False)
+    labelled = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).where(learn_from).join(labels.select("doc_id", "toxic").where(learn_from), "doc_id")
+    found = score_toxicity(docs.select("doc_id", "text"), learn(labelled, hash_col="text_hash"), passages=False)
     score = F.col("toxic_score")
     return found.select("doc_id", (~learn_from).alias("held_out"), score.alias("score"), (score >= 0.3).cast("int").alias("predicted"))
 

@@ -216,18 +216,21 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(theta[0]), max(0.0, float(theta[1]))
 
 
-def learn(labelled: DataFrame, label_col: str = "toxic", text_col: str = "text", rows: int = SAMPLE_ROWS) -> Model:
-    """Fit on about ``rows`` labelled rows: a sample by hash of the text; of texts with the same opening (copies) one counts.
+def learn(labelled: DataFrame, label_col: str = "toxic", text_col: str = "text", rows: int = SAMPLE_ROWS, hash_col: str | None = None) -> Model:
+    """Fit on about ``rows`` labelled rows: a sample by hash of the text; of equal texts with the same label one counts.
+
+    Copies are those of the same hash of the whole text; the least text stays, should hashes collide.
+    ``hash_col`` may hold the texts' ``xxhash64``, so that distinct rows are counted without moving texts.
 
     Three quarters of the sample give counts, which Spark sums; the held-back quarter's texts
     (``rows / 4`` of them) go to the driver for calibration.  Null texts and labels teach nothing.
     """
     known = labelled.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull()).select(
-        F.col(text_col).alias("text"), (F.col(label_col) > 0).cast("int").alias("y"), F.xxhash64(text_col).alias("h")
+        F.col(text_col).alias("text"), (F.col(label_col) > 0).cast("int").alias("y"), (F.col(hash_col) if hash_col else F.xxhash64(text_col)).alias("h")
     )
-    n = known.count()
+    n = known.select("h", "y").distinct().count()
     share = min(1.0, rows / max(1, n))
-    sample = known.where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)).withColumn("opening", F.xxhash64(F.substring("text", 1, 60))).dropDuplicates(["opening", "y"])
+    sample = known.where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)).groupBy("h", "y").agg(F.min("text").alias("text"))
     fold = F.pmod(F.shiftright("h", 32), F.lit(4))
 
     def count(batches) -> Iterator:
@@ -246,7 +249,7 @@ def learn(labelled: DataFrame, label_col: str = "toxic", text_col: str = "text",
     # a unit of which no prefix was ever in a toxic text cannot get a positive score
     counts = {r["unit"]: (r["n"], r["t"]) for r in units.where("t > 1 or unit = ''").toLocalIterator()}
     texts, toxic = counts.pop("", (0, 0))
-    held = [(r["text"].encode(), r["y"]) for r in sample.where(fold == 0).select("text", "y").orderBy("text").toLocalIterator()]
+    held = [(r["text"].encode(), r["y"]) for r in sample.where(fold == 0).select("text", "y").orderBy("text", "y").toLocalIterator()]
     return fit_calibration(fit_weights(counts, texts, toxic), held)
 
 

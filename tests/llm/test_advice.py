@@ -2,7 +2,7 @@
 
 import hashlib
 
-from pairlens.llm import decontaminate, language, secrets
+from pairlens.llm import decontaminate, language, secrets, toxicity
 
 
 def leaks(item, *docs):
@@ -69,3 +69,15 @@ def test_copies_do_not_crowd_out_a_language(spark):
         df = spark.createDataFrame([*few, *[("en", hot)] * 30_000, *[("de", t) for _, t in few]], "lang string, text string").repartition(4)
         found = language.learn_dictionaries(df)
         assert all(f"word{chr(97 + k % 26)}{chr(97 + k // 26)} ".encode() in found["en"] for k in range(300)) and found["en"].count(hot.encode()) == 1
+
+
+def test_texts_under_one_header_all_teach(spark):
+    header = "This page is from the archive of a board, with a fixed opening that is long enough. "
+    words = [f"{a}{b}" for a in ("ba", "do", "ke", "li", "mu", "ra") for b in ("n", "so", "ti", "ve", "rum")]
+    rows = []
+    for d in range(800):
+        text = " ".join(words[(d * 7 + k * k) % 30] for k in range(60)) + f" {words[d % 30]}{d}"
+        rows.append((header + text + " grimol", 1) if d % 4 == 0 else (text, 0))
+    model = toxicity.learn(spark.createDataFrame([*rows, *rows], "text string, toxic int").repartition(3))
+    again = toxicity.learn(spark.createDataFrame(rows[::-1], "text string, toxic int").repartition(5))
+    assert model.weights.get("grimol ", 0) > 0 and model == again
