@@ -29,12 +29,13 @@ def lengths_of(n: int, max_len: int = MAX_LEN) -> list[int]:
 
 
 def pack_documents(
-    df: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", max_len: int = MAX_LEN, end_id: int = END_ID
+    df: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", max_len: int = MAX_LEN, end_id: int = END_ID, literal: bool = False
 ) -> DataFrame:
     """One row per piece: its document, place, ids (little-endian unsigned 32-bit), sequence and bucket.
 
     ``sequence_id`` holds the input partition in its upper bits and a running number below, so
     it is unique without any exchange; ``offset`` is always 0.  ``max_len`` must be a power of two.
+    With ``literal`` the strings of special tokens are ordinary text.
 
     Null, empty and blank texts give one piece that holds the end id alone.  A null id stays
     null.  Repeated rows are packed each on their own, also under one id.  Very long texts give
@@ -49,7 +50,7 @@ def pack_documents(
         import pyarrow as pa
         from pyspark import TaskContext
 
-        tokens, next_id = encoder(path), TaskContext.get().partitionId() << 40
+        tokens, next_id = encoder(path, literal), TaskContext.get().partitionId() << 40
         for part in slices(batches, 2048, 1):
             rows: list[tuple] = []
             ids, sizes = tokens.encode(part.column(1), end_id)

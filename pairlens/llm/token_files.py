@@ -164,13 +164,14 @@ def parse_image(image: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]
 
 
 def write_token_files(
-    df: DataFrame, path: str, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, image_ids: int = IMAGE_IDS
+    df: DataFrame, path: str, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, image_ids: int = IMAGE_IDS, literal: bool = False
 ) -> None:
     """Write all documents' ids as images of about ``image_ids`` ids, in ascending id order.
 
     Each row of the written table is one image, with its range partition (``part``), the ids
     before it there (``base``) and its number of ids (``n_ids``).  Null ids come first, null
     texts count as empty, equal ids are ordered by text, and an empty table writes no image.
+    With ``literal`` the strings of special tokens in a text are ordinary text.
     """
     tok = tokenizer or default_tokenizer()
 
@@ -178,7 +179,7 @@ def write_token_files(
         import pyarrow as pa
         from pyspark import TaskContext
 
-        tokens, part = encoder(tok), TaskContext.get().partitionId()
+        tokens, part = encoder(tok, literal), TaskContext.get().partitionId()
         docs: list = []
         held: list[np.ndarray] = []
         sizes: list[np.ndarray] = []

@@ -9,11 +9,17 @@ White-space-separated chunks are taken apart here only where that is beyond doub
 ``LETTERS`` between ASCII signs, no apostrophe); all others go to the tokenizer as they are.
 Only ASCII white space separates chunks.  Splitting, finding distinct chunks and runs, and
 putting ids together are done by Arrow and numpy; Python looks at each distinct run of a batch.
+
+The strings of special tokens in a text are those tokens, as in the tokenizer's plain call, unless
+``literal`` asks for them as ordinary text.  The tokenizer cuts a text at them before all else, so
+they are cut out here too, and what lies between is encoded like a text of its own.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 
 import numpy as np
 
@@ -55,11 +61,17 @@ class Cache:
 class RunEncoder:
     """Encodes text columns to unsigned 32-bit ids; one per Python worker."""
 
-    def __init__(self, path: str, runs: int = RUNS):
+    def __init__(self, path: str, runs: int = RUNS, literal: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        added = json.loads(self.tokenizer.to_str())["added_tokens"]
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added):
+            raise ValueError("added tokens that depend on what surrounds them are not supported")
+        self.special = {} if literal else {t["content"]: t["id"] for t in added}
+        self.cut = re.compile(f"({'|'.join(map(re.escape, sorted(self.special, key=len, reverse=True)))})")
+        # texts come without special tokens' strings; lower-casing might make some
         self.tokenizer.encode_special_tokens = True
         # for runs, which are normal already and joined by spaces
         self.plain = Tokenizer.from_file(path)
@@ -102,8 +114,25 @@ class RunEncoder:
         import pyarrow as pa
         import pyarrow.compute as pc
 
+        texts = pc.fill_null(texts, "")
+        if not any(pc.any(pc.match_substring(texts, x)).as_py() for x in self.special):
+            return self._encode_plain(texts, end_id)
+        # parts between special tokens, each followed by the token after it
+        parts = [self.cut.split(t) for t in texts.to_pylist()]
+        after = [x for p in parts for x in (*(self.special[t] for t in p[1::2]), end_id)]
+        ids, sizes = self._encode_plain(pa.array([t for p in parts for t in p[::2]], pa.string()), end_id)
+        ids = ids.copy()
+        ids[np.cumsum(sizes) - 1] = after
+        counts = np.array([len(p) // 2 + 1 for p in parts])
+        return ids, np.add.reduceat(sizes, np.cumsum(counts) - counts)
+
+    def _encode_plain(self, texts, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts without nulls in which no special token counts."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
         # lower-casing ASCII first changes no id, and makes fewer chunks
-        chunks = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        chunks = pc.ascii_split_whitespace(pc.ascii_lower(texts))
         ends = chunks.offsets.to_numpy()[1:] - chunks.offsets[0].as_py()
         coded = chunks.flatten().dictionary_encode()
         whole = coded.dictionary
@@ -138,10 +167,10 @@ class RunEncoder:
         return flat[place], np.diff(last, prepend=0)
 
 
-_ENCODERS: dict[str, RunEncoder] = {}
+_ENCODERS: dict[tuple[str, bool], RunEncoder] = {}
 
 
-def encoder(path: str) -> RunEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = RunEncoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, literal: bool = False) -> RunEncoder:
+    if (path, literal) not in _ENCODERS:
+        _ENCODERS[path, literal] = RunEncoder(path, literal=literal)
+    return _ENCODERS[path, literal]

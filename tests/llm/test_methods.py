@@ -33,8 +33,7 @@ def test_run_encoder_equals_tokenizer(tokenizer):
 
     rng, out = random.Random(3), tokens.RunEncoder(tokens.default_tokenizer(), runs=500)
     signs = "aZéÉßǺİ 's't'RE 12½ª°\n\t\x1c\x85\xa0　中Σς.,!'’-…‍😀ﬁ"
-    tokenizer.encode_special_tokens = True
-    some = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 40))) + rng.choice(["", " ", "<|endoftext|>", "It's", "Été.", "ABC!", "d'accord"]) for _ in range(3000)]
+    some = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 40))) + rng.choice(["", " ", "<|endoftext|>", "<|ENDOFTEXT|>'s", "x<|endoftext|><|startoftext|> ", "It's", "Été.", "ABC!", "d'accord"]) + rng.choice(["", "́e", "<|endoftext|>"]) for _ in range(3000)]
     for at in range(0, len(some), 50):
         part = some[at : at + 50]
         ids, sizes = out.encode(pa.array([*part, None]))
@@ -43,6 +42,17 @@ def test_run_encoder_equals_tokenizer(tokenizer):
             assert ids[e - n : e].tolist() == [*tokenizer.encode(t, add_special_tokens=False).ids, 2]
 
 
+def test_special_tokens_as_ordinary_text():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokens.default_tokenizer())
+    plain.encode_special_tokens = True
+    for literal, want in ((False, [49407]), (True, plain.encode("<|endoftext|>", add_special_tokens=False).ids)):
+        ids, sizes = tokens.RunEncoder(tokens.default_tokenizer(), literal=literal).encode(pa.array(["<|endoftext|>"]))
+        assert ids.tolist() == [*want, 2] and sizes.tolist() == [len(want) + 1]
+
+
 @needs_data
 def test_packing_covers_every_id_once(spark, texts, tokenizer):
     pieces: dict = {}
