@@ -107,19 +107,23 @@ def _runs(c: str) -> str:
     return f"flatten(transform(array({cut}), r -> CASE WHEN size(r.runs) > 0 THEN {found} ELSE filter(transform(array(0), i -> {parts}), x -> false) END))"
 
 
-def example_findings(spark: SparkSession, rows: int = TRAINING_ROWS) -> DataFrame:
-    """Labelled findings built by rule: ``word, before, path, label``; the same rows each time.
+def example_findings(spark: SparkSession, rows: int = TRAINING_ROWS, salt: str = "") -> DataFrame:
+    """Labelled findings built by rule: ``word, before, path, label``; the same rows each time for a ``salt``.
 
     Positives are random strings in the forms that secrets take, mostly beside their names;
     negatives are digests, identifiers, numbers, addresses and placeholders beside others.
+    Another ``salt`` draws other strings, for tests.
     """
-    hexes = "substr(concat(sha2(concat('h', id), 256), sha2(concat('i', id), 256)), 1, {})"
-    base = "regexp_replace(base64(unhex(sha2(concat('b', id), 256))), '[+/=]', substr('xK4', 1 + id % 3, 1))"
-    base2 = "regexp_replace(base64(unhex(sha2(concat('c', id), 256))), '=', '')"
+    def drawn(key: str) -> str:
+        return f"sha2(concat('{key}{salt}', id), 256)"
 
-    def pick(items: str, salt: str) -> str:
+    hexes = f"substr(concat({drawn('h')}, {drawn('i')}), 1, {{}})"
+    base = f"regexp_replace(base64(unhex({drawn('b')})), '[+/=]', substr('xK4', 1 + id % 3, 1))"
+    base2 = f"regexp_replace(base64(unhex({drawn('c')})), '=', '')"
+
+    def pick(items: str, key: str) -> str:
         names = items.split()
-        return f"element_at(array({', '.join(repr(x) for x in names)}), int(pmod(xxhash64(id, '{salt}'), {len(names)})) + 1)"
+        return f"element_at(array({', '.join(repr(x) for x in names)}), int(pmod(xxhash64(id, '{key}{salt}'), {len(names)})) + 1)"
 
     own, other = pick("token secret password api_key apikey access_key auth_token client_secret pwd credential", "a"), pick("commit sha256 md5 checksum digest uuid revision etag build hash", "b")
     word, word2 = pick(" ".join(COMMON), "c"), pick(" ".join(COMMON), "d")
@@ -127,7 +131,7 @@ def example_findings(spark: SparkSession, rows: int = TRAINING_ROWS) -> DataFram
     prose = pick("the of and which with from that der die und les des que los", "p")
     quoted, plain = "concat('\"', {}, '\"')", "concat({}, '.')"
     mixed = f"concat(substr({base}, 1, 6), '#', substr({base2}, 3, 6))"
-    digits = "substr(regexp_replace(sha2(concat('n', id), 256), '[a-f]', ''), 1, {})"
+    digits = f"substr(regexp_replace({drawn('n')}, '[a-f]', ''), 1, {{}})"
     positives = [
         (quoted.format(hexes.format(hex_len)), f"concat({own}, ' =')"),
         (f"concat({own}, '=', {hexes.format(hex_len)})", prose),
@@ -144,7 +148,7 @@ def example_findings(spark: SparkSession, rows: int = TRAINING_ROWS) -> DataFram
         (hexes.format(hex_len), f"concat({prose}, ' ', {other})"),
         (quoted.format(hexes.format(hex_len)), f"concat({other}, ' =')"),
         (f"concat({other}, '=', {hexes.format(hex_len)})", prose),
-        ("regexp_replace(substr(sha2(concat('u', id), 256), 1, 32), '(.{8})(.{4})(.{4})(.{4})(.{12})', '$1-$2-$3-$4-$5')", f"concat({prose}, ' ', {other})"),
+        (f"regexp_replace(substr({drawn('u')}, 1, 32), '(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})', '$1-$2-$3-$4-$5')", f"concat({prose}, ' ', {other})"),
         (plain.format(f"concat({word}, '_', {word2}, '_', {digits.format(4)})"), prose),
         (f"concat({word}, initcap({word2}), 'Service', {digits.format(2)})", prose),
         (f"concat({prose}, '.', {digits.format(2)}, '@mail.', {word}, '.com')", prose),
@@ -171,11 +175,18 @@ def example_findings(spark: SparkSession, rows: int = TRAINING_ROWS) -> DataFram
 
 
 def train_forest(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> str:
-    """A forest trained on ``word, before, path, label``, as SQL over the features: the share of votes for a secret."""
+    """A forest trained on ``word, before, path, label``, as SQL over the features: the share of votes for a secret.
+
+    Rows without a label are left out, null words, neighbours and paths read as empty, repeated rows count each.
+    Without any labelled row nothing is a secret.
+    """
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    rows = findings.select("word", "before", "path", "label", F.expr(_value("word")).alias("value"))
+    rows = findings.where("label IS NOT NULL").select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("word", "before", "path")], "label")
+    if rows.isEmpty():
+        return "0.0D"
+    rows = rows.withColumn("value", F.expr(_value("word")))
     features = _features("value", "word", "before", "path")
     rows = rows.select("label", *[F.expr(features[name]).alias(name) for name in FEATURES])
     data = VectorAssembler(inputCols=FEATURES, outputCol="x").transform(rows).select("label", "x")
@@ -211,9 +222,8 @@ def find_secrets(df: DataFrame, forest: str, text_col: str = "text", path_col: s
     while words in df.columns:
         words = "_" + words
     text = F.col(f"`{text_col}`")
-    # no candidate can be in a text that has neither a digit nor an assigned secret name
-    possible = text.rlike("[0-9]") | F.lower(text).rlike(f"({SECRET_NAMES})[^a-z0-9]*[:=>]")
-    cut = _once(df, words, F.when(possible, F.split(text, r"\s+")).otherwise(F.array().cast("array<string>")))
+    # every way to be a candidate needs a digit or a sign of assignment somewhere
+    cut = _once(df, words, F.when(text.rlike("[0-9:=>]"), F.split(text, r"\s+")).otherwise(F.array().cast("array<string>")))
     w = f"`{words}`"
     indices = f"filter(sequence(0, greatest(size({w}) - 1, 0)), i -> length(get({w}, i)) >= 8)"
     near = f"transform({indices}, i -> named_struct('at', i, 'word', {w}[i], 'before', coalesce(get({w}, i - 1), ''), 'before2', coalesce(get({w}, i - 2), '')))"

@@ -48,13 +48,12 @@ def test_slots_agree_within_an_occurrence():
         assert found and found[0][2] == found[0][1] and found[0][4] >= 6, text
 
 
-def test_every_run_of_a_word_is_scanned(spark):
+def test_every_run_of_a_word_is_scanned(spark, forest):
     a, b = hashlib.sha256(b"a").hexdigest()[:32], hashlib.sha256(b"b").hexdigest()[:32]
     rows = [
         (1, f'{{"api_key":"{a}","user":"bob"}}', {a}), (2, "<password>k3J9xQ2mLp0Z</password>", {"k3J9xQ2mLp0Z"}), (3, f"see https://x.org/p?api_key={a}&lang=en there", {a}), (4, f'token="{a}";secret="{b}"', {a, b}),
         (5, '[{"name":"some","page":12},' * 3000 + f'{{"token":"{a}","n":1}}' + ',{"name":"some","page":12}' * 3000, {a}), (6, f'client.login(token="{a}",true)', {a}), (7, f'{{"commit":"{a}","n":1}}', set()),
     ]
-    forest = secrets.train_forest(secrets.example_findings(spark))
     df = spark.createDataFrame([(d, t, "src") for d, t, _ in rows], "doc_id long, text string, source string")
     found = secrets.find_secrets(df, forest)
     got = {r["doc_id"]: {x["value"] for x in r["secrets"]} for r in found.collect()}
@@ -65,6 +64,7 @@ def test_every_run_of_a_word_is_scanned(spark):
 
 def test_copies_do_not_crowd_out_a_language(spark):
     few = [("en", f"word{chr(97 + k % 26)}{chr(97 + k // 26)} of the text") for k in range(300)]
+    assert language.learn_dictionaries(spark.createDataFrame(few, "lang string, text string").where("false")) == {}
     for hot in ("the same text again", "another hot one"):
         df = spark.createDataFrame([*few, *[("en", hot)] * 30_000, *[("de", t) for _, t in few]], "lang string, text string").repartition(4)
         found = language.learn_dictionaries(df)
