@@ -1,11 +1,12 @@
 """Language identification by compression.
 
-For every language a bounded sample of labelled texts becomes the raw-content dictionary of a
-zstandard compressor.  A text, reduced to its lower-cased letters and single spaces, is cut
-into blocks, every block is compressed with each dictionary, and the language whose sizes add
-up to least is chosen; ties of short texts go to the dictionary that has their words more
-often.  Where the runner-up comes within ``MARGIN`` (texts in two languages, texts too short to
-tell) the row is marked as rejected.
+For every language a bounded sample of passages of labelled texts becomes the raw-content
+dictionary of a zstandard compressor.  A text, reduced to its lower-cased letters and single
+spaces, is cut into blocks, every block is compressed with each dictionary, and the language
+whose sizes add up to least is chosen.  Sizes are whole bytes, so two may be equal; then the sizes
+at the next of ``LEVELS`` are added.  Where the runner-up comes within ``MARGIN`` (texts in two
+languages, texts too short to tell) the row is marked as rejected.  Sizes alone decide, whatever
+the length of the text.
 
 The dictionaries are all that is learned: languages times ``DICT_BYTES``, a fixed bound for a
 given set of languages, sent to the tasks with the function.  Prediction is one narrow pass.
@@ -13,7 +14,6 @@ given set of languages, sent to the tasks with the function.  Prediction is one
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -23,13 +23,12 @@ from pyspark.sql import types as T
 from .common import slices, utf8
 
 DICT_BYTES = 200_000
-#: Labelled rows of each language that are looked at for its dictionary.
-SAMPLE_ROWS = 400
+#: Characters of a passage that may be drawn for a dictionary.
+PASSAGE = 500
 BLOCK = 4096
-LEVEL = 6
+#: Compression levels: the first for all texts, the others where the least sizes are equal.
+LEVELS = (6, 11, 3)
 MARGIN = 0.02
-#: Texts of fewer bytes may tie, as sizes are whole bytes.
-SHORT = 80
 UNKNOWN = "und"
 #: All ASCII but letters becomes a space.
 _BLANK = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
@@ -48,68 +47,63 @@ def has_letter(text: bytes) -> bool:
 class Classifier:
     """Compressors of all languages, in the order of their names."""
 
-    def __init__(self, dictionaries: dict[str, bytes], block: int = BLOCK, level: int = LEVEL):
+    def __init__(self, dictionaries: dict[str, bytes], block: int = BLOCK, levels: tuple[int, ...] = LEVELS):
+        self.block, self.languages, self.levels = block, sorted(dictionaries), levels
+        self.dictionaries, self.compressors = dictionaries, {}
+
+    def sizes(self, blocks: list[bytes], level: int) -> list[int]:
+        """Compressed size of all blocks with each dictionary."""
         import zstandard as zs
 
-        self.block, self.languages, self.compressors = block, sorted(dictionaries), []
-        self.padded = [b" " + dictionaries[x] + b" " for x in self.languages]
-        for name in self.languages:
-            data = zs.ZstdCompressionDict(dictionaries[name], dict_type=zs.DICT_TYPE_RAWCONTENT)
-            data.precompute_compress(level=level)
-            self.compressors.append(zs.ZstdCompressor(dict_data=data, level=level, write_checksum=False, write_content_size=False, write_dict_id=False))
+        if level not in self.compressors:
+            self.compressors[level] = []
+            for name in self.languages:
+                data = zs.ZstdCompressionDict(self.dictionaries[name], dict_type=zs.DICT_TYPE_RAWCONTENT)
+                data.precompute_compress(level=level)
+                self.compressors[level].append(zs.ZstdCompressor(dict_data=data, level=level, write_checksum=False, write_content_size=False, write_dict_id=False))
+        return [sum([len(c.compress(b)) for b in blocks]) for c in self.compressors[level]]
 
     def classify(self, text: bytes) -> tuple[str, float]:
         """Language and margin: by how much of the runner-up's size the chosen one is smaller."""
         if not self.languages or not has_letter(text):
             return UNKNOWN, 0.0
+        if len(self.languages) == 1:
+            return self.languages[0], 1.0
         words = letters_of(text)
         blocks = [words[at : at + self.block] for at in range(0, len(words), self.block)]
-        sizes = [sum([len(c.compress(b)) for b in blocks]) for c in self.compressors]
-        order = sorted(range(len(sizes)), key=sizes.__getitem__)
-        if len(order) == 1:
-            return self.languages[0], 1.0
-        (best, second), margin = order[:2], 1 - sizes[order[0]] / sizes[order[1]]
-        if len(words) < SHORT and margin < MARGIN:
-            # sizes are whole bytes: of the languages in a tie, the one whose dictionary has the words more often
-            near = [i for i in order if sizes[i] - sizes[best] <= 1] if sizes[second] - sizes[best] <= 1 else order[:2]
-            often = {i: sum([math.log(0.5 + self.padded[i].count(b" " + w + b" ")) for w in words.split()]) for i in near}
-            best, second = sorted(near, key=lambda i: -often[i])[:2]
-            margin = MARGIN if often[best] - often[second] >= math.log(2) else margin
-        return self.languages[best], margin
-
-
-def learn_dictionaries(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", rows: int = SAMPLE_ROWS, size: int = DICT_BYTES) -> dict[str, bytes]:
-    """A dictionary per language from about ``rows`` of its labelled texts, ``size`` bytes at most.
-
-    One text gives an eighth of a dictionary at most.  The sample is by a hash of the text, so it doesn't depend on how rows are laid out; repeated
-    texts count once.  Null and empty texts and null languages teach nothing.  Only the sample
-    reaches the driver: one count per language, then ``rows`` texts for each.
+        total = [0] * len(self.languages)
+        for level in self.levels:
+            total = [a + b for a, b in zip(total, self.sizes(blocks, level))]
+            least, second = sorted(total)[:2]
+            if least < second:
+                break
+        return self.languages[total.index(least)], 1 - least / second
+
+
+def learn_dictionaries(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", size: int = DICT_BYTES, passage: int = PASSAGE) -> dict[str, bytes]:
+    """A dictionary of up to ``size`` bytes per language, of passages of ``passage`` characters of its labelled texts.
+
+    Every passage of every distinct text is as likely to be drawn, by a hash of the text and the passage's
+    place, so the draw doesn't depend on how rows are laid out, and repeated texts count once.  Null and
+    empty texts and null languages teach nothing; a language with less than 8 letters is left out.  Only
+    counts and the drawn passages, about twice ``size`` for each language, reach the driver.
     """
     known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.col(text_col) != "")).select(
-        F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h")
+        F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"), F.length(text_col).alias("chars")
     )
-    # copies count once, as they are picked all or none
-    counts = {r["lang"]: r["n"] for r in known.select("lang", "h").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
+    # copies count once, as they are drawn all or none
+    chars = {r["lang"]: r["n"] for r in known.select("lang", "h", "chars").distinct().groupBy("lang").agg(F.sum("chars").alias("n")).collect()}
+    if not chars:
         return {}
-    # a hash threshold per language leaves 2 x rows of its distinct texts on average; fewer only where it has fewer
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 2 * rows / n))])
-    picked = known.where(F.pmod(F.col("h"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
-    short = picked.withColumn("text", F.substring("text", 1, size // 8)).groupBy("lang", "h").agg(F.min("text").alias("text"))
-    found: dict[str, dict] = {}
-    for r in short.orderBy("h").toLocalIterator():
-        of = found.setdefault(r["lang"], {})
-        if len(of) < rows:
-            of.setdefault(r["h"], r["text"])
-    out = {}
-    for lang, texts in found.items():
-        words = b""
-        for _, text in sorted(texts.items()):
-            words += letters_of(text.encode()) + b" "
-            if len(words) > size:
-                break
-        out[lang] = words[:size]
-    return {k: v for k, v in out.items() if len(v) >= 8}
+    share = F.create_map(*[F.lit(x) for lang, n in chars.items() for x in (lang, min(1.0, 2 * size / n))])
+    places = F.sequence(F.lit(0), F.floor((F.col("chars") - 1) / passage).cast("int"))
+    drawn = F.filter(places, lambda i: F.pmod(F.xxhash64("h", i), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
+    passages = known.select("lang", "h", "text", F.explode(drawn).alias("i")).select("lang", "h", "i", F.xxhash64("h", "i").alias("key"), F.substr("text", F.col("i") * passage + 1, F.lit(passage)).alias("text"))
+    out: dict[str, bytes] = {}
+    for r in passages.groupBy("lang", "h", "i", "key").agg(F.min("text").alias("text")).orderBy("key", "h", "i").toLocalIterator():
+        if len(out.setdefault(r["lang"], b"")) < size:
+            out[r["lang"]] += letters_of(r["text"].encode()) + b" "
+    return {k: v[:size] for k, v in out.items() if len(v) >= 8}
 
 
 def learning_rows(doc_id: Column) -> Column:
