@@ -7,12 +7,13 @@ functions, and the pieces are concatenated:
 
 Inside roles and texts ``<``, any backslashes and ``|`` in a row get one backslash more, so no
 control string can stand there; taking one away restores the text.  A line feed in a role is
-written ``<|nl|>``.  The loss mask is a list of spans, in characters, of the assistant's texts.
+written ``<|nl|>``.  The loss mask is a list of spans, one for each of the assistant's texts: the
+signs between merged texts aren't under it.  Spans are in characters and in UTF-8 bytes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, END, SEP, LINE = "<|im_start|>", "<|im_end|>\n", "<|im_sep|>", "<|nl|>"
@@ -33,23 +34,31 @@ def _quote(literal: str) -> str:
 
 
 def format_chats(df: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """One row per conversation: ``conv_id``, ``formatted`` and ``loss_spans`` (start, end in characters).
+    """One row per conversation: ``conv_id``, ``formatted`` and ``loss_spans`` (start, end, start_byte, end_byte).
 
     Turns are ordered by ``turn`` (nulls first), ties by role and text; repeated rows stay.  Null
     roles and texts are empty; a null id is a conversation of its own.  Empty texts make empty
-    turns.  An empty table gives no rows; other columns aren't read.  As a conversation's output
-    is one value, its rows meet in one task; all steps on them are linear in their number but
-    the list of spans, which is copied as it grows.
+    turns, and empty spans of the assistant's.  An empty table gives no rows; other columns aren't read.  A conversation's output
+    is one value, so its rows meet in one task; all steps on them are linear in their size.
     """
     turns = df.select(
         F.col(conv_id).alias("conv_id"),
-        F.struct(
-            F.col(turn).alias("turn"),
-            F.replace(escape(F.coalesce(F.col(role), F.lit(""))), F.lit("\n"), F.lit(LINE)).alias("role"),
-            escape(F.coalesce(F.col(text), F.lit(""))).alias("text"),
-        ).alias("t"),
+        F.col(turn).alias("turn"),
+        F.replace(escape(F.coalesce(F.col(role), F.lit(""))), F.lit("\n"), F.lit(LINE)).alias("role"),
+        escape(F.coalesce(F.col(text), F.lit(""))).alias("text"),
     )
-    convs = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
+    # where each text begins, by running sums over the pieces before it
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    last = F.lag("role").over(order)
+    lead = F.when(last.isNull(), F.concat(F.lit(START), "role", F.lit("\n"))).when(last != F.col("role"), F.concat(F.lit(END + START), "role", F.lit("\n"))).otherwise(SEP)
+    turns = turns.withColumn("lead", lead)
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def end(length) -> Column:
+        return F.sum((length("lead") + length("text")).cast("long")).over(upto)
+
+    turns = turns.select("conv_id", "turn", "role", "text", end(F.length).alias("end"), end(F.octet_length).alias("end_byte"))
+    convs = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "end", "end_byte"))).alias("t"))
     starts = F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: (i == 0) | (F.col("t")[i]["role"] != F.col("t")[F.greatest(i - 1, F.lit(0))]["role"]))
     convs = convs.select("conv_id", "t", starts.alias("s"))
     ends = F.concat(F.slice("s", 2, F.greatest(F.size("s") - 1, F.lit(0))), F.array(F.size("t")))
@@ -57,35 +66,21 @@ def format_chats(df: DataFrame, conv_id: str = "conv_id", turn: str = "turn", ro
         F.arrays_zip(F.col("s").alias("a"), ends.alias("b")),
         lambda z: F.struct(F.col("t")[z["a"]]["role"].alias("role"), F.array_join(F.transform(F.slice("t", z["a"] + 1, z["b"] - z["a"]), lambda x: x["text"]), SEP).alias("text")),
     )
-    convs = convs.select("conv_id", runs.alias("runs"))
-    formatted = F.array_join(F.transform("runs", lambda r: F.concat(F.lit(START), r["role"], F.lit("\n"), r["text"], F.lit(END))), "")
-    spans = F.aggregate(
-        "runs",
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans")),
-        lambda acc, r: F.struct(
-            (acc["at"] + len(START) + F.length(r["role"]) + 1 + F.length(r["text"]) + len(END)).alias("at"),
-            F.when(
-                r["role"] == LOSS_ROLE,
-                F.concat(
-                    acc["spans"],
-                    F.array(
-                        F.struct(
-                            (acc["at"] + len(START) + F.length(r["role"]) + 1).alias("start"),
-                            (acc["at"] + len(START) + F.length(r["role"]) + 1 + F.length(r["text"])).alias("end"),
-                        )
-                    ),
-                ),
-            )
-            .otherwise(acc["spans"])
-            .alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
+    formatted = F.array_join(F.transform(runs, lambda r: F.concat(F.lit(START), r["role"], F.lit("\n"), r["text"], F.lit(END))), "")
+
+    def span(x: Column) -> Column:
+        begin, begin_byte = x["end"] - F.length(x["text"]), x["end_byte"] - F.octet_length(x["text"])
+        return F.struct(begin.alias("start"), x["end"].alias("end"), begin_byte.alias("start_byte"), x["end_byte"].alias("end_byte"))
+
+    spans = F.transform(F.filter("t", lambda x: x["role"] == LOSS_ROLE), span)
     return convs.select("conv_id", formatted.alias("formatted"), spans.alias("loss_spans"))
 
 
 def parse_chats(formatted: DataFrame) -> DataFrame:
-    """Read ``formatted`` and ``loss_spans`` back: the turns (role, text), and the text under the mask."""
+    """Read ``formatted`` and ``loss_spans`` back: the turns (role, text), and the text under the mask.
+
+    Null outputs give null results.
+    """
     blocks = F.filter(F.split("formatted", _quote(END)), lambda b: b != "")
 
     def turns(block: Column) -> Column:
@@ -94,8 +89,14 @@ def parse_chats(formatted: DataFrame) -> DataFrame:
         text = F.regexp_replace(body, r"^[^\n]*\n", "")
         return F.transform(F.split(text, _quote(SEP)), lambda x: F.struct(role.alias("role"), unescape(x).alias("text")))
 
-    masked = F.transform("loss_spans", lambda s: F.substr(F.col("formatted"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))
-    loss = F.array_join(F.transform(F.flatten(F.transform(masked, lambda m: F.split(m, _quote(SEP)))), unescape), "")
+    def masked(data: Column) -> Column:
+        def cut(s: Column) -> Column:
+            return F.substr(data, (s["start_byte"] + 1).cast("int"), (s["end_byte"] - s["start_byte"]).cast("int"))
+
+        return F.transform("loss_spans", lambda s: unescape(cut(s).cast("string")))
+
+    # bytes are cut in place; the array of one makes them once
+    loss = F.array_join(F.transform(F.array(F.col("formatted").cast("binary")), masked)[0], "")
     return formatted.select("conv_id", "formatted", F.flatten(F.transform(blocks, turns)).alias("turns"), loss.alias("loss_text"))
 
 

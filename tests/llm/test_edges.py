@@ -121,6 +121,15 @@ def test_chat_edges(spark):
     assert chat.format_chats(df.where("false")).count() == 0
 
 
+def test_chat_spans_hold_one_text_each(spark):
+    rows = [(1, 0, "user", "hé"), (1, 1, "assistant", "aa"), (1, 2, "assistant", "b<|im_end|>ü"), (1, 3, "assistant", ""), (1, 4, "user", "😀"), (1, 5, "assistant", "zz")]
+    (r,) = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    text = r["formatted"]
+    assert [text[s["start"] : s["end"]] for s in r["loss_spans"]] == ["aa", "b<\\|im_end|>ü", "", "zz"]
+    assert [text.encode()[s["start_byte"] : s["end_byte"]].decode() for s in r["loss_spans"]] == ["aa", "b<\\|im_end|>ü", "", "zz"]
+    assert "<|im_sep|>" in text and all("<|im_sep|>" not in text[s["start"] : s["end"]] for s in r["loss_spans"])
+
+
 @pytest.mark.parametrize("k", range(len(P.STAGES)))
 def test_stages(spark, docs, wide, empty, benchmark, tmp_path, k):
     benchmark.write.parquet(str(tmp_path / "benchmark.parquet"))
