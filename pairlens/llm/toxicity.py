@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, utf8
+from .common import materialise, slices, utf8
 from .language import letters_of
 
 #: Labelled rows to learn from at most, in expectation.
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 30_000
 PREFIXES = (3, 4, 5, 6)
 PRIOR = 5.0
 SIGNIFICANT = 4.0
@@ -223,14 +223,15 @@ def learn(labelled: DataFrame, label_col: str = "toxic", text_col: str = "text",
     ``hash_col`` may hold the texts' ``xxhash64``, so that distinct rows are counted without moving texts.
 
     Three quarters of the sample give counts, which Spark sums; the held-back quarter's texts
-    (``rows / 4`` of them) go to the driver for calibration.  Null texts and labels teach nothing.
+    (``rows / 4`` of them) go to the driver for calibration.  The sample is written to the shared folder once.
+    Null texts and labels teach nothing; without any labelled row every score is the lowest.
     """
     known = labelled.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull()).select(
         F.col(text_col).alias("text"), (F.col(label_col) > 0).cast("int").alias("y"), (F.col(hash_col) if hash_col else F.xxhash64(text_col)).alias("h")
     )
     n = known.select("h", "y").distinct().count()
     share = min(1.0, rows / max(1, n))
-    sample = known.where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)).groupBy("h", "y").agg(F.min("text").alias("text"))
+    sample = materialise(known.where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)).groupBy("h", "y").agg(F.min("text").alias("text")), "toxic-sample")
     fold = F.pmod(F.shiftright("h", 32), F.lit(4))
 
     def count(batches) -> Iterator:
@@ -246,8 +247,8 @@ def learn(labelled: DataFrame, label_col: str = "toxic", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array([c[0] for c in seen.values()]), pa.array([c[1] for c in seen.values()])], names=["unit", "n", "t"])
 
     units = sample.where(fold != 0).select("text", "y").mapInArrow(count, "unit string, n long, t long").groupBy("unit").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    # a unit of which no prefix was ever in a toxic text cannot get a positive score
-    counts = {r["unit"]: (r["n"], r["t"]) for r in units.where("t > 1 or unit = ''").toLocalIterator()}
+    # a unit that was never in a toxic text cannot get a positive score, nor can longer units that begin with it
+    counts = {r["unit"]: (r["n"], r["t"]) for r in units.where("t > 0 or unit = ''").toLocalIterator()}
     texts, toxic = counts.pop("", (0, 0))
     held = [(r["text"].encode(), r["y"]) for r in sample.where(fold == 0).select("text", "y").orderBy("text", "y").toLocalIterator()]
     return fit_calibration(fit_weights(counts, texts, toxic), held)
