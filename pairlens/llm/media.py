@@ -7,16 +7,19 @@ components: 192 bytes of payload.  Every MCU is followed by a restart marker, so
 stand for themselves.  Quantisation is 1 throughout.  Frames are ``MCUS`` wide; the last one is
 filled up with spaces, and the stream's data chunk keeps the payload's length.
 
-Reading.  The RIFF chunks and the idx1 index give the frames; every frame's markers are parsed,
-its scan is unstuffed and cut back into coefficients.  Luminance blocks go through the inverse
-cosine transform to 8-bit samples; a shot ends where the histogram difference of two frames
-exceeds the mean of the differences around it by ``SIGMAS`` deviations.  Shots are clip rows
-with times.
+Reading.  The RIFF chunks and the idx1 index give the frames.  Frames that begin with the very
+tables written here are unstuffed and cut back into coefficients at once; all others are decoded
+by their own Huffman and quantisation tables (baseline, one interleaved scan).  Luminance blocks go
+through the inverse cosine transform to 8-bit samples; a shot ends where the histogram difference
+of two frames exceeds the mean of the other differences around it by ``SIGMAS`` deviations, of
+which one is ``LEAST_DEVIATION`` of the mean at least, and ``LEAST_CHANGE`` of the samples.  Shots
+are clip rows with times.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -33,6 +36,8 @@ FPS = 25
 BINS = 16
 WINDOW = 8
 SIGMAS = 2.5
+LEAST_DEVIATION = 0.4
+LEAST_CHANGE = 0.05
 #: Order in which JPEG stores the 64 coefficients of a block (fixed by the standard): by diagonals, turning at each.
 ZIGZAG = np.array([8 * r + c for r, c in sorted(((r, c) for r in range(8) for c in range(8)), key=lambda p: (sum(p), p[0] if sum(p) % 2 else p[1]))])
 
@@ -117,26 +122,145 @@ def _chunks(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
         at += 8 + size + size % 2
 
 
-def _scan_start(frame: bytes) -> tuple[int, int]:
-    """Where the scan begins and the MCUs of a frame, from its markers."""
-    if frame[:2] != b"\xff\xd8":
-        raise ValueError("not a JPEG frame")
-    at, width = 2, 0
-    while True:
-        if frame[at] != 0xFF:
-            raise ValueError("no marker where one is due")
-        marker, (size,) = frame[at + 1], struct.unpack_from(">H", frame, at + 2)
-        if marker == 0xC0:
-            _, height, width, parts = struct.unpack_from(">BHHB", frame, at + 4)
-            if height != 8 or parts != 3:
-                raise ValueError("frames are one MCU high, with three components")
-        at += 2 + size
-        if marker == 0xDA:
-            return at, width // 8
+class Jpeg:
+    """The tables and the scan of a baseline JPEG frame."""
+
+    def __init__(self, frame: bytes):
+        if frame[:2] != b"\xff\xd8":
+            raise ValueError("not a JPEG frame")
+        self.quantisers: dict[int, np.ndarray] = {}
+        self.codes: dict[int, dict[tuple[int, int], int]] = {}
+        self.parts: list[tuple[int, int, int, int]] = []
+        self.tables: dict[int, tuple[int, int]] = {}
+        self.restart, at, marker = 0, 2, 0
+        while marker != 0xDA:
+            if at + 4 > len(frame) or frame[at] != 0xFF:
+                raise ValueError("no marker where one is due")
+            marker, (size,) = frame[at + 1], struct.unpack_from(">H", frame, at + 2)
+            self._segment(marker, frame[at + 4 : at + 2 + size])
+            at += 2 + size
+        self.scan = frame[at:]
+        if not self.parts:
+            raise ValueError("a frame without components")
+
+    def _segment(self, marker: int, body: bytes) -> None:
+        if marker == 0xDB:
+            at = 0
+            while at < len(body):
+                wide, n = body[at] >> 4, body[at] & 15
+                self.quantisers[n] = np.frombuffer(body, ">u2" if wide else "u1", 64, at + 1).astype(np.float32)
+                at += 65 + 64 * (wide > 0)
+        elif marker == 0xC4:
+            at = 0
+            while at < len(body):
+                counts, code, k, table = body[at + 1 : at + 17], 0, at + 17, {}
+                for bits, n in enumerate(counts, 1):
+                    for _ in range(n):
+                        table[bits, code] = body[k]
+                        code, k = code + 1, k + 1
+                    code <<= 1
+                self.codes[body[at]], at = table, k
+        elif marker == 0xC0:
+            depth, self.height, self.width, n = struct.unpack_from(">BHHB", body)
+            if depth != 8:
+                raise ValueError("samples of 8 bits are read")
+            self.parts = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)]
+        elif marker in (0xC1, 0xC2, 0xC3, *range(0xC5, 0xC8), *range(0xC9, 0xCC), *range(0xCD, 0xD0)):
+            raise ValueError("baseline frames are read")
+        elif marker == 0xDD:
+            (self.restart,) = struct.unpack(">H", body)
+        elif marker == 0xDA:
+            self.tables = {body[1 + 2 * i]: (body[2 + 2 * i] >> 4, 0x10 | body[2 + 2 * i] & 15) for i in range(body[0])}
+            if set(self.tables) != {p[0] for p in self.parts}:
+                raise ValueError("one scan with all components is read")
+
+    def luminance(self) -> np.ndarray:
+        """Samples of the first component, rows and columns of whole blocks."""
+        wide, high = max(p[1] for p in self.parts), max(p[2] for p in self.parts)
+        if len(self.parts) == 1:
+            # a scan of one component goes by its blocks, whatever its factors say
+            columns, rows, steps = -(-self.width // 8), -(-self.height // 8), [(self.parts[0][0], 1, 1)]
+        else:
+            columns, rows, steps = -(-self.width // (8 * wide)), -(-self.height // (8 * high)), [p[:3] for p in self.parts]
+        _, h, v = steps[0]
+        blocks = np.zeros((rows * v, columns * h, 64), dtype=np.float32)
+        parts = re.split(rb"\xff[\xd0-\xd7]", self.scan) if self.restart else [self.scan]
+        at = 0
+        for part in parts:
+            bits = _Bits(part.split(b"\xff\xd9")[0].replace(b"\xff\0", b"\xff"))
+            before = dict.fromkeys(self.tables, 0)
+            for at in range(at, min(at + (self.restart or rows * columns), rows * columns)):
+                for k, (name, across, down) in enumerate(steps):
+                    for n in range(across * down):
+                        block = self._block(bits, name, before)
+                        if k == 0:
+                            blocks[at // columns * v + n // h, at % columns * h + n % h] = block
+            at += 1
+        if at < rows * columns:
+            raise ValueError("a scan ends early")
+        samples = np.clip(np.rint(blocks * self.quantisers[self.parts[0][3]] @ _INVERSE + 128), 0, 255).astype(np.uint8)
+        return samples.reshape(rows * v, columns * h, 8, 8).transpose(0, 2, 1, 3).reshape(rows * v * 8, columns * h * 8)
+
+    def _block(self, bits: _Bits, name: int, before: dict[int, int]) -> list[int]:
+        dc, ac = (self.codes[t] for t in self.tables[name])
+        out = [0] * 64
+        before[name] += bits.value(bits.symbol(dc))
+        out[0], k = before[name], 1
+        while k < 64:
+            symbol = bits.symbol(ac)
+            if symbol == 0:
+                break
+            k += symbol >> 4
+            if k > 63:
+                raise ValueError("a block has too many coefficients")
+            out[k] = bits.value(symbol & 15)
+            k += 1
+        return out
+
+
+class _Bits:
+    """Bits of an unstuffed scan, the highest first."""
+
+    def __init__(self, data: bytes):
+        self.data, self.at, self.end = data + b"\0" * 4, 0, 8 * len(data)
+
+    def take(self, n: int) -> int:
+        """The next ``n`` bits, 16 at most."""
+        if self.at + n > self.end:
+            raise ValueError("a scan ends early")
+        word = int.from_bytes(self.data[self.at >> 3 : (self.at >> 3) + 4], "big")
+        word >>= 32 - (self.at & 7) - n
+        self.at += n
+        return word & (1 << n) - 1
+
+    def symbol(self, codes: dict[tuple[int, int], int]) -> int:
+        code = 0
+        for bits in range(1, 17):
+            code = code << 1 | self.take(1)
+            if (bits, code) in codes:
+                return codes[bits, code]
+        raise ValueError("no such code")
+
+    def value(self, size: int) -> int:
+        """A signed value of ``size`` bits: those below half of the range are negative."""
+        x = self.take(size)
+        return x if not size or x >> (size - 1) else x - (1 << size) + 1
+
+
+def _own_mcus(frames: list[bytes]) -> int:
+    """MCUs of a frame if all frames begin with the head written here, else 0."""
+    try:
+        mcus = Jpeg(frames[0]).width // 8 if frames else 0
+    except ValueError:
+        return 0
+    return mcus if mcus and all(f.startswith(_jpeg_head(mcus)) for f in frames) else 0
 
 
 class Avi:
-    """A parsed file: coefficients as bytes, ``UNIT`` for each MCU, of all frames in index order."""
+    """A parsed file: coefficients as bytes, ``UNIT`` for each MCU, of all frames in index order.
+
+    Files without an index or with broken chunks, and frames that can't be decoded, are a ValueError.
+    """
 
     def __init__(self, data: bytes):
         if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
@@ -157,29 +281,30 @@ class Avi:
                 movi = at
             elif name == b"idx1":
                 index = data[at : at + size]
-        if movi is None or self.payload_bytes is None:
+        if movi is None or not index:
             raise ValueError("a list is missing")
-        head, start, self.mcus, scans = b"", 0, 0, []
-        for name, _, offset, size in struct.iter_unpack("<4sIII", index):
-            if name != b"00dc":
-                continue
-            frame = data[movi + offset + 8 : movi + offset + 8 + size]
-            if not head or frame[: len(head)] != head:
-                start, self.mcus = _scan_start(frame)
-                head = frame[:start]
-            scan = frame[start:-2]
-            for k in range(min(8, self.mcus - 1)):
-                scan = scan.replace(bytes([0xFF, 0xD0 + k]), b"")
-            scans.append(scan.replace(b"\xff\0", b"\xff"))
-        coded = np.frombuffer(b"".join(scans), np.uint8).reshape(-1, 9)
-        self.coefficients = _from_scan(coded).reshape(-1, UNIT)
-        self.frames = len(scans)
-
-    def payload(self) -> bytes:
-        return self.coefficients.tobytes()[: self.payload_bytes]
+        frames = [data[movi + offset + 8 : movi + offset + 8 + size] for name, _, offset, size in struct.iter_unpack("<4sIII", index) if name == b"00dc"]
+        self.frames, self.mcus = len(frames), _own_mcus(frames)
+        #: None if some frame is not of the coding written here
+        self.coefficients, self.foreign = None, frames
+        if self.mcus:
+            scans, start = [], len(_jpeg_head(self.mcus))
+            for frame in frames:
+                scan = frame[start:-2]
+                for k in range(min(8, self.mcus - 1)):
+                    scan = scan.replace(bytes([0xFF, 0xD0 + k]), b"")
+                scans.append(scan.replace(b"\xff\0", b"\xff"))
+            coded = np.frombuffer(b"".join(scans), np.uint8).reshape(-1, 9)
+            self.coefficients, self.foreign = _from_scan(coded).reshape(-1, UNIT), []
+
+    def payload(self) -> bytes | None:
+        """The bytes stored in the file; None if it isn't of this coding."""
+        return None if self.coefficients is None or self.payload_bytes is None else self.coefficients.tobytes()[: self.payload_bytes]
 
     def luminance(self) -> np.ndarray:
-        """Decoded 8-bit samples, 8 x 8 for each MCU of each frame: (frames, MCUs, 64)."""
+        """Decoded 8-bit samples of each frame, by MCUs for this coding and by rows for others."""
+        if self.coefficients is None:
+            return np.stack([Jpeg(f).luminance() for f in self.foreign])
         stored = self.coefficients[:, :64].astype(np.int16)
         values = np.where(stored >= 128, stored, stored - 255).astype(np.float32)
         samples = values @ _INVERSE
@@ -187,19 +312,20 @@ class Avi:
 
     def shots(self) -> list[tuple[int, int]]:
         """First frame and end of each shot."""
-        seen = (self.luminance().reshape(self.frames, -1) >> 4).astype(np.int64)
+        samples = self.luminance().reshape(self.frames, -1)
+        seen = (samples >> 4).astype(np.int64)
         seen += np.arange(self.frames)[:, None] * BINS
         hist = np.bincount(seen.ravel(), minlength=self.frames * BINS).reshape(self.frames, BINS)
         diff = np.abs(np.diff(hist, axis=0)).sum(axis=1).astype(np.float64)
-        if not len(diff):
-            return [(0, self.frames)]
         sums = np.concatenate([[0.0], np.cumsum(diff)])
         squares = np.concatenate([[0.0], np.cumsum(diff * diff)])
         low, high = np.maximum(np.arange(len(diff)) - WINDOW, 0), np.minimum(np.arange(len(diff)) + WINDOW + 1, len(diff))
-        n = high - low
-        mean = (sums[high] - sums[low]) / n
-        deviation = np.sqrt(np.maximum((squares[high] - squares[low]) / n - mean * mean, 0))
-        cuts = (np.flatnonzero(diff > mean + SIGMAS * deviation + 1e-9) + 1).tolist()
+        # the others of the window; a single difference has nothing to be compared with
+        n = np.maximum(high - low - 1, 1)
+        mean = (sums[high] - sums[low] - diff) / n
+        deviation = np.sqrt(np.maximum((squares[high] - squares[low] - diff * diff) / n - mean * mean, 0))
+        limit = np.maximum(mean + SIGMAS * np.maximum(deviation, LEAST_DEVIATION * mean), 2 * LEAST_CHANGE * samples.shape[1])
+        cuts = (np.flatnonzero((diff > limit + 1e-9) & (len(diff) > 1)) + 1).tolist()
         return list(zip([0, *cuts], [*cuts, self.frames]))
 
 
@@ -236,7 +362,11 @@ CLIPS = "array<struct<clip:int,start_s:double,end_s:double,frames:int>>"
 
 
 def read_media(media: DataFrame) -> DataFrame:
-    """Stored files read back: payload digests, the file's own, and timed clips."""
+    """Stored files read back: payload digests, the file's own, and timed clips.
+
+    Files of another coding have null payload columns, null files null in all; broken files are an error.  Repeated rows
+    are read each, an empty table gives no rows, other columns aren't read.
+    """
 
     def read(batches) -> Iterator:
         import pyarrow as pa
@@ -247,10 +377,14 @@ def read_media(media: DataFrame) -> DataFrame:
         for part in slices(batches, 256, 2):
             rows = []
             for doc, n, data in zip(*(part.column(i).to_pylist() for i in range(3))):
+                if data is None:
+                    rows.append((doc, n, *[None] * 6))
+                    continue
                 avi = Avi(data)
                 payload = avi.payload()
+                stored = (None, None, None) if payload is None else (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
                 clips = [{"clip": i, "start_s": a / avi.fps, "end_s": b / avi.fps, "frames": b - a} for i, (a, b) in enumerate(avi.shots())]
-                rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), clips))
+                rows.append((doc, n, *stored, len(data), hashlib.sha256(data).hexdigest(), clips))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
     schema = f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, clips {CLIPS}"
@@ -258,12 +392,12 @@ def read_media(media: DataFrame) -> DataFrame:
 
 
 def clip_rows(read: DataFrame) -> DataFrame:
-    """One row per clip of files that :func:`read_media` has read."""
+    """One row per clip of files that :func:`read_media` has read; null and repeated ids stay, null files have none."""
     return read.select("doc_id", F.inline("clips"))
 
 
 def feature() -> F.Column:
-    """Frames, shots and the times of the cuts, as text."""
+    """Frames, shots and the times of the cuts, as text; null for a null file."""
     frames = F.aggregate("clips", F.lit(0), lambda n, c: n + c["frames"])
     cuts = F.array_join(F.transform(F.slice("clips", 2, 1_000_000_000), lambda c: F.format_string("%.2f", c["start_s"])), ",")
     return F.concat(F.lit("frames="), frames, F.lit(";shots="), F.size("clips"), F.lit(";cuts="), cuts)
