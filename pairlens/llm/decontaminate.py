@@ -15,10 +15,14 @@ Items of so few windows that one lost window is too many (none, for items of und
 tokens and rows of numbers) are also looked up whole, by a hash of all their tokens: as they
 are, and, from ``WINDOW`` tokens on, with placeholders whose values agree.
 
-The table of the benchmark goes to the tasks with the function, up to ``INDEX_CHARS`` characters
-of items; a larger benchmark is dealt into parts by a hash of the item, and the documents are
-scanned once for each part.  Scanning is narrow: documents are never shuffled, so neither common
-passages nor hot sources weigh on one task.
+An item is looked at closer only where one of its key windows is found.  Keys are the rarest of its
+windows, so many that no share of ``SHARE`` and no run of ``RUN`` tokens can do without one.  So a
+window that thousands of items have in common leads to none of them by itself, and nothing is lost.
+
+The table of the benchmark is broadcast, up to ``INDEX_CHARS`` characters of items; a larger
+benchmark is dealt into parts by a hash of the item, which are built one after the other, and the
+documents are scanned once for each part.  Scanning is narrow: documents are never shuffled, so
+neither common passages nor hot sources weigh on one task.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import materialise, slices
 
 WINDOW = 5
 SHARE = 0.8
@@ -209,6 +213,7 @@ class Index:
         self.windows = np.bincount(found.doc[np.unique(start)], minlength=len(items))
         #: windows without which neither the share nor the run can be reached
         self.need = np.maximum(1, np.minimum(np.ceil(SHARE * self.windows), RUN - WINDOW + 1)).astype(np.int64)
+        self._choose_keys()
         self.readings = _readings(found)
         #: by number of tokens and reading: sorted hashes of whole items, and the items
         self.whole: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
@@ -230,6 +235,31 @@ class Index:
         self.filter = np.zeros(1 << max(16, int(len(h)).bit_length() + 5), dtype=bool)
         self.filter[h & np.uint64(len(self.filter) - 1)] = True
 
+    def _choose_keys(self) -> None:
+        """Entries by item, and the hashes of the key windows with their items."""
+        of = self.item[self.starts]
+        self.by_item = np.argsort(of, kind="stable")
+        self.bounds = np.searchsorted(of[self.by_item], np.arange(len(self.items) + 1))
+        starts, where = np.unique(self.starts, return_inverse=True)
+        # a window is as common as the most common of its forms; ranks tell all apart
+        common = np.zeros(len(starts), dtype=np.int64)
+        np.maximum.at(common, where, np.searchsorted(self.hashes, self.hashes, "right") - np.searchsorted(self.hashes, self.hashes))
+        rank = np.empty(len(starts), dtype=np.int64)
+        rank[np.argsort(common, kind="stable")] = np.arange(len(starts))
+        # of w windows, w less those that a share needs may be missing: one more of the rarest can't be
+        item, key = self.item[starts], np.zeros(len(starts), dtype=bool)
+        order = np.lexsort((rank, item))
+        place = np.arange(len(order)) - np.searchsorted(item[order], item[order])
+        spare = self.windows - np.ceil(SHARE * self.windows).astype(np.int64) + 1
+        key[order[place < spare[item[order]]]] = True
+        # the rarest of each run that would do by itself
+        long = RUN - WINDOW + 1
+        if len(starts) >= long:
+            runs = np.flatnonzero(starts[long - 1 :] - starts[: len(starts) - long + 1] == long - 1)
+            key[runs + np.lib.stride_tricks.sliding_window_view(rank, long)[runs].argmin(axis=1)] = True
+        keys = key[where]
+        self.key_hashes, self.key_items = self.hashes[keys], of[keys]
+
     def scan(self, texts) -> list[list[tuple[int, int, int, int, int]]]:
         """For each text the items that it holds: item, its windows, windows found, longest run in tokens, changed slots."""
         import pyarrow as pa
@@ -289,9 +319,11 @@ class Index:
 
     def _items(self, found: Tokens, starts: np.ndarray, masks: np.ndarray, keys: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         distinct = np.unique(keys)
-        low, high = np.searchsorted(self.hashes, distinct), np.searchsorted(self.hashes, distinct, "right")
-        at = _spans(low, high)
-        item, key = self.item[self.starts[at]], np.repeat(distinct, high - low)
+        led = np.unique(self.key_items[_spans(np.searchsorted(self.key_hashes, distinct), np.searchsorted(self.key_hashes, distinct, "right"))])
+        at = self.by_item[_spans(self.bounds[led], self.bounds[led + 1])]
+        place = np.searchsorted(distinct, self.hashes[at])
+        at = at[distinct[np.minimum(place, len(distinct) - 1)] == self.hashes[at]]
+        item, key = self.item[self.starts[at]], self.hashes[at]
         # items of which enough windows are there at all
         few = np.unique(self.starts[at])
         items, counts = np.unique(self.item[few], return_counts=True)
@@ -361,13 +393,16 @@ class Index:
         return passed, sum(mine != theirs for mine, theirs in stands.items())
 
 
-def build_indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", index_chars: int = INDEX_CHARS) -> list[Index]:
-    """Indexes of at most about ``index_chars`` characters each (a single larger item has one to itself)."""
+def build_indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", index_chars: int = INDEX_CHARS) -> Iterator[Index]:
+    """Indexes of at most about ``index_chars`` characters each (a single larger item has one to itself), one at a time."""
     items = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).where(F.col(text_col).isNotNull())
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     parts = max(1, -(-total // index_chars))
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
-    return [Index([(r[0], r[1]) for r in items.where(part == p).orderBy("item_id", "text").collect()]) for p in range(parts)]
+    items = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)))
+    if parts > 1:
+        items = materialise(items, "benchmark")
+    for p in range(parts):
+        yield Index([(r[0], r[1]) for r in items.where(F.col("part") == p).orderBy("item_id", "text").collect()])
 
 
 HITS = "doc_id long, item_id long, windows int, found int, run_tokens int, changed_slots int"
@@ -386,17 +421,17 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out = None
     for index in build_indexes(benchmark, index_chars=index_chars):
-        found = docs.mapInArrow(_finder(index), HITS)
+        found = docs.mapInArrow(_finder(df.sparkSession.sparkContext.broadcast(index)), HITS)
         out = found if out is None else out.union(found)
     return out
 
 
-def _finder(index: Index):
+def _finder(index):
     def find(batches) -> Iterator:
         import pyarrow as pa
 
         for part in slices(batches, 1024, 1):
-            rows = [(doc, *hit) for doc, hits in zip(part.column(0).to_pylist(), index.scan(part.column(1))) for hit in hits]
+            rows = [(doc, *hit) for doc, hits in zip(part.column(0).to_pylist(), index.value.scan(part.column(1))) for hit in hits]
             types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
             columns = list(zip(*rows)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "item_id", "windows", "found", "run_tokens", "changed_slots"])
@@ -405,18 +440,21 @@ def _finder(index: Index):
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, text_col: str = "text", index_chars: int = INDEX_CHARS) -> DataFrame:
-    """The rows of ``df``, unchanged, that hold no benchmark item; see :func:`find_leaks`."""
+    """The rows of ``df``, unchanged, that hold no benchmark item; see :func:`find_leaks`.
+
+    Null and empty texts stay, as do all rows where the benchmark is empty; repeated rows stay or go alike.
+    """
     at = df.columns.index(text_col)
 
-    def keeper(index: Index):
+    def keeper(index):
         def keep(batches) -> Iterator:
             import pyarrow as pa
 
             for part in slices(batches, 1024, at):
-                yield part.filter(pa.array([not hits for hits in index.scan(part.column(at))], pa.bool_()))
+                yield part.filter(pa.array([not hits for hits in index.value.scan(part.column(at))], pa.bool_()))
 
         return keep
 
     for index in build_indexes(benchmark, index_chars=index_chars):
-        df = df.mapInArrow(keeper(index), df.schema)
+        df = df.mapInArrow(keeper(df.sparkSession.sparkContext.broadcast(index)), df.schema)
     return df

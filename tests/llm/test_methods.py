@@ -190,6 +190,113 @@ def test_shots_follow_a_change_of_material():
     assert any(abs(a - 20) <= 1 for a, _ in avi.shots()[1:])
 
 
+@pytest.mark.parametrize("frames", range(3, 12))
+def test_a_hard_cut_is_seen_in_short_files(frames):
+    rng = np.random.default_rng(frames)
+    cut = frames // 2 + 1
+    low, high = rng.integers(97, 122, 768 * cut).astype(np.uint8), rng.integers(128, 256, 768 * (frames - cut)).astype(np.uint8)
+    assert media.Avi(media.encode_avi(bytes(low) + bytes(high))).shots() == [(0, cut), (cut, frames)]
+    assert len(media.Avi(media.encode_avi(bytes(rng.integers(97, 122, 768 * frames).astype(np.uint8)))).shots()) == 1
+
+
+def slow_shots(diffs, samples):
+    out = []
+    for i, d in enumerate(diffs):
+        others = [x for j, x in enumerate(diffs) if j != i and abs(i - j) <= 8]
+        if others:
+            mean = sum(others) / len(others)
+            deviation = (sum((x - mean) ** 2 for x in others) / len(others)) ** 0.5
+            if d > max(mean + 2.5 * max(deviation, 0.4 * mean), 0.1 * samples) + 1e-6:
+                out.append(i + 1)
+    return out
+
+
+def test_shots_against_the_rule_frame_by_frame():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 3, 9, 40):
+        material = b"".join(bytes(rng.integers(a, a + w, 768).astype(np.uint8)) for a, w in zip(rng.integers(32, 200, n) // (1 + rng.integers(0, 2)), rng.integers(1, 50, n)))
+        avi = media.Avi(media.encode_avi(material))
+        hist = [np.bincount(f.ravel() // 16, minlength=16) for f in avi.luminance()]
+        diffs = [int(np.abs(a.astype(int) - b).sum()) for a, b in zip(hist, hist[1:])]
+        assert [a for a, _ in avi.shots()[1:]] == slow_shots(diffs, 256)
+
+
+def foreign_frame(blocks, quantiser, restart=0, gray=False):
+    """A JPEG frame by tables of its own: categories and runs by fixed-length codes; blocks of all components, by MCU."""
+    bits, before = "", [0, 0, 0]
+    dc, ac = list(range(12)), [r << 4 | s for r in range(16) for s in range(11)]
+    out, parts = b"", 1 if gray else 3
+
+    def value(v):
+        n = abs(v).bit_length()
+        return n, format(v if v > 0 else v + (1 << n) - 1, f"0{n}b") if n else ""
+
+    def flush():
+        nonlocal bits, out
+        bits += "1" * (-len(bits) % 8)
+        out += bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8)).replace(b"\xff", b"\xff\0")
+        bits = ""
+
+    for k, block in enumerate(blocks):
+        if restart and k and k % (restart * parts) == 0:
+            flush()
+            out += bytes([0xFF, 0xD0 + (k // (restart * parts) - 1) % 8])
+            before = [0, 0, 0]
+        n, v = value(block[0] - before[k % parts])
+        before[k % parts] = block[0]
+        bits += format(dc.index(n), "05b") + v
+        run = 0
+        last = max([i for i in range(1, 64) if block[i]], default=0)
+        for i in range(1, last + 1):
+            if block[i] == 0 and run < 15:
+                run += 1
+                continue
+            n, v = value(block[i])
+            bits += format(ac.index(run << 4 | n), "08b") + v
+            run = 0
+        if last < 63:
+            bits += format(0, "08b")
+    flush()
+    seg = media._segment
+    mcus = len(blocks) // parts
+    names = range(1, parts + 1)
+    return (
+        b"\xff\xd8" + seg(0xE0, b"other") + seg(0xDB, bytes([0]) + bytes(quantiser)) + seg(0xC0, b"\x08" + (8).to_bytes(2, "big") + (8 * mcus).to_bytes(2, "big") + bytes([parts]) + b"".join(bytes([i, 0x11, 0]) for i in names))
+        + seg(0xC4, bytes([0]) + bytes([0] * 4 + [len(dc)] + [0] * 11) + bytes(dc)) + seg(0xC4, bytes([0x10]) + bytes([0] * 7 + [len(ac)] + [0] * 8) + bytes(ac))
+        + (seg(0xDD, restart.to_bytes(2, "big")) if restart else b"") + seg(0xDA, bytes([parts]) + b"".join(bytes([i, 0]) for i in names) + b"\0\x3f\0") + out + b"\xff\xd9"
+    )
+
+
+def test_frames_of_another_encoder_are_decoded_by_their_own_tables():
+    rng = np.random.default_rng(3)
+    c = lambda u: np.sqrt(0.5) if u == 0 else 1.0
+    for restart, gray in ((0, False), (1, False), (2, False), (0, True), (2, True)):
+        quantiser = rng.integers(1, 9, 64).tolist()
+        parts = 1 if gray else 3
+        blocks = [[int(rng.integers(-60, 60)), *(int(x) if rng.random() < 0.2 else 0 for x in rng.integers(-30, 30, 63))] for _ in range(4 * parts)]
+        frame = foreign_frame(blocks, quantiser, restart, gray)
+        got = media.Jpeg(frame).luminance()
+        for m in range(4):
+            block = np.zeros(64)
+            block[media.ZIGZAG] = np.array(blocks[m * parts]) * quantiser
+            block = block.reshape(8, 8)
+            want = [[sum(c(u) * c(v) / 4 * block[v, u] * np.cos((2 * x + 1) * u * np.pi / 16) * np.cos((2 * y + 1) * v * np.pi / 16) for u in range(8) for v in range(8)) + 128 for x in range(8)] for y in range(8)]
+            assert np.abs(got[:, 8 * m : 8 * m + 8].astype(int) - np.clip(np.rint(want), 0, 255)).max() <= 1
+    # the general decoder agrees with the fast one on frames written here
+    avi = media.Avi(media.encode_avi(media.payload_of(rng.bytes(1500))))
+    data = media.encode_avi(media.payload_of(rng.bytes(1500)))
+    avi = media.Avi(data)
+    index = data[data.index(b"idx1") + 8 :]
+    movi = data.index(b"movi")
+    at, size = int.from_bytes(index[8:12], "little"), int.from_bytes(index[12:16], "little")
+    own = media.Jpeg(data[movi + at + 8 : movi + at + 8 + size]).luminance()
+    assert (own.reshape(8, avi.mcus, 8).transpose(1, 0, 2).reshape(avi.mcus, 64) == avi.luminance()[0]).all()
+    # other tables: no payload is made up
+    for old, new in ((b"\x08\x10" + bytes([1] + [0] * 15) + b"\x08", b"\x08\x10" + bytes([1] + [0] * 15) + b"\x05"), (b"\0" + b"\1" * 64, b"\0" + b"\7" * 64)):
+        other = media.Avi(data.replace(old, new))
+        assert data != data.replace(old, new) and other.payload() is None
+
+
 @needs_data
 def test_media_query_digests(spark, texts):
     for r in media.read_media(media.store_media(spark.read.parquet(f"{DATA}/documents.parquet"))).withColumn("feature", media.feature()).collect():
@@ -221,10 +328,36 @@ def test_leaks_with_other_values():
     assert not b or b[0][2] < a[0][2]
 
 
+def test_key_windows_lose_nothing():
+    """Against an index in which every window is a key, on items and texts that share most of their windows."""
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    words = [f"{a}{b}" for a in "bdfk" for b in ("an", "el", "ori", "ut")]
+    stem = [rng.choice(words) for _ in range(14)]
+    items = []
+    for k in range(300):
+        own = [rng.choice(words) for _ in range(rng.randrange(0, 12))]
+        cut = rng.randrange(0, 15)
+        items.append((k, " ".join([*stem[:cut], *own, *stem[cut if rng.random() < 0.5 else 14 :], *(["Ann", "had", "12"] if k % 3 == 0 else [])])))
+    index, full = decontaminate.Index(items), decontaminate.Index(items)
+    full.key_hashes, full.key_items = full.hashes, full.item[full.starts]
+    assert len(index.key_hashes) < 0.7 * len(full.key_hashes)
+    texts = []
+    for _ in range(200):
+        w = items[rng.randrange(300)][1].replace("Ann", rng.choice(["Ann", "Eve"])).replace("12", rng.choice(["12", "9"])).split()
+        for _ in range(rng.randrange(0, 4)):
+            if w:
+                w[rng.randrange(len(w))] = rng.choice(words)
+        texts.append(" ".join([rng.choice(words), *w, rng.choice(words), *items[rng.randrange(300)][1].split()[: rng.randrange(0, 30)]]))
+    got, want = index.scan(pa.array(texts)), full.scan(pa.array(texts))
+    assert got == want and sum(map(len, want)) > 300
+
+
 def test_large_benchmarks_are_dealt_into_parts(spark):
     docs = spark.createDataFrame([(1, "red green blue black white grey brown pink"), (2, "nothing")], "doc_id long, text string")
     items = spark.createDataFrame([(k, f"w{k} green blue black white grey brown pink" if k else "red green blue black white grey brown pink") for k in range(40)], "item_id long, text string")
-    parts = decontaminate.build_indexes(items, index_chars=300)
+    parts = list(decontaminate.build_indexes(items, index_chars=300))
     assert len(parts) > 1 and sum(len(p.items) for p in parts) == 40
     whole = {tuple(r) for r in decontaminate.find_leaks(docs, items).collect()}
     assert {tuple(r) for r in decontaminate.find_leaks(docs, items, index_chars=300).collect()} == whole and (1, 0) in {r[:2] for r in whole}
