@@ -9,8 +9,9 @@ with Jaccard similarity s to a template shares a band with probability 1 - (1 -
 shingles that the window and its surroundings contain decides.
 
 Only windows with a shingle of some template get a signature: the others have nothing in common
-with any, so this loses nothing.  All steps are column expressions and one join with the bands of
-the template library, a table that doesn't grow with the corpus.
+with any, so this loses nothing.  Texts are cut into blocks of shingles first, with what windows at
+their edges need, so a row stays small however long its text.  All steps are column expressions and
+one join with the bands of the template library, which has ``LIBRARY`` shingles at most.
 """
 
 from __future__ import annotations
@@ -21,6 +22,10 @@ from pyspark.sql import functions as F
 SHINGLE = 5
 BANDS = 24
 CONTAINED = 0.8
+#: Shingles of a text that are worked on at once.
+BLOCK = 8192
+#: Distinct shingles of all templates: the table that is broadcast.
+LIBRARY = 200_000
 
 #: Notices and headers of common licenses.
 TEMPLATES = {
@@ -100,11 +105,16 @@ def scan_licenses(df: DataFrame, templates: dict[str, str] | None = None, id_col
     ``containment`` is the greatest share of the template's shingles found around one window,
     ``word_start`` the first such window's first word.  Null, empty and wordless texts have none.
     Repeated rows under one id are reported once; a null id stays.  Whole texts are scanned; a
-    notice may be repeated without bound.  Empty tables give no rows; other columns aren't read.
+    notice may be repeated without bound.  Ties go to the first place.  Empty tables and libraries of no words
+    give no rows; other columns aren't read.  More than ``LIBRARY`` template shingles are an error.
     """
     spark = df.sparkSession
-    library = template_table(spark, templates or TEMPLATES).collect()  # the library alone, a constant of the program
+    library = template_table(spark, templates or TEMPLATES).collect()
+    if sum(len(r["hashes"]) for r in library) > LIBRARY:
+        raise ValueError(f"a library of {LIBRARY} shingles at most is searched at once: scan once for each part of it")
     classes = sorted({(r["size"], r["width"]) for r in library})
+    if not classes:
+        return df.select(F.col(id_col).alias("doc_id"), F.lit("").alias("license"), F.lit(0.0).alias("containment"), F.lit(0).alias("word_start")).where("false")
     sizes = sorted({s for s, _ in classes})
 
     def once(value: Column) -> Column:
@@ -114,11 +124,20 @@ def scan_licenses(df: DataFrame, templates: dict[str, str] | None = None, id_col
     docs = df.select(F.col(id_col).alias("doc_id"), once(words_of(F.col(text_col))).alias("w"))
     hashed = docs.select("doc_id", once(F.struct(*[shingle_hashes("w", s).alias(f"h{s}") for s in sizes])).alias("x")).select("doc_id", "x.*")
 
+    margin = 2 * max(w for _, w in classes)
+    longest = F.greatest(*[F.size(f"h{s}") for s in sizes], F.lit(1))
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.floor((longest - 1) / BLOCK).cast("int")),
+        lambda b: F.struct((b * BLOCK).alias("begin"), F.greatest(b * BLOCK - margin, F.lit(0)).alias("low"), *[F.slice(f"h{s}", F.greatest(b * BLOCK - margin, F.lit(0)) + 1, F.lit(BLOCK + 2 * margin)).alias(f"h{s}") for s in sizes]),
+    )
+    hashed = hashed.select("doc_id", F.explode(blocks).alias("x")).select("doc_id", "x.*")
+
     def inside(size: int) -> Column:
-        """Places of shingles that some template has."""
+        """Places in the text of this block's shingles that some template has."""
         known = sorted({h for r in library if r["size"] == size for h in r["hashes"]})
-        h = F.col(f"h{size}")
-        return F.filter(F.sequence(F.lit(0), F.greatest(F.size(h) - 1, F.lit(0))), lambda i: F.get(h, i).isin(known))
+        h, low, begin = F.col(f"h{size}"), F.col("low"), F.col("begin")
+        places = F.sequence(begin, F.least(begin + BLOCK, low + F.size(h)) - 1)
+        return F.when(begin < low + F.size(h), F.filter(places, lambda i: F.get(h, i - low).isin(known))).otherwise(F.array().cast("array<int>"))
 
     hits = hashed.select("*", once(F.struct(*[inside(s).alias(f"at{s}") for s in sizes])).alias("x")).select("*", "x.*")
     hits = hits.where(" OR ".join(f"size(at{s}) > 0" for s in sizes))
@@ -128,8 +147,8 @@ def scan_licenses(df: DataFrame, templates: dict[str, str] | None = None, id_col
         starts = F.array_distinct(F.flatten(F.transform(f"at{size}", lambda p: F.transform(F.sequence(F.lit(0), F.lit((width - 1) // step)), lambda k: (F.floor(p / step) - k).cast("int") * step))))
 
         def cut(start: Column, length: int) -> Column:
-            low = F.greatest(start, F.lit(0))
-            return F.array_distinct(F.slice(h, low + 1, F.greatest(start + length - low, F.lit(0))))
+            first = F.greatest(start, F.lit(0))
+            return F.array_distinct(F.slice(h, first - F.col("low") + 1, F.greatest(start + length - first, F.lit(0))))
 
         return F.transform(starts, lambda s: F.struct(s.alias("start"), F.lit(size).alias("size"), F.lit(width).alias("width"), cut(s, width).alias("shingles"), cut(s - width // 2, 2 * width).alias("around")))
 

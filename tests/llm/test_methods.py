@@ -364,7 +364,9 @@ def test_large_benchmarks_are_dealt_into_parts(spark):
     assert [r["doc_id"] for r in decontaminate.decontaminate(docs, items, index_chars=300).collect()] == [2]
 
 
-def test_licenses(spark):
+@pytest.mark.parametrize("block", [64, licenses.BLOCK])
+def test_licenses(spark, monkeypatch, block):
+    monkeypatch.setattr(licenses, "BLOCK", block)
     mit = licenses.TEMPLATES["MIT/grant"].split()
     rows = [
         (1, "text before " * 40 + licenses.TEMPLATES["MIT/grant"] + " and after " * 40), (2, "Released  under the MIT\nlicense"), (3, " ".join(mit[: len(mit) // 2])), (4, "all rights are reserved by nobody"), (5, "All rights reserved."),
@@ -387,6 +389,7 @@ def test_licenses(spark):
             share = len(shingles(w, n) & shingles(words(text), n)) / len(shingles(w, n))
             if share >= 0.8:
                 want[doc, name] = round(share, 6)
+    assert licenses.scan_licenses(df, {"none": "..."}).count() == 0
     assert found == want and (1, "MIT/grant") in want and (6, "MIT/grant") in want and (3, "MIT/grant") not in want
 
 
