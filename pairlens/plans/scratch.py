@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,14 +11,24 @@ _CLAIMED: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; only where it is unset, a folder in the warehouse."""
-    return spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    """The cluster's ``spark.checkpoint.dir``; only in local mode, where it is unset, a folder in the warehouse."""
+    given = spark.conf.get("spark.checkpoint.dir", "")
+    if not given and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return given or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
 
 
 def claim(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, which :func:`release` removes."""
-    path = f"{shared_dir(spark)}/pairlens-{name}-{uuid.uuid4().hex}"
-    _CLAIMED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    """A new path in the shared folder, which :func:`release` or the end of the application removes."""
+    app = spark.sparkContext.applicationId
+    top = f"{shared_dir(spark)}/pairlens-{app}"
+    if app not in _CLAIMED:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(top)
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+    path = f"{top}/{name}-{uuid.uuid4().hex}"
+    _CLAIMED.setdefault(app, []).append(path)
     return path
 
 
