@@ -11,7 +11,7 @@ import hashlib
 import re
 from dataclasses import dataclass, field
 
-from .text import KEYWORDS, MIN_FINGERPRINT_CHARS
+from .text import KEYWORDS, MIN_FINGERPRINT_CHARS, TOKEN
 
 _RESERVED = frozenset(KEYWORDS)
 _LEX = re.compile(
@@ -324,19 +324,44 @@ def fingerprint(source: str) -> dict:
 
 
 def role_tokens(source: str) -> list[str]:
-    """Roles for edit comparison: literals as they are, names after a dot ``API:x``, before a bracket ``CALL:x``, else ``ID``."""
-    s, out = Script(source), []
-    for i, t in enumerate(s.tokens):
-        if t.kind == "name" and t.text not in _RESERVED:
-            out.append(f"API:{t.text}" if s.text(i - 1) in (".", "?.") else f"CALL:{t.text}" if s.text(i + 1) == "(" else "ID")
-        else:
-            out.append(t.text)
+    """Roles for edit comparison: literals as they are, names after a dot ``API:x``, before a bracket ``CALL:x``, else ``ID``.
+
+    Parts of a text will do: brackets need not match, and what doesn't lex is cut into words and signs.
+    """
+    try:
+        tokens = [(t.kind == "name" and t.text not in _RESERVED, t.text) for t in lex(source) if t.kind not in ("space", "comment")]
+    except Invalid:
+        tokens = [(re.match(r"[A-Za-z_$]", x) is not None and x not in _RESERVED, x) for x in re.findall(TOKEN, source)]
+    texts = ["", *(x for _, x in tokens), ""]
+    out = []
+    for i, (name, text) in enumerate(tokens):
+        out.append(text if not name else f"API:{text}" if texts[i] in (".", "?.") else f"CALL:{text}" if texts[i + 2] == "(" else "ID")
     return out
 
 
 def has_identity(tokens: list[str]) -> bool:
     """Whether tokens name something: an API, a call, a quoted text, a pattern or a number."""
-    return any(t.startswith(("API:", "CALL:", '"', "'", "`")) or t[:1].isdigit() or (t.startswith("/") and len(t) > 2) for t in tokens)
+    return any(t.startswith(("API:", "CALL:", '"', "'", "`", "/")) or t[:1].isdigit() for t in tokens)
+
+
+#: Words that keep their own role when regions are compared.
+REGION_KEYWORDS = frozenset("if else for while do switch case return throw try catch finally const let var new function class await async true false null undefined this typeof instanceof".split())
+
+
+def region_roles(tokens: list[str], literals: list[str]) -> list[str]:
+    """Roles for region comparison: literals ``LIT``, names ``ID``, keywords and signs themselves; patterns once more at the end, as they are."""
+    known = set(literals)
+    roles = ["LIT" if t in known else "ID" if re.fullmatch(r"[A-Za-z_$][A-Za-z0-9_$]*", t) and t not in REGION_KEYWORDS else t for t in tokens]
+    return roles + [f"REGEX:{x}" for x in literals if x.startswith("/")]
+
+
+def api_anchor(name: str) -> str:
+    """A dotted path without white space; its receiver is ``ID``, but for ``this`` and ``super``."""
+    text = re.sub(r"\s+", "", name)
+    parts = re.split(r"\?\.|\.", text)
+    if len(parts) < 2 or not all(re.fullmatch(r"[A-Za-z_$][A-Za-z0-9_$]*", x) for x in parts):
+        return text
+    return ".".join([parts[0] if parts[0] in ("this", "super") else "ID", *parts[1:]])
 
 
 #: Node types by the word that opens a statement.
@@ -346,6 +371,76 @@ STATEMENTS = {
 }
 
 
+def node_type(s: Script, a: int) -> str:
+    """Type of the statement that begins at token ``a``."""
+    return "statement_block" if s.text(a) == "{" else STATEMENTS.get(s.text(a), "expression_statement")
+
+
+def node_path(s: Script, a: int) -> list[str]:
+    """Types of what encloses token ``a``, the outermost first."""
+    out, o = [], s.inside[a]
+    while o >= 0:
+        before = s.text(o - 1)
+        if s.text(o) == "(":
+            out.append("parenthesized_expression" if before in STATEMENTS else "arguments" if s.kind(o - 1) == "name" or before in (")", "]") else "parenthesized_expression")
+        elif s.text(o) == "[":
+            out.append("subscript_expression" if s.kind(o - 1) == "name" or before in (")", "]") else "array")
+        elif before in ("=", "(", ",", ":", "return", "[", "?"):
+            out.append("object")
+        else:
+            out.append("statement_block")
+            head = s.text(s.partner[o - 1] - 1) if before == ")" else before
+            if head in STATEMENTS:
+                out.append(STATEMENTS[head])
+            elif head in ("else", "finally"):
+                out.append(f"{head}_clause")
+            elif before in (")", "=>"):
+                out.append("function")
+        o = s.inside[o]
+    return out[::-1]
+
+
+def region_text(r: dict) -> str:
+    """What an encoder reads of a region."""
+    return " ".join(f"{k}={v}" for k, v in (("node", r["node_type"]), ("path", "/".join(r["ast_path"])), ("tokens", " ".join(r["tokens"])), ("calls", " ".join(r["calls"])), ("members", " ".join(r["member_accesses"]))))
+
+
+def region_record(s: Script, a: int, b: int, granularity: str) -> dict:
+    """A region of tokens a to b: its place, kind and features."""
+    f, start, end = features(s, a, b), s.tokens[a].start, s.tokens[b].end
+    kind = {"context": "context_slice", "function": "function"}.get(granularity) or node_type(s, a)
+    begin = len(s.source[:start].encode())
+    out = {
+        "granularity": granularity, "node_type": kind, "ast_path": node_path(s, a), "start_line": s.line(start), "end_line": s.line(end - 1), "start_byte": begin, "end_byte": begin + len(s.source[start:end].encode()),
+        "roles": region_roles(f["tokens"], f["literals"]), **f,
+    }
+    return out | {"text": region_text(out)}
+
+
+def near_lines(s: Script, a: int, b: int, more: int = 2) -> tuple[int, int]:
+    """Tokens on the lines of a to b and ``more`` lines around them."""
+    low, high = s.line(s.tokens[a].start) - more, s.line(s.tokens[b].end - 1) + more
+    near = [i for i, t in enumerate(s.tokens) if low <= s.line(t.start) <= high]
+    return near[0], near[-1]
+
+
+def anchored_regions(source: str, lines: list[int]) -> dict[str, dict]:
+    """The four regions of one side of a fix, around its first changed line, or the middle one if none has changed.
+
+    The smallest statement with that line, else the whole function; its block; the lines around it; the function.
+    """
+    s = Script(source)
+    last, count = len(s.tokens) - 1, len(source.splitlines())
+    line = max(0, min(min(lines), count - 1)) if lines else count // 2
+    around = [(a, b) for a, b in statements(s, 0, last) if s.line(s.tokens[a].start) <= line <= s.line(s.tokens[b].end - 1)]
+    a, b = min(around, key=lambda r: (s.tokens[r[1]].end - s.tokens[r[0]].start, r), default=(0, last))
+    o = s.inside[a]
+    while o >= 0 and s.text(o) != "{":
+        o = s.inside[o]
+    spans = {"changed": (a, b), "block": (o, s.partner[o]) if o >= 0 else (0, last), "context": near_lines(s, a, b), "function": (0, last)}
+    return {g: region_record(s, *span, g) for g, span in spans.items()}
+
+
 def features(s: Script, a: int, b: int) -> dict:
     """Shape (node types in order), calls, members, names and literals of tokens a to b."""
     shape, calls, members, names, literals = [], set(), set(), set(), set()
@@ -422,10 +517,9 @@ def regions(source: str, unit_id: str, cap: int = 96) -> list[dict]:
         if (a, b, granularity) in seen:
             return
         seen.add((a, b, granularity))
-        f = features(s, a, b)
-        if informative(f, granularity):
-            start, end = s.tokens[a].start, s.tokens[b].end
-            out.append({"region_id": f"candidate:{unit_id}:{len(out):04d}", "granularity": granularity, "start_line": s.line(start), "end_line": s.line(end - 1), **f})
+        r = region_record(s, a, b, granularity)
+        if informative(r, granularity):
+            out.append({"region_id": f"candidate:{unit_id}:{len(out):04d}", **r})
 
     for a, b in statements(s, 0, len(s.tokens) - 1):
         if len(out) >= cap - 1:
@@ -433,9 +527,7 @@ def regions(source: str, unit_id: str, cap: int = 96) -> list[dict]:
         add(a, b, "changed")
         if (o := s.inside[a]) >= 0 and s.text(o) == "{":
             add(o, s.partner[o], "block")
-        low, high = s.line(s.tokens[a].start) - 2, s.line(s.tokens[b].end - 1) + 2
-        near = [i for i, t in enumerate(s.tokens) if low <= s.line(t.start) <= high]
-        add(near[0], near[-1], "context")
+        add(*near_lines(s, a, b), "context")
     add(0, len(s.tokens) - 1, "function")
     return out[:cap]
 

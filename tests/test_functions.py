@@ -41,8 +41,9 @@ def test_file_problem(spark, path, problem):
     "version, spec, inside",
     [
         ("1.1.9", "<1.2.0", True), ("1.2.0", "<1.2.0", False), ("1.9.0", "^1.2.0", True), ("2.0.0", "^1.2.0", False), ("0.2.5", "^0.2.3", True), ("0.3.0", "^0.2.3", False),
-        ("1.2.9", "~1.2.3", True), ("1.3.0", "~1.2.3", False), ("2.7.1", "2.x", True), ("3.0.0", "2.x", False), ("1.5.0", "1.2.0 - 1.6", True), ("1.6.9", "1.2.0 - 1.6", True), ("1.7.0", "1.2.0 - 1.6", False),
+        ("1.2.9", "~1.2.3", True), ("1.3.0", "~1.2.3", False), ("2.7.1", "2.x", True), ("3.0.0", "2.x", False), ("1.5.0", "1.2.0 - 1.6", True), ("1.6.0", "1.2.0 - 1.6", True), ("1.6.9", "1.2.0 - 1.6", False), ("1.7.0", "1.2.0 - 1.6", False),
         ("1.0.0-rc.1", "<1.0.0", True), ("v1.0.0+build", "=1.0.0", True), ("4.0.0", "<2 || >=4", True), ("3.0.0", "<2 || >=4", False), ("1.0.0", "&gt;=1.0.0", True), ("x", "*", False),
+        ("1.2.5", ">1.2", True), ("1.2.0", ">1.2", False), ("1.2.5", "<=1.2", False), ("0.5.0", "^0", False), ("0.0.0", "^0", True), ("1.2.5", "~1", False), ("1.0.5", "~1", True), ("1.2.3-rc.1", "=1.2.3", True), ("2.0.0-rc.1", "^1.2.0", False), ("2.0.0-rc.1", "2.x", True), ("1.0.0", "", False), ("1.0.0", "none || *", True), (">= 1.0.0 < 2", "*", False), ("1.5.0", ">= 1.0.0, < 2", True),
     ],
 )
 def test_ranges(spark, version, spec, inside):
@@ -50,7 +51,7 @@ def test_ranges(spark, version, spec, inside):
 
 
 def test_version_order(spark):
-    order = ["1.0.0-1", "1.0.0-2", "1.0.0-10", "1.0.0-alpha", "1.0.0-alpha.1", "1.0.0", "1.0.1", "1.10.0", "2"]
+    order = ["1.0.0-1", "1.0.0-2", "1.0.0-10", "1.0.0-alpha", "1.0.0-alpha-2", "1.0.0-alpha.10", "1.0.0-beta", "1.0.0", "1.0.1", "1.10.0", "2"]
     rows = spark.createDataFrame([(v,) for v in order], "v string").orderBy(V.version_key(F.col("v"))).collect()
     assert [r[0] for r in rows] == order
 
@@ -98,25 +99,51 @@ def test_fuzzy_equals_slow_form():
     assert K.fuzzy_substring(long, [*long[:5000], -1, *long[5001:]]) == 1 - 1 / 10_000
 
 
+def slow_matches(a, b):
+    """Elements in matching blocks: the longest common run, the first in ``a`` and then in ``b``, and the same on both its sides."""
+    best = (0, 0, 0)
+    for i in range(len(a)):
+        for j in range(len(b)):
+            n = 0
+            while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                n += 1
+            best = max(best, (n, -i, -j))
+    n, i, j = best[0], -best[1], -best[2]
+    return n + slow_matches(a[:i], b[:j]) + slow_matches(a[i + n :], b[j + n :]) if n else 0
+
+
 def test_sequence_similarity():
     assert K.sequence_similarity([], []) == 1 and K.sequence_similarity([], [1]) == 0
     rng = random.Random(5)
-    for _ in range(300):
-        a, b = [rng.randrange(3) for _ in range(rng.randrange(8))], [rng.randrange(3) for _ in range(rng.randrange(8))]
-        got = K.sequence_similarity(a, b)
-        assert 0 <= got <= 1
-        if not set(a) & set(b) or a == b:
-            assert got == difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
+    for _ in range(400):
+        a, b = [rng.randrange(3) for _ in range(rng.randrange(9))], [rng.randrange(3) for _ in range(rng.randrange(9))]
+        head = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        x, y = a[head:], b[head:]
+        tail = next((i for i, (p, q) in enumerate(zip(x[::-1], y[::-1])) if p != q), min(len(x), len(y)))
+        shared = head + tail + slow_matches(x[: len(x) - tail], y[: len(y) - tail])
+        assert K.sequence_similarity(a, b) == pytest.approx(2 * shared / (len(a) + len(b)) if a or b else 1)
+    # 4,100 elements in both cores, 3,000 in the longer: popular elements are skipped by the sum
+    a, b = ["x", *["p"] * 1100, "y"], ["z", *["q", "p"] * 1500, "w"]
+    core = difflib.SequenceMatcher(None, a, b, autojunk=True).ratio()
+    assert K.sequence_similarity(a, b) == pytest.approx(core) and core != difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
 
 
 def test_diff_contrast_and_disjoint():
     rows = K.diff_lines(["a", "// x", "b"], ["a", "c", "b"])
     assert [(r[0], r[3]) for r in rows] == [("added", "c")]
     assert K.change_kind({"added"}) == "insertion" and K.change_kind({"added", "removed"}) == "replacement" and K.change_kind(set()) == "unknown"
-    assert K.distinctive(list("abcde"), list("abcde")) == [] and K.distinctive(list("abXde"), list("abcde"), 1) == [["b", "X", "d"]]
-    assert K.weighted_coverage([], ["a"]) is None
-    s = K.edit_scores([["a", "b"]], [], ["x", "a", "b"])
-    assert s["raw_vulnerable"] == 1 and s["raw_patched"] == 0
+    assert K.contrastive([["ID", "=", "API:x"]], [["ID", "=", "API:x"]]) == [] and K.contrastive([list("abcd!efgh")], [list("abc")], 1) == [["d", "!", "e"]]
+    assert K.contrastive([["ID", ";"]], []) == [] and K.contrastive([["if", "("], ["if", "("]], [["if"]], 0) == [["if"]]
+    assert K.weighted_coverage([], ["a"]) is None and K.weighted_coverage([["a", "b", "c"], ["x"]], ["a", "b", "c"]) == 0.75
+    s = K.edit_scores([["CALL:a", "b"]], [], ["x", "CALL:a", "b"])
+    assert (s["raw_v"], s["raw_p"], s["con_v"], s["con_p"], s["contrastive_used"], s["identity_raw_v"], s["identity_con_p"]) == (1, None, 1, 0, True, True, None)
+    s = K.edit_scores([["ID", ";"]], [["ID", ";", "ID"]], ["ID", ";", "ID"])
+    assert (s["raw_v"], s["raw_p"], s["con_v"], s["con_p"], s["contrastive_used"], s["identity_raw_v"]) == (1, 1, 1, 1, False, False)
+    # the removed side has nothing special: its raw score if that is more than the other's, else the complement
+    s = K.edit_scores([["ID", "(", ")"]], [["ID", "(", "!", ")"]], ["ID", "(", ")"])
+    assert s["contrastive_used"] and s["con_v"] == 1 and s["con_p"] == 0.75
+    s = K.edit_scores([["ID", "(", ")"]], [["ID", "(", "!", ")"]], ["ID", "(", "!", ")", "(", ")"])
+    assert s["con_p"] == 1 and s["con_v"] == 0
     assert K.pick_disjoint([(0, 5), (4, 6), (5, 8), (8, 9), (1, 2)]) == [0, 2, 3]
 
 
@@ -146,6 +173,9 @@ def test_lexing_and_forms():
     assert js.normal_lines("a = 'x // y'; // gone\n\n  b  =  1") == ["a = 'x // y';", "b = 1"]
     assert js.role_tokens("a.b(c, 'x')") == ["ID", ".", "API:b", "(", "ID", ",", "'x'", ")"]
     assert js.has_identity(["ID", "API:x"]) and not js.has_identity(["ID", "=", "ID"])
+    assert js.role_tokens("} else if (a.b(c) {") == ["}", "else", "if", "(", "ID", ".", "API:b", "(", "ID", ")", "{"] and js.role_tokens("'open") == ["'", "ID"]
+    assert js.region_roles(["a", "=", "/x/g", ";", "return", "'s'"], ["'s'", "/x/g"]) == ["ID", "=", "LIT", ";", "return", "LIT", "REGEX:/x/g"]
+    assert [js.api_anchor(x) for x in ("a . b?.c", "this.x", "f", "f().g")] == ["ID.b.c", "this.x", "f", "f().g"]
     assert js.regex_only_change(*PAIRS[1][1:]) and not js.regex_only_change(*PAIRS[0][1:])
     assert js.guard_form("function f(a) { return a ? 1 : 2; }") == js.guard_form("function g(b) { if (b) return 1; return 2; }").replace("function g", "function f")
     v, p = (js.ast_form(x) for x in PAIRS[4][1:])
@@ -154,6 +184,16 @@ def test_lexing_and_forms():
     assert js.valid(js.strip_types("function f(a: string, b?: number): void { const x: Foo = y as Bar; return a ? b : c; }"))
 
 
+def test_anchored_regions():
+    name, v, p = PAIRS[0]
+    r = js.anchored_regions(p, [2])
+    assert r["changed"]["node_type"] == "if_statement" and r["changed"]["start_line"] == 2 and r["changed"]["ast_path"][0] == "function"
+    assert r["block"]["start_line"] == 1 and r["block"]["node_type"] == "statement_block" and r["function"]["end_line"] == 6 and r["context"]["start_line"] == 0
+    assert p.encode()[r["changed"]["start_byte"] : r["changed"]["end_byte"]].decode() == "if (key === '__proto__') continue;"
+    assert r["changed"]["text"].startswith("node=if_statement path=function/")
+    assert js.anchored_regions("x", [])["changed"]["tokens"] == ["x"] and js.anchored_regions(v, [99])["changed"]["tokens"] == js.anchored_regions(v, [])["function"]["tokens"]
+
+
 def test_region_cap():
     body = "function f(a) {\n" + "".join(f"  use{i}(a.x{i}, 'v{i}');\n" for i in range(60)) + "}"
     assert len(js.regions(body, "u", 10)) == 10

@@ -1,4 +1,5 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -23,7 +24,46 @@ def test_units_of_lines_and_pairs():
     assert [x["name"] for x in X.touched(units, {6, 7, 15})] == ["inner", "outer"]
     pairs = X.match_units([u("a", 0, 1), u(None, 100, 110)], [u(None, 130, 140), u("a", 90, 95)])
     assert [(x["name"], y["start_line"]) for x, y in pairs] == [("a", 90), (None, 130)]
-    assert X.match_units([u(None, 0, 1)], [u(None, 60, 61)]) == []
+    assert X.match_units([u(None, 0, 1)], [u(None, 60, 61)]) == [] and X.match_units([], []) == [] and X.match_units([u("a", 0, 1)], []) == []
+
+
+def slow_match(before, after, nearest=50):
+    left, pairs, rest = list(after), [], []
+    for u in before:
+        same = [v for v in left if u["name"] and v["name"] == u["name"]]
+        if same:
+            left.remove(same[0])
+            pairs.append((u["id"], same[0]["id"]))
+        else:
+            rest.append(u)
+    for u in rest:
+        near = sorted(left, key=lambda v: abs(v["start_line"] - u["start_line"]))
+        if near and abs(near[0]["start_line"] - u["start_line"]) <= nearest:
+            left.remove(near[0])
+            pairs.append((u["id"], near[0]["id"]))
+    return pairs
+
+
+def test_units_against_slow_forms():
+    rng = random.Random(3)
+    for _ in range(400):
+        sides = []
+        for side in "ba":
+            units = []
+            for k in range(rng.randrange(0, 7)):
+                a = rng.randrange(120)
+                units.append({"id": f"{side}{k}", "name": rng.choice([None, "f", "g", "h"]), "start_line": a, "end_line": a + rng.randrange(30), "start_byte": 10 * a + k, "end_byte": 10 * a + k + 5})
+            sides.append(units)
+        got = [(u["id"], v["id"]) for u, v in X.match_units(*sides)]
+        assert got == slow_match(*sides)
+        lines = {rng.randrange(150) for _ in range(rng.randrange(0, 9))}
+        want = []
+        for line in sorted(lines):
+            around = [u for u in sides[0] if u["start_line"] <= line <= u["end_line"]]
+            inner = min(around, key=lambda u: (u["end_line"] - u["start_line"], u["start_byte"]), default=None)
+            if inner is not None and inner not in want:
+                want.append(inner)
+        assert X.touched(sides[0], lines) == want
 
 
 def test_pairs_of_files():
