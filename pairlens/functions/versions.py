@@ -1,19 +1,30 @@
-"""Semantic versions as ordered structs, and ranges as column predicates."""
+"""Semantic versions as ordered structs, and ranges as column predicates.
+
+A range is a list of alternatives, each a list of terms (operator, version) that must all hold.  Operands of
+``< <= > >= ^ ~`` are filled up with zeros; a bare or ``=`` version holds for all versions that begin with the
+parts it gives, whatever their pre-release.
+"""
 
 from __future__ import annotations
 
 import html
+import operator
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_ORDER = {"<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
+#: The words of the range grammar.
+_WORD = re.compile(r"(?P<operator>[<>]=?|[=^~])|(?P<version>v?\d+(?:\.\d+){0,2}(?:-[\w.-]+)?)|(?P<any>[xX*])")
+
 
 def version_key(version: Column) -> Column:
     """(major, minor, patch, release, pre) that sorts as versions do; null where not a version.
 
-    ``v`` and build data go; missing parts are 0; a pre-release sorts below its release, its
-    numeric identifiers below the others and by value.
+    ``v`` and build data go; missing parts are 0; a pre-release sorts below its release.  Dots and dashes part
+    its identifiers, numeric ones sort below the others and by value.
     """
     bare = F.regexp_replace(F.regexp_replace(F.trim(version), "^[vV=]+", ""), r"\+.*$", "")
     core = F.regexp_extract(bare, r"^(\d+(?:\.\d+){0,2})(?:-[0-9A-Za-z.-]+)?$", 1)
@@ -24,74 +35,58 @@ def version_key(version: Column) -> Column:
         return F.coalesce(F.try_to_number(F.get(parts, F.lit(i)), F.lit("9" * 18)).cast("long"), F.lit(0).cast("long"))
 
     identifiers = F.transform(
-        F.filter(F.split(pre, r"\."), lambda x: x != ""),
+        F.filter(F.split(pre, r"[.-]"), lambda x: x != ""),
         lambda x: F.struct((~x.rlike(r"^\d+$")).cast("int").alias("alpha"), F.when(x.rlike(r"^\d+$"), F.lpad(x, 18, "0")).otherwise(x).alias("id")),
     )
     return F.when(core != "", F.struct(number(0).alias("major"), number(1).alias("minor"), number(2).alias("patch"), (pre == "").cast("int").alias("release"), identifiers.alias("pre")))
 
 
-def _key(text: str) -> Column:
-    return version_key(F.lit(text))
+def terms(alternative: str) -> list[tuple[str, str | None]]:
+    """Terms of one alternative; ``None`` stands for any version.  Words that are no part of the grammar are passed over."""
+    if m := re.fullmatch(r"\s*(\S+)\s+-\s+(\S+)\s*", alternative):
+        return [(">=", m[1]), ("<=", m[2])]
+    out, pending, end = [], "", 0
+    for m in _WORD.finditer(alternative):
+        if alternative[end : m.start()].strip():
+            pending = ""
+        if m["operator"]:
+            pending = m["operator"]
+        else:
+            out.append((pending, m["version"]))
+            pending = ""
+        end = m.end()
+    return out
 
 
-def _parts(text: str) -> list[int]:
-    """Leading numbers of a possibly partial version; ``x`` and ``*`` end them."""
-    out = []
-    for x in re.sub(r"^[vV=]+", "", text).split("-")[0].split("+")[0].split("."):
-        if not x.isdigit():
-            break
-        out.append(int(x))
-    return out
+def _begins(key: Column, numbers: list[int]) -> Column:
+    """The first parts of a key as a struct that compares with one of ``numbers``."""
+    return F.struct(*[key[name] for name in ("major", "minor", "patch")[: len(numbers)]])
 
 
-def _bounds(text: str) -> tuple[str, str | None]:
-    """Least version of a prefix, and the least above it (None: no bound)."""
-    p = _parts(text)
-    low = ".".join(map(str, (p + [0, 0, 0])[:3]))
-    if "-" in text:
-        low = re.sub(r"^[vV=]+", "", text)
-    if not p:
-        return "0.0.0", None
-    return low, ".".join(map(str, (p[:-1] + [p[-1] + 1] + [0, 0])[:3]))
-
-
-def _comparator(key: Column, text: str) -> Column:
-    m = re.fullmatch(r"(\^|~>?|<=|>=|<|>|=)?\s*(.*)", text)
-    op, version = m[1] or "", m[2]
-    p, (low, above) = _parts(version), _bounds(version)
-    exact = len(p) == 3
-    if op == "^":
-        i = next((k for k, x in enumerate(p) if x), len(p) - 1)
-        top = ".".join(map(str, (p[:i] + [p[i] + 1] + [0, 0])[:3])) if p else None
-        return (key >= _key(low)) & (key < _key(top + "-0")) if top else F.lit(True)
-    if op in ("~", "~>"):
-        top = f"{p[0]}.{p[1] + 1}.0" if len(p) > 1 else f"{p[0] + 1}.0.0"
-        return (key >= _key(low)) & (key < _key(top + "-0"))
-    if op == "<":
-        return key < _key(low)
-    if op == ">=":
-        return key >= _key(low)
-    if op == "<=":
-        return key <= _key(low) if exact or above is None else key < _key(above + "-0")
-    if op == ">":
-        return key > _key(low) if exact else key >= _key(above) if above else F.lit(False)
-    if exact:
-        return key == _key(low)
-    return (key >= _key(low)) & (key < _key(above + "-0")) if above else F.lit(True)
+def _literal(numbers: list[int]) -> Column:
+    return F.struct(*[F.lit(n).cast("long").alias(name) for n, name in zip(numbers, ("major", "minor", "patch"))])
+
+
+def _holds(key: Column, sign: str, version: str | None) -> Column:
+    if version is None:
+        return F.lit(True)
+    given = [int(x) for x in version.lstrip("v").split("-")[0].split("+")[0].split(".")]
+    full = (given + [0, 0])[:3]
+    if sign in _ORDER:
+        return _ORDER[sign](key, version_key(F.lit(version)))
+    if sign in ("", "="):
+        return _begins(key, given) == _literal(given)
+    # the last part that may not change: of ~ the second, of ^ the first that isn't zero
+    fixed = 1 if sign == "~" else next((i for i, n in enumerate(full) if n), 2)
+    ceiling = full[:fixed] + [full[fixed] + 1]
+    return (key >= version_key(F.lit(version))) & (_begins(key, ceiling) < _literal(ceiling))
 
 
 def in_range(version: Column, spec: str) -> Column:
-    """Whether a version is in an npm-style range: ``||`` alternatives, hyphens, ``^ ~ < <= > >= =``, ``x``, partial versions."""
-    key, out = version_key(version), None
-    for choice in html.unescape(spec).split("||"):
-        choice = choice.strip()
-        if m := re.fullmatch(r"(\S+)\s+-\s+(\S+)", choice):
-            terms = [f">={m[1]}", f"<={m[2]}"]
-        else:
-            terms = re.findall(r"(?:\^|~>?|<=|>=|<|>|=)?\s*[^\s,]+", choice) or ["*"]
-        hit = None
-        for t in terms:
-            c = _comparator(key, t.strip())
-            hit = c if hit is None else hit & c
-        out = hit if out is None else out | hit
-    return key.isNotNull() & F.coalesce(out, F.lit(False))
+    """Whether a version is in an npm-style range: ``||`` alternatives, hyphens, ``^ ~ < <= > >= =``, ``x``, partial versions.
+
+    Null and unparseable versions are in none; an alternative without terms holds for none.
+    """
+    key = version_key(version)
+    choices = [reduce(operator.and_, [_holds(key, *t) for t in found]) for part in html.unescape(spec).split("||") if (found := terms(part))]
+    return key.isNotNull() & F.coalesce(reduce(operator.or_, choices, F.lit(False)), F.lit(False))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import fingerprint
+from ..functions.text import abstracted, fingerprint
 
 KINDS = ("native", "exact", "abstracted")
 
@@ -28,14 +28,18 @@ def build_hash_index(reference: DataFrame, boundary: str = "boundary", side: str
 
 
 def lookup(targets: DataFrame, index: DataFrame, unit: str = "unit", language: str = "language", text: str = "text", kinds: tuple = KINDS, by_language: bool = True, minimum: int = 50) -> DataFrame:
-    """Equality join on kind, length and digest (and language); native hits count as exact.
+    """Equality join on kind, length and digest; native hits count as exact.
 
-    The index side is planned by its size: broadcast when small, shuffled otherwise.
+    Hits of another language are left out, but not for targets too short for more than a native digest:
+    these are found in every language, and ``same_language`` tells.  The index side is planned by its size.
     """
-    rows = fingerprint_rows(targets.select(F.col(unit).alias("unit"), F.col(language).alias("language"), F.col(text).alias("text")), "text", minimum).where(F.col("kind").isin(*kinds))
-    keys = ["kind", "length", "digest"] + (["language"] if by_language else [])
-    found = rows.join(index.drop(*([] if by_language else ["language"])), keys)
-    return found.select("unit", "boundary", F.when(F.col("kind") == "abstracted", "abstracted").otherwise("exact").alias("match"), "vulnerable", "patched", "copies")
+    rows = targets.select(F.col(unit).alias("unit"), F.col(language).alias("language"), F.col(text).alias("text"))
+    rows = rows.withColumn("short", F.length(abstracted(F.col("text"))) < minimum)
+    rows = fingerprint_rows(rows, "text", minimum).where(F.col("kind").isin(*kinds))
+    found = rows.join(index.withColumnRenamed("language", "_language"), ["kind", "length", "digest"])
+    same = F.col("language").eqNullSafe(F.col("_language"))
+    found = found.where(same | F.col("short")) if by_language else found
+    return found.select("unit", "boundary", F.when(F.col("kind") == "abstracted", "abstracted").otherwise("exact").alias("match"), "vulnerable", "patched", "copies", same.alias("same_language"))
 
 
 def hash_verdicts(hits: DataFrame) -> DataFrame:

@@ -59,17 +59,18 @@ def dismissal_status(dismissals: DataFrame, current: DataFrame) -> DataFrame:
 
     ``dismissals``: id, path, function_id, file_hash, function_hash, signature, dismissed_at.
     ``current``: path, function_id, file_hash, function_hash, signature (null: no finding), scanned.
+    A file that has changed reopens its dismissals, whatever became of the function.
     """
     files = current.groupBy("path").agg(F.max("file_hash").alias("f_hash"), F.bool_or("scanned").alias("f_scanned"))
     found = current.select("path", "function_id", F.col("function_hash").alias("c_hash"), F.col("signature").alias("c_signature"))
     rows = dismissals.join(files, "path", "left").join(found, ["path", "function_id"], "left")
     status = (
         F.when(F.col("f_hash").isNull(), "file_missing")
+        .when(F.col("f_hash") != F.col("file_hash"), "file_changed")
         .when(~F.coalesce("f_scanned", F.lit(False)), "scan_unavailable")
-        .when(F.col("c_hash").isNull() & (F.col("f_hash") != F.col("file_hash")), "file_changed")
-        .when(F.col("c_hash").isNull(), "no_longer_present")
+        .when(F.col("c_hash").isNull() | F.col("c_signature").isNull(), "no_longer_present")
         .when(F.col("c_hash") != F.col("function_hash"), "function_changed")
-        .when(~F.col("c_signature").eqNullSafe(F.col("signature")), "finding_changed")
+        .when(F.col("c_signature") != F.col("signature"), "finding_changed")
         .otherwise("dismissed")
     )
     return rows.select("id", "path", "function_id", status.alias("status"), "dismissed_at")

@@ -48,7 +48,7 @@ def targets(t: Tables):
 
 
 def scan(t: Tables):
-    verdicts = M.hash_verdicts(M.lookup(targets(t), M.build_hash_index(reference(t))))
+    verdicts = M.hash_verdicts(M.lookup(targets(t), M.build_hash_index(reference(t))).where("same_language"))
     return verdicts.join(M.unit_priority(verdicts).drop("boundaries"), "unit").select(F.col("unit").alias("doc_id"), "vulnerable_hit", "patched_hit", "match_count", "match_level", "status", "abstention_reason", "priority")
 
 
@@ -57,6 +57,21 @@ def hash_scan(t: Tables):
     return scan(t)
 
 
+@query(f"""
+WITH d AS (SELECT doc_id, lang, source AS text, {LOOSE.replace('text', 'source')} AS loose FROM documents UNION ALL SELECT -1 - doc_id, lang, text, {LOOSE} FROM documents),
+k AS (SELECT doc_id, lang, length(loose) < 50 AS short, text, labels.doc_id IS NOT NULL AS known FROM d LEFT JOIN labels USING (doc_id)),
+h AS (SELECT a.doc_id, a.lang, b.lang AS other FROM k a JOIN k b ON a.text = b.text WHERE NOT a.known AND b.known AND (a.short OR a.lang = b.lang))
+SELECT doc_id, count(*) AS matches, count(*) FILTER (WHERE lang = other) AS same_language FROM h GROUP BY doc_id""")
+def native_lookup(t: Tables):
+    """Native hits of source names (short: found in every language) and of texts (in their own language) among labelled rows."""
+    own = t.documents.select("doc_id", F.col("lang").alias("language"), F.col("source").alias("text")).union(t.documents.select(-1 - F.col("doc_id"), "lang", "text"))
+    known = own.join(t.labels.select("doc_id"), "doc_id", "left_semi")
+    rest = own.join(t.labels.select("doc_id"), "doc_id", "left_anti").withColumnRenamed("doc_id", "unit")
+    index = M.build_hash_index(known.select(F.lit("all").alias("boundary"), F.lit("vulnerable").alias("side"), "language", "text"))
+    found = M.lookup(rest, index, kinds=("native",))
+    return found.groupBy(F.col("unit").alias("doc_id")).agg(F.sum("copies").alias("matches"), F.sum(F.when(F.col("same_language"), F.col("copies")).otherwise(0)).alias("same_language"))
+
+
 @query(f"""SELECT priority, count(*) AS units, CAST(sum(match_count) AS BIGINT) AS matches, count(*) FILTER (WHERE priority IN ('automatic_vulnerability', 'manual_review')) AS findings FROM ({SCAN_SQL}) GROUP BY priority""")
 def audit_summary(t: Tables):
     active = F.col("priority").isin("automatic_vulnerability", "manual_review")
@@ -174,13 +189,15 @@ def last_affected_version(t: Tables):
 WITH v AS (SELECT p_partkey, p_brand AS package, p_size % 4 AS a, p_partkey % 12 AS b, p_partkey % 5 AS c, p_partkey % 9 = 0 AS pre FROM part),
 x AS (SELECT *, [a, b, c, CASE WHEN pre THEN 0 ELSE 1 END] AS k FROM v)
 SELECT package, count(*) AS versions,
-  count(*) FILTER (WHERE k >= [1, 2, 0, 1] AND k < [2, 0, 0, 0]) AS caret, count(*) FILTER (WHERE k >= [1, 2, 3, 1] AND k < [1, 3, 0, 0]) AS tilde,
-  count(*) FILTER (WHERE k < [1, 4, 0, 1] OR k >= [3, 0, 0, 1]) AS either, count(*) FILTER (WHERE k >= [2, 0, 0, 1] AND k < [3, 0, 0, 0]) AS prefix,
-  count(*) FILTER (WHERE k >= [0, 5, 0, 1] AND k <= [1, 7, 2, 1]) AS hyphen
+  count(*) FILTER (WHERE k >= [1, 2, 0, 1] AND a < 2) AS caret, count(*) FILTER (WHERE k >= [1, 2, 3, 1] AND [a, b] < [1, 3]) AS tilde,
+  count(*) FILTER (WHERE k < [1, 4, 0, 1] OR k >= [3, 0, 0, 1]) AS either, count(*) FILTER (WHERE a = 2) AS prefix,
+  count(*) FILTER (WHERE k >= [0, 5, 0, 1] AND k <= [1, 7, 0, 1]) AS hyphen,
+  count(*) FILTER (WHERE k > [1, 2, 0, 1]) AS above, count(*) FILTER (WHERE k <= [1, 2, 0, 1]) AS upto, count(*) FILTER (WHERE k >= [0, 0, 0, 1] AND [a, b, c] < [0, 0, 1]) AS caret_zero,
+  count(*) FILTER (WHERE k >= [1, 0, 0, 1] AND [a, b] < [1, 1]) AS tilde_one, count(*) FILTER (WHERE [a, b, c] = [1, 2, 3]) AS exact
 FROM x GROUP BY package""")
 def version_range_join(t: Tables):
     rows, v = versions(t), F.col("version")
-    specs = {"caret": "^1.2.0", "tilde": "~1.2.3", "either": "&lt;1.4.0 || >=3.0.0", "prefix": "2.x", "hyphen": "0.5.0 - 1.7.2"}
+    specs = {"caret": "^1.2.0", "tilde": "~1.2.3", "either": "&lt;1.4.0 || >=3.0.0", "prefix": "2.x", "hyphen": "0.5.0 - 1.7", "above": ">1.2", "upto": "<= 1.2", "caret_zero": "^0", "tilde_one": "~1", "exact": "=1.2.3"}
     return rows.groupBy("package").agg(F.count(F.lit(1)).alias("versions"), *[F.count_if(V.in_range(v, s)).alias(n) for n, s in specs.items()])
 
 
@@ -214,8 +231,12 @@ WITH k AS (SELECT doc_id, unnest(regexp_extract_all(text, '([A-Za-z_$][A-Za-z0-9
 SELECT doc_id, count(*) FILTER (WHERE regexp_matches(tok, '^[A-Za-z_$]') AND NOT kw) AS identifiers, count(*) FILTER (WHERE regexp_matches(tok, '^[0-9"''`]')) AS literals, count(*) FILTER (WHERE kw) AS keywords
 FROM (SELECT *, tok IN ('if','else','for','while','do','switch','case','default','break','continue','return','function','class','const','let','var','new','try','catch','finally','throw','typeof','instanceof','in','of','await','async','yield','this','super','null','true','false','undefined','delete','void','import','export','extends') AS kw FROM k) GROUP BY doc_id""")
 def role_tokens(t: Tables):
-    r = t.documents.select("doc_id", F.explode(T.roles(T.tokens(F.col("text")))).alias("role"))
-    return r.groupBy("doc_id").agg(F.count_if(F.col("role") == "ID").alias("identifiers"), F.count_if(F.col("role") == "LIT").alias("literals"), F.count_if(F.col("role").isin(T.KEYWORDS)).alias("keywords"))
+    r = t.documents.select("doc_id", F.explode(F.array(T.roles(T.tokens(F.col("text"))))).alias("roles")).where("size(roles) > 0")
+
+    def count(test):
+        return F.size(F.filter("roles", test)).cast("long")
+
+    return r.select("doc_id", count(lambda x: x == "ID").alias("identifiers"), count(lambda x: x == "LIT").alias("literals"), count(lambda x: x.isin(T.KEYWORDS)).alias("keywords"))
 
 
 @query("""

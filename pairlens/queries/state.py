@@ -53,8 +53,8 @@ def cache_reuse(t: Tables):
 WITH d AS (SELECT doc_id AS id, source AS path, CAST(doc_id AS VARCHAR) AS function_id, 'f' || CAST(doc_id % 4 AS VARCHAR) AS file_hash, 'h' || CAST(doc_id % 5 AS VARCHAR) AS function_hash, 's' || CAST(quality AS VARCHAR) AS signature, doc_id * 10 AS dismissed_at FROM documents JOIN labels USING (doc_id)),
 c AS (SELECT source AS path, CAST(doc_id AS VARCHAR) AS function_id, 'f1' AS file_hash, CASE WHEN doc_id % 7 > 0 THEN 'h' || CAST(doc_id % 5 + CASE WHEN doc_id % 6 = 0 THEN 1 ELSE 0 END AS VARCHAR) END AS function_hash, CASE WHEN doc_id % 4 > 0 THEN 's1' END AS signature, source <> 'src5' AS scanned FROM documents WHERE source <> 'src3' AND doc_id % 9 > 0),
 f AS (SELECT path, max(file_hash) AS fh, bool_or(scanned) AS sc FROM c GROUP BY path)
-SELECT d.id, d.path, d.function_id, CASE WHEN fh IS NULL THEN 'file_missing' WHEN NOT coalesce(sc, FALSE) THEN 'scan_unavailable' WHEN c.function_hash IS NULL AND fh <> d.file_hash THEN 'file_changed' WHEN c.function_hash IS NULL THEN 'no_longer_present'
-  WHEN c.function_hash <> d.function_hash THEN 'function_changed' WHEN c.signature IS DISTINCT FROM d.signature THEN 'finding_changed' ELSE 'dismissed' END AS status, d.dismissed_at
+SELECT d.id, d.path, d.function_id, CASE WHEN fh IS NULL THEN 'file_missing' WHEN fh <> d.file_hash THEN 'file_changed' WHEN NOT sc THEN 'scan_unavailable' WHEN c.function_hash IS NULL OR c.signature IS NULL THEN 'no_longer_present'
+  WHEN c.function_hash <> d.function_hash THEN 'function_changed' WHEN c.signature <> d.signature THEN 'finding_changed' ELSE 'dismissed' END AS status, d.dismissed_at
 FROM d LEFT JOIN f ON d.path = f.path LEFT JOIN c ON d.path = c.path AND d.function_id = c.function_id""")
 def dismissal_status(t: Tables):
     k, s = F.col("doc_id"), lambda c: c.cast("string")

@@ -178,12 +178,12 @@ def test_merkle_and_changes(spark):
 
 def test_dismissals(spark):
     d = spark.createDataFrame(
-        [(n, p, f, fh, uh, s, n) for n, (p, f, fh, uh, s) in enumerate([("gone", "f", "1", "1", "s"), ("a", "f", "1", "1", "s"), ("a", "g", "1", "0", "s"), ("a", "h", "1", "1", "t"), ("a", "x", "1", "1", "s"), ("a", "y", "0", "1", "s"), ("b", "f", "1", "1", "s")])],
+        [(n, p, f, fh, uh, s, n) for n, (p, f, fh, uh, s) in enumerate([("gone", "f", "1", "1", "s"), ("a", "f", "1", "1", "s"), ("a", "g", "1", "0", "s"), ("a", "h", "1", "1", "t"), ("a", "x", "1", "1", "s"), ("a", "y", "0", "1", "s"), ("b", "f", "1", "1", "s"), ("a", "f", "0", "1", "s"), ("b", "f", "0", "1", "s"), ("a", "n", "1", "1", "s")])],
         "id int, path string, function_id string, file_hash string, function_hash string, signature string, dismissed_at int",
     )
-    c = spark.createDataFrame([("a", "f", "1", "1", "s", True), ("a", "g", "1", "1", "s", True), ("a", "h", "1", "1", "s", True), ("b", "f", "1", "1", "s", False)], "path string, function_id string, file_hash string, function_hash string, signature string, scanned boolean")
+    c = spark.createDataFrame([("a", "f", "1", "1", "s", True), ("a", "g", "1", "1", "s", True), ("a", "h", "1", "1", "s", True), ("b", "f", "1", "1", "s", False), ("a", "n", "1", "1", None, True)], "path string, function_id string, file_hash string, function_hash string, signature string, scanned boolean")
     got = [r["status"] for r in S.dismissal_status(d, c).orderBy("id").collect()]
-    assert got == ["file_missing", "dismissed", "function_changed", "finding_changed", "no_longer_present", "file_changed", "scan_unavailable"]
+    assert got == ["file_missing", "dismissed", "function_changed", "finding_changed", "no_longer_present", "file_changed", "scan_unavailable", "file_changed", "file_changed", "no_longer_present"]
 
 
 def test_prefix_match(spark):
