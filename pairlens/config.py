@@ -19,6 +19,9 @@ class ScanConfig:
     regions_per_pair: int = 3
     similarity: float = 0.0
     max_source_chars: int = 200_000
+    max_edit_chars: int | None = None
+    model: str = "hashing-64"
+    fallback: bool = True
     thresholds: Thresholds = field(default_factory=Thresholds)
 
     def fingerprint(self) -> str:

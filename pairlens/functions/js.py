@@ -430,6 +430,8 @@ def anchored_regions(source: str, lines: list[int]) -> dict[str, dict]:
     The smallest statement with that line, else the whole function; its block; the lines around it; the function.
     """
     s = Script(source)
+    if not s.tokens:
+        return {}
     last, count = len(s.tokens) - 1, len(source.splitlines())
     line = max(0, min(min(lines), count - 1)) if lines else count // 2
     around = [(a, b) for a, b in statements(s, 0, last) if s.line(s.tokens[a].start) <= line <= s.line(s.tokens[b].end - 1)]
@@ -596,6 +598,22 @@ def compare_forms(candidate: str | None, vulnerable: str | None, patched: str |
     return "vulnerable" if candidate == vulnerable else "patched" if candidate == patched else None
 
 
+def local_vote(candidate: str, vulnerable: str, patched: str) -> str | None:
+    """The side that all decisive local forms agree on; ``conflict`` if they don't, None if none decides.
+
+    The forms are guards, and the patterns of a fix that changes patterns alone.
+    """
+    votes = {compare_forms(*(guard_form(x) for x in (candidate, vulnerable, patched)))}
+    if regex_only_change(vulnerable, patched) and valid(candidate):
+        patterns = [{t.text for t in Script(x).tokens if t.kind == "regex"} for x in (candidate, vulnerable, patched)]
+        old, new = patterns[1] - patterns[2], patterns[2] - patterns[1]
+        if old and new:
+            has = (old <= patterns[0], new <= patterns[0])
+            votes.add({(True, False): "vulnerable", (False, True): "patched"}.get(has))
+    votes.discard(None)
+    return None if not votes else votes.pop() if len(votes) == 1 else "conflict"
+
+
 WRAPPERS = (("", ""), ("class W {\n", "\n}"), ("function w() {\n", "\n}"), ("(", ")"))
 
 

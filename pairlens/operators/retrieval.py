@@ -2,68 +2,60 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query vectors sent with a function at once, in numbers of floats.
-BLOCK_FLOATS = 4_000_000
+#: Vectors of either side that one task compares at most, in expectation; of the corpus it holds a slice at a time.
+BLOCK = 4096
+SLICE = 512
 
 
-def top_k(queries: DataFrame, corpus: DataFrame, k: int, vector: str = "vector", key: str = "id", threshold: float | None = None, exclude_self: bool = False, eligible: Column | None = None) -> DataFrame:
+def top_k(queries: DataFrame, corpus: DataFrame, k: int, vector: str = "vector", key: str = "id", threshold: float | None = None, exclude_self: bool = False, eligible: Column | None = None, block: int = BLOCK) -> DataFrame:
     """For each query its ``k`` most similar rows of the corpus: ``query_id, id, similarity, rank``.
 
-    Queries are a stated, bounded set; they go to the tasks in blocks of ``BLOCK_FLOATS``, the
-    corpus is read once per block, each task multiplies its Arrow batches with a block and keeps
-    its own best ``k``, and a window over those picks the last ones.  So the exchange carries k
-    rows per query and task, however large the corpus.  Similarity is the inner product, rounded
-    to nine places; ties go to the smaller id.  ``eligible`` is applied before the search (rows
-    that fail take no place), ``threshold`` after it.
+    Both sides are dealt into blocks by a hash of their keys, and every block of queries meets every block of
+    the corpus in a task of its own, which multiplies them and keeps the best ``k`` of each query; a window over
+    those picks the last ones.  So neither side passes the driver, a task holds two blocks, and an exchange
+    carries each query once per block of the corpus and each row of the corpus once per block of queries.
+    Similarity is the inner product, rounded to nine places; ties go to the smaller id.  ``eligible`` is applied
+    before the search (rows that fail take no place), ``threshold`` after it.  Null vectors are left out.
     """
     import numpy as np
 
-    rows = queries.select(F.col(key).alias("q"), F.col(vector).alias("v")).where("v IS NOT NULL").orderBy("q").toLocalIterator()
-    pool = corpus.where(eligible) if eligible is not None else corpus
-    pool = pool.select(F.col(key).alias("id"), F.col(vector).alias("v")).where("v IS NOT NULL")
-
-    def search(ids, matrix):
-        def find(batches) -> Iterator:
-            import pyarrow as pa
-
-            best_s = np.full((len(ids), 0), -np.inf)
-            best_i = np.zeros((len(ids), 0), dtype=np.int64)
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                own = batch.column(0).to_numpy()
-                flat = np.asarray(batch.column(1).flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
-                sims = np.round(matrix @ flat.T, 9)
-                if exclude_self:
-                    sims[ids[:, None] == own[None, :]] = -np.inf
-                s, i = np.hstack([best_s, sims]), np.hstack([best_i, np.broadcast_to(own, sims.shape)])
-                order = np.lexsort((i, -s), axis=1)[:, :k]
-                best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-            n = best_s.shape[1]
-            if n:
-                keep = np.isfinite(best_s).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)[keep]), pa.array(best_i.ravel()[keep]), pa.array(best_s.ravel()[keep])], names=["query_id", "id", "similarity"])
-
-        return find
-
-    out, block, width = None, [], 1
-
-    def flush(found):
-        part = pool.mapInArrow(search(np.array([q for q, _ in block]), np.array([v for _, v in block], dtype=np.float64)), "query_id long, id long, similarity double")
-        return part if found is None else found.union(part)
-
-    for r in rows:
-        block.append((r["q"], r["v"]))
-        width = max(1, len(r["v"]))
-        if len(block) * width >= BLOCK_FLOATS:
-            out, block = flush(out), []
-    if block or out is None:
-        out = flush(out) if block else pool.select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("similarity")).where("false")
+    def rows(df: DataFrame, name: str) -> DataFrame:
+        return df.select(F.col(key).cast("long").alias(name), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL")
+
+    asked, pool = rows(queries, "query_id"), rows(corpus.where(eligible) if eligible is not None else corpus, "id")
+    n, m = asked.count(), pool.count()
+    # small searches are spread over the tasks there are
+    tasks = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked_blocks, pool_blocks = max(1, -(-n // block)), max(1, -(-m // block), min(tasks, -(-m // SLICE)))
+    left = asked.select("*", F.pmod(F.xxhash64("query_id"), F.lit(asked_blocks)).cast("int").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(pool_blocks - 1))).alias("b"))
+    right = pool.select("*", F.explode(F.sequence(F.lit(0), F.lit(asked_blocks - 1))).alias("a"), F.pmod(F.xxhash64("id"), F.lit(pool_blocks)).cast("int").alias("b"))
+
+    def best(wanted, given):
+        import pyarrow as pa
+
+        def matrix(table):
+            return np.asarray(table["v"].combine_chunks().flatten(), dtype=np.float64).reshape(table.num_rows, -1)
+
+        names = ["query_id", "id", "similarity"]
+        if not wanted.num_rows or not given.num_rows:
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
+        ids, own, x, y = wanted["query_id"].to_numpy(), given["id"].to_numpy(), matrix(wanted), matrix(given)
+        scores, found = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), dtype=np.int64)
+        for at in range(0, len(own), SLICE):
+            some = own[at : at + SLICE]
+            new = np.round(x @ y[at : at + SLICE].T, 9)
+            if exclude_self:
+                new[ids[:, None] == some[None, :]] = -np.inf
+            scores, found = np.hstack([scores, new]), np.hstack([found, np.broadcast_to(some, new.shape)])
+            order = np.lexsort((found, -scores), axis=1)[:, :k]
+            scores, found = np.take_along_axis(scores, order, 1), np.take_along_axis(found, order, 1)
+        keep = np.isfinite(scores).ravel()
+        return pa.table([pa.array(np.repeat(ids, scores.shape[1])[keep]), pa.array(found.ravel()[keep]), pa.array(scores.ravel()[keep])], names=names)
+
+    out = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(best, "query_id long, id long, similarity double")
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     ranked = out.select("*", F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)
     return ranked.where(F.col("similarity") >= threshold) if threshold is not None else ranked
@@ -79,6 +71,19 @@ def group_by_pair(hits: DataFrame, query: str = "query_id", pair: str = "pair_id
     return rows.where(F.col("pair_rank") <= limit)
 
 
+#: Encoders by id: functions of a text column.
+ENCODERS = {
+    "hashing-64": lambda text: hashing_vector(F.split(text, r"\s+"), 64),
+    "hashing-256": lambda text: hashing_vector(F.split(text, r"\s+"), 256),
+}
+
+
+def encoder(model: str):
+    if model not in ENCODERS:
+        raise ValueError(f"no such encoder: {model}")
+    return ENCODERS[model]
+
+
 def hashing_vector(words: Column, size: int = 64) -> Column:
     """A stand-in encoder: signed feature hashing of words, L2-normalised."""
     slots = F.transform(words, lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(size)).cast("int").alias("i"), (F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2)) * 2 - 1).cast("double").alias("s")))

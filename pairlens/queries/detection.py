@@ -326,6 +326,18 @@ def sample_files(t: Tables):
     return scripts_of(t.pages).unionByName(own)
 
 
+@query()
+def region_scan(t: Tables):
+    """The whole scan: pages' scripts and edited forms of the sample pairs against the sample pairs as the corpus."""
+    from ..functions.samples import PAIRS
+    from ..plans.scan import scan
+
+    entries = [("own/samples", f"src/{name}.js", name, "fix", v, p, f"A-{i}", "high") for i, (name, v, p) in enumerate(PAIRS)]
+    corpus = t.spark.createDataFrame(entries, "repo string, path string, function string, fix string, vulnerable string, patched string, advisory string, severity string")
+    edited = sample_files(t).select(F.concat(F.lit("edited/"), "path").alias("path"), F.regexp_replace("content", r"return ", "log(1);\n  return ").alias("content"))
+    return scan(sample_files(t).union(edited), corpus).drop("unit", "boundary", "function_hash")
+
+
 @query()
 def js_functions(t: Tables):
     """Functions of the pages' scripts and of the sample pairs."""

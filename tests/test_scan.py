@@ -34,6 +34,35 @@ def test_scan_tells_sides_apart(spark, corpus):
     assert "e.js" not in got
 
 
+def test_scan_states_follow_regions(spark):
+    """Verdicts, conflicts and rejections of the verification chain, end to end."""
+    safe = "function send(url, body) {\n  const opts = { method: 'POST' };\n  prepare(opts, body);\n  opts.headers = base(opts);\n  return fetch(url, opts);\n}"
+    fixed = safe.replace("opts.headers = base(opts);", "opts.headers = strict(opts, url.host, true);")
+    swap = "function pick(list, at) {\n  const n = at;\n  return list[n] + at;\n}", "function pick(list, at) {\n  const n = at;\n  return list[!n] + at;\n}"
+    long = "function mix(first, second, last) {\n  let total = 0;\n  total = first + second + third + fourth + fifth - last;\n  return total;\n}"
+    rows = [("o/r", "src/send.js", "send", "f1", safe, fixed, "B-0", "high", "pkg"), ("o/r", "src/pick.js", "pick", "f2", *swap, "B-1", "low", "pkg"), ("o/r", "src/mix.js", "mix", "f3", long, long.replace("- last", "+ last"), "B-2", "low", "pkg")]
+    corpus = spark.createDataFrame(rows, ENTRY)
+    files = [
+        ("v.js", safe.replace("prepare(opts, body);", "prepare(opts, body);\n  trace(body);")), ("p.js", fixed.replace("prepare(opts, body);", "prepare(opts, body);\n  trace(body);")),
+        ("other.js", "function unrelated(rows, key) {\n  for (const row of rows) {\n    if (row.kind === 'total') continue;\n    emit(row.kind, key.size, 17);\n  }\n  const n = key;\n  return rows[n] + key;\n}"),
+        ("mixed.js", "function mixed(first, second, last) {\n  let total = 0;\n  n = p + q - r;\n  total = first + second + third + fourth + fifth + last\n}"),
+        ("far.js", "function far(x) {\n  while (x.next) { x = x.next; }\n  return x.value + 1;\n}"),
+    ]
+    found = {(r["path"], r["advisory"]): r for r in scan(spark.createDataFrame(files, "path string, content string"), corpus).collect()}
+    v, p = found["v.js", "B-0"], found["p.js", "B-0"]
+    assert (v["route"], v["status"], v["priority"]) == ("retrieval", "vulnerable", "automatic_vulnerability")
+    assert (p["route"], p["status"]) == ("retrieval", "patched") and p["priority"] in ("informational_lineage", "manual_review")
+    assert found["other.js", "B-1"]["abstention_reason"] == "IDENTITY_REJECTED" and found["mixed.js", "B-2"]["abstention_reason"] == "CONTRASTIVE_CONFLICT"
+    assert found["far.js", "B-0"]["status"] == "uncertain" and found["far.js", "B-0"]["abstention_reason"] in ("S_FAILED", "T_FAILED")
+
+
+def test_local_vote():
+    from pairlens.functions import js
+
+    name, v, p = PAIRS[1]
+    assert js.local_vote(v.replace("value", "x"), v, p) == "vulnerable" and js.local_vote(p, v, p) == "patched" and js.local_vote("function f() {}", v, p) is None
+
+
 def test_oversized(spark):
     files = spark.createDataFrame([("a.js", "x" * 300_000), ("b.js", "y")], "path string, content string")
     assert [r["path"] for r in oversized(files).collect()] == ["a.js"]
