@@ -67,21 +67,23 @@ def nearest_rank(rows: DataFrame, value: str, group: list[str], p: float = 0.95,
 def pareto(rows: DataFrame, key: str, maximise: list[str], minimise: list[str]) -> DataFrame:
     """Rows that none other dominates: at least as good in all objectives and better in one.
 
-    Each partition first drops what its own rows dominate (a sort-filter pass over Arrow batches),
-    so the last comparison is among frontier rows only.
+    Each partition drops what its own rows dominate, in passes over Arrow batches, and partitions are
+    merged eight by eight, so the last pass sees frontier rows only.  Equal rows stay side by side.
     """
     objectives = [*maximise, *minimise]
 
     def frontier(values):
         import numpy as np
 
-        order = np.argsort(-values.sum(axis=1), kind="stable")
-        kept: list[int] = []
-        for i in order:
+        # a row that dominates another has a greater sum
+        kept = np.zeros((0, values.shape[1]))
+        chosen: list[int] = []
+        for i in np.argsort(-values.sum(axis=1), kind="stable").tolist():
             v = values[i]
-            if not any(((values[j] >= v).all() and (values[j] > v).any()) for j in kept):
-                kept.append(i)
-        return kept
+            if not ((kept >= v).all(axis=1) & (kept > v).any(axis=1)).any():
+                kept = np.vstack([kept, v])
+                chosen.append(i)
+        return chosen
 
     def local(frames):
         import numpy as np
@@ -95,8 +97,13 @@ def pareto(rows: DataFrame, key: str, maximise: list[str], minimise: list[str])
         if held is not None:
             yield held
 
-    few = rows.select(key, *objectives).mapInPandas(local, rows.select(key, *objectives).schema)
-    return few.coalesce(1).mapInPandas(local, few.schema)
+    few = rows.select(key, *objectives)
+    parts = few.rdd.getNumPartitions()
+    few = few.mapInPandas(local, few.schema)
+    while parts > 1:
+        parts = -(-parts // 8)
+        few = few.coalesce(parts).mapInPandas(local, few.schema)
+    return few
 
 
 def sweep(baseline: dict[str, float], experiments: DataFrame) -> DataFrame:

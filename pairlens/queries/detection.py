@@ -119,14 +119,15 @@ def benchmark_containment(t: Tables):
     # the first and last word of an item may be parts of longer ones, so the key is of the words between
     items = items.withColumn("n", F.greatest(F.lit(0), F.least(F.lit(8), F.size("w") - 2)))
     sizes = sorted([r["n"] for r in items.where("n > 0").select("n").distinct().collect()])
-    small = items.count() <= 10_000
-    docs = t.documents.select("doc_id", T.collapse(F.col("text")).alias("x"), F.explode(F.array(words)).alias("w"))
-    found = docs.join(F.broadcast(items.where("n = 0")) if small else items.where("n = 0"), F.contains("x", "q")).select("item_id", "doc_id", "q")
+    texts = t.documents.select("doc_id", T.collapse(F.col("text")).alias("x"))
+    found = texts.join(items.where("n = 0").select("item_id", "q"), F.contains("x", "q")).select("item_id", "doc_id", "q")
     if sizes:
         key = F.coalesce(*[F.when(F.col("n") == n, F.xxhash64(*[F.get("w", F.lit(1 + k)) for k in range(n)])) for n in sizes])
-        items = items.where("n > 0").select("item_id", "q", key.alias("h"))
-        keys = docs.select("doc_id", "x", F.explode(F.array_distinct(F.concat(*[window_hashes("w", n) for n in sizes]))).alias("h"))
-        found = found.union(keys.join(F.broadcast(items) if small else items, "h").where(F.contains("x", "q")).select("item_id", "doc_id", "q"))
+        keyed = items.where("n > 0").select("item_id", key.alias("h"))
+        docs = t.documents.select("doc_id", F.explode(F.array(words)).alias("w"))
+        # ids alone meet at the hashes; the few pairs get their texts afterwards
+        met = docs.select("doc_id", F.explode(F.array_distinct(F.concat(*[window_hashes("w", n) for n in sizes]))).alias("h")).join(keyed, "h").select("item_id", "doc_id").distinct()
+        found = found.union(met.join(texts, "doc_id").join(items.select("item_id", "q"), "item_id").where(F.contains("x", "q")).select("item_id", "doc_id", "q"))
     return found.select("item_id", "doc_id", F.length("q").cast("long").alias("chars")).distinct()
 
 
@@ -256,14 +257,15 @@ def evidence_dedup(t: Tables):
 
 
 @query("""
-WITH d AS (SELECT doc_id, source, n_chars % 50 AS before, (n_chars + 7) % 50 AS after FROM documents),
-r AS (SELECT source, before AS h, min(doc_id) AS u FROM d GROUP BY ALL),
-x AS (SELECT source, after AS h, min(doc_id) AS v FROM d GROUP BY ALL)
-SELECT source, u, v FROM r JOIN x USING (source, h) WHERE u <> v""")
+WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS u, source, lang, n_chars % 50 AS before, (n_chars + 7) % 50 AS after FROM documents),
+e AS (SELECT u, source, lang, before AS t, 'before' AS side FROM d UNION ALL SELECT u, source, lang, after, 'after' FROM d),
+s AS (SELECT source, lang, t FROM e GROUP BY ALL HAVING count(DISTINCT side) = 2 AND count(DISTINCT u) > 1)
+SELECT DISTINCT e.u, 'text-' || sha256(e.source || chr(0) || e.lang || chr(0) || CAST(e.t AS VARCHAR)) AS v FROM e JOIN s USING (source, lang, t)""")
 def revision_links(t: Tables):
-    d = t.documents.select("doc_id", "source", (F.col("n_chars") % 50).alias("before"), ((F.col("n_chars") + 7) % 50).alias("after"))
-    r, x = d.groupBy("source", F.col("before").alias("h")).agg(F.min("doc_id").alias("u")), d.groupBy("source", F.col("after").alias("h")).agg(F.min("doc_id").alias("v"))
-    return r.join(x, ["source", "h"]).where("u <> v").select("source", "u", "v")
+    """Which documents hang on a text that one of them starts from and another ends at."""
+    n = F.col("n_chars")
+    d = t.documents.select(F.col("doc_id").cast("string").alias("boundary_id"), F.col("source").alias("lineage_id"), F.col("lang").alias("language"), (n % 50).cast("string").alias("vulnerable"), ((n + 7) % 50).cast("string").alias("patched"))
+    return L.revision_links(d).select("u", "v")
 
 
 @query(f"""
@@ -303,8 +305,9 @@ def fuzzy_substring(t: Tables):
     if not sizes:
         sizes = [4]
     hashed = F.coalesce(*[F.when(F.col("size") == s, F.xxhash64(*[F.get("q", F.col("at") + k) for k in range(s)])) for s in sizes])
-    keys = docs.select("doc_id", "w", F.explode(F.array_distinct(F.concat(*[window_hashes("w", s) for s in sizes]))).alias("h"))
-    found = keys.join(pieces.select("item_id", "q", hashed.alias("h")), "h").select("item_id", "doc_id", "q", "w").distinct()
+    keys = docs.select("doc_id", F.explode(F.array_distinct(F.concat(*[window_hashes("w", s) for s in sizes]))).alias("h"))
+    met = keys.join(pieces.select("item_id", hashed.alias("h")), "h").select("item_id", "doc_id").distinct()
+    found = met.join(items.select("item_id", "q"), "item_id").join(docs, "doc_id")
     return found.select("item_id", "doc_id", F.round(K.fuzzy_udf()("q", "w"), 6).alias("similarity"))
 
 
