@@ -10,10 +10,10 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .config import ScanConfig
-from .operators.corpus import package_probe
+from .operators.corpus import deduplicate, package_probe
 from .operators.state import signature
 from .plans.scan import scan
-from .sources import sinks, store
+from .sources import reviews, sinks, store
 from .sources.landed import REPORT_VERSION, read_jsonl, read_report, read_tree
 
 ENTRY = "repo string, path string, function string, fix string, vulnerable string, patched string, advisory string, severity string, package string"
@@ -51,7 +51,24 @@ def parser() -> argparse.ArgumentParser:
 
 def finding_id():
     """A digest of what the decision rests on; other corpus rows don't change it."""
-    return signature(*[F.col(c) for c in ("path", "function_hash", "boundary", "status", "abstention_reason", "priority")])
+    return signature(*[F.col(c) for c in reviews.IDENTITY])
+
+
+def with_dismissals(rows, scan_path: str):
+    """Findings with ``dismissed`` and the reason, from the file of reviews beside the scan."""
+    known = {r["id"]: r["reason"] for r in reviews.load(scan_path)}
+    rows = rows.drop("dismissed", "reason")
+    if not known:
+        return rows.select("*", F.lit(False).alias("dismissed"), F.lit(None).cast("string").alias("reason"))
+    reason = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])[F.col("finding_id")]
+    return rows.select("*", reason.isNotNull().alias("dismissed"), reason.alias("reason"))
+
+
+def unite(rows):
+    """Entries of the same change and package as one, the least advisory first, with all their advisories as aliases."""
+    key = ["repo", "path", "function", "fix", "package"]
+    each = rows.select(*[f.split()[0] for f in ENTRY.split(", ")], F.explode("aliases").alias("alias"))
+    return deduplicate(each, key, ["advisory", "severity", "vulnerable", "patched"], F.col("alias")).drop("alias", "entries")
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -65,10 +82,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         config = ScanConfig(hits_per_region=a.top_k, pairs_per_unit=a.pairs, similarity=a.threshold)
         found = scan(read_tree(spark, a.path), corpus, config)
         rows = found.select("*", finding_id().alias("finding_id"), F.lit(False).alias("dismissed"), F.lit(REPORT_VERSION).alias("schema_version"), F.lit(config.fingerprint()).alias("settings"))
-        rows.write.mode("overwrite").json(a.output)
-        return 0 if rows.isEmpty() else sinks.exit_code(read_report(spark, a.output))
+        rows.write.mode("overwrite").json(a.output.rstrip("/") + ".new")
+        store.replace(spark, a.output.rstrip("/") + ".new", a.output)
+        return 0 if rows.isEmpty() else sinks.exit_code(with_dismissals(read_report(spark, a.output), a.output))
     if a.command == "report":
-        rows = read_report(spark, a.scan)
+        rows = with_dismissals(read_report(spark, a.scan), a.scan)
         rows = rows if "severity" in rows.columns else rows.withColumn("severity", F.lit("unknown"))
         shown = rows if a.include_informational else rows.where(F.col("priority").isin(sinks.ACTIVE))
         shown = shown if a.include_dismissed else shown.where("NOT dismissed")
@@ -78,20 +96,21 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return sinks.exit_code(rows)
     if a.command == "dismiss":
         rows = read_report(spark, a.scan)
-        ids = [r[0] for r in rows.where(F.col("finding_id").startswith(a.finding)).select("finding_id").distinct().limit(2).collect()]
-        if len(ids) != 1 or (len(a.finding) < 8 and ids[0] != a.finding):
+        found = rows.where(F.col("finding_id").startswith(a.finding)).dropDuplicates(["finding_id"]).limit(2).collect()
+        if len(found) != 1 or (len(a.finding) < 8 and found[0]["finding_id"] != a.finding):
             print("no single finding has this id", file=sys.stderr)
             return 2
-        mine = F.col("finding_id") == ids[0]
-        new = rows.withColumn("dismissed", F.when(mine, F.lit(not a.undo)).otherwise(F.col("dismissed")))
-        new = new.withColumn("reason", F.when(mine, F.lit(None if a.undo else a.reason)).otherwise(F.col("reason") if "reason" in rows.columns else F.lit(None).cast("string")))
-        kept = [r.asDict(recursive=True) for r in new.toLocalIterator()]
-        spark.createDataFrame(kept, new.schema).write.mode("overwrite").json(a.scan)
+        try:
+            reviews.change(a.scan, found[0].asDict(recursive=True), a.reason, a.undo)
+        except ValueError as e:
+            print(e, file=sys.stderr)
+            return 2
         return 0
     if a.action == "build":
         rows = read_jsonl(spark, a.entries, ENTRY)
         old = store.load(spark, a.corpus) if a.append else None
-        rows = (old.unionByName(rows) if old is not None else rows).dropDuplicates(["repo", "path", "function", "fix", "advisory", "package"])
+        rows = rows.withColumn("aliases", F.array("advisory"))
+        rows = unite(old.unionByName(rows) if old is not None else rows)
         try:
             print(store.publish(rows, a.corpus))
         except ValueError as e:

@@ -56,3 +56,24 @@ def load(spark: SparkSession, root: str) -> DataFrame | None:
     """The published snapshot, or None."""
     name = current(spark, root)
     return spark.read.parquet(f"{root}/snapshots/{name}") if name else None
+
+
+def replace(spark: SparkSession, staged: str, final: str) -> None:
+    """Let a whole folder take another's place; what was there before goes last."""
+    new, fs = _path(spark, staged)
+    target, old = _path(spark, final)[0], _path(spark, final.rstrip("/") + ".old")[0]
+    fs.delete(old, True)
+    if fs.exists(target):
+        fs.rename(target, old)
+    fs.rename(new, target)
+    fs.delete(old, True)
+
+
+def cached(build, root: str, *made_of: DataFrame) -> DataFrame:
+    """A table kept under the contents of what it is made of: read if it is there and whole, else ``build()`` is written."""
+    spark = made_of[0].sparkSession
+    path = f"{root}/index-{'-'.join(content_id(df) for df in made_of)}"
+    done, fs = _path(spark, f"{path}/_SUCCESS")
+    if not fs.exists(done):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

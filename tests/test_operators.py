@@ -146,6 +146,36 @@ def test_nearest_rank(spark):
     assert E.nearest_rank(df, "v", ["g"]).first()["quantile"] == 19.0 and E.nearest_rank(df, "v", ["g"], variant="floor").first()["quantile"] == 20.0
 
 
+def test_pareto_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(i, float(rng.randrange(8)), float(rng.randrange(8)), float(rng.randrange(8))) for i in range(300)]
+    want = {i for i, a, b, c in rows if not any(x >= a and y >= b and z <= c and (x, y, z) != (a, b, c) for _, x, y, z in rows)}
+    df = spark.createDataFrame(rows, "i int, a double, b double, c double").repartition(20)
+    assert {r["i"] for r in E.pareto(df, "i", ["a", "b"], ["c"]).collect()} == want
+
+
+def test_encoders_by_id():
+    with pytest.raises(ValueError):
+        N.encoder("none")
+
+
+@pytest.mark.parametrize("block", [7, 4096])
+def test_top_k_against_all_products(spark, block):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(90, 5)).round(1)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>").repartition(3)
+    got = {(r["query_id"], r["rank"]): r["id"] for r in N.top_k(df.where("id % 3 = 0"), df, 4, exclude_self=True, block=block).collect()}
+    want = {}
+    for q in range(0, 90, 3):
+        order = sorted((i for i in range(90) if i != q), key=lambda i: (-round(float(x[q] @ x[i]), 9), i))
+        want |= {(q, n): i for n, i in enumerate(order[:4], 1)}
+    assert got == want
+
+
 def test_sweep_and_round_robin(spark):
     base = {"a": 1.0, "b": 2.0}
     exp = spark.createDataFrame([("x", {"a": 1.0}), ("y", {"a": 3.0}), ("z", {"b": 2.0})], "experiment string, settings map<string,double>")

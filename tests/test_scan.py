@@ -167,3 +167,23 @@ def test_command_line(spark, tmp_path, capsys):
     assert found[0]["path"] == "a.js" and found[0]["status"] == "vulnerable"
     assert cli.main(["dismiss", out, found[0]["finding_id"], "--reason", "known"], spark) == 0
     assert cli.main(["report", out], spark) == 0
+    from pairlens.sources import reviews, store
+
+    (record,) = reviews.load(out)
+    assert record["id"] == found[0]["finding_id"] and record["reason"] == "known"
+    with reviews.locked(out):
+        assert cli.main(["dismiss", out, found[0]["finding_id"], "--undo"], spark) == 2
+    assert cli.main(["dismiss", out, found[0]["finding_id"], "--undo"], spark) == 0 and reviews.load(out) == []
+    sinks.write_text(reviews.place(out), json.dumps({"schema": reviews.SCHEMA, "dismissals": [record | {"id": "0" * 64}]}))
+    with pytest.raises(ValueError):
+        reviews.load(out)
+    # the same change again under another advisory: one entry with both
+    again = dict(zip(keys, entries()[0])) | {"advisory": "A-00"}
+    lines.write_text(json.dumps(again) + "\n")
+    assert cli.main(["corpus", "build", "--corpus", corpus, "--entries", str(lines), "--append"], spark) == 0
+    rows = store.load(spark, corpus)
+    assert rows.count() == len(PAIRS) and rows.where("function = 'merge'").first()["aliases"] == ["A-0", "A-00"]
+    built = []
+    for _ in range(2):
+        assert store.cached(lambda: built.append(1) or spark.range(3), str(tmp_path / "kept"), rows).count() == 3
+    assert built == [1]
