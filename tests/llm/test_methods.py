@@ -501,6 +501,43 @@ def test_toxicity_finds_passages(spark):
     assert toxicity.learn(df.where("false")).weights == {}
 
 
+def test_toxicity_model_against_plain_counts(spark):
+    rng = random.Random(11)
+    plain = [f"{a}{b}" for a in ("ba", "do", "ke", "li") for b in ("n", "so", "ti", "verum")]
+    texts = {" ".join([rng.choice(plain) for _ in range(rng.randrange(20, 60))] + (["grimol" + rng.choice(["", "ic"])] if k % 6 == 0 else [])): int(k % 6 == 0) for k in range(500)}
+    df = spark.createDataFrame([*texts.items(), *list(texts.items())[:100]], "text string, toxic int").repartition(5)
+    places = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    counts, n, bad, held = {}, 0, 0, []
+    for text, y in sorted(texts.items()):
+        if (places[text] >> 32) % 4 == 0:
+            held.append((text.encode(), y))
+            continue
+        n, bad = n + 1, bad + y
+        for u in {u for w in set(toxicity.words_of(text.encode())) for u in toxicity.units_of(w)}:
+            a, b = counts.get(u, (0, 0))
+            counts[u] = a + 1, b + y
+    want = toxicity.fit_calibration(toxicity.fit_weights({u: c for u, c in counts.items() if c[1]}, n, bad), held)
+    model = toxicity.learn(df)
+    assert model == want and model.weights
+    # the score by its definition: the least Poisson tail over the best significant segments
+    import math
+
+    for text in list(texts)[:40]:
+        words = toxicity.words_of(text.encode())
+        weight = [next((model.weights[u] for u in toxicity.units_of(w) if u in model.weights), 0.0) - toxicity.DRIFT for w in words]
+        segments = sorted((s for s, _, _ in toxicity.Scorer(model).segments(words)), reverse=True)
+        assert (max([sum(weight[a:b]) for a in range(len(words)) for b in range(a + 1, len(words) + 1)]) if max(weight) > 0 else None) == (pytest.approx(segments[0]) if segments else None)
+        evidence = 0.0
+        for k, s in enumerate(segments, 1):
+            mean = model.k * len(words) * math.exp(-model.lam * s)
+            if mean > toxicity.E_VALUE:
+                break
+            tail = 1 - sum(math.exp(-mean) * mean**j / math.factorial(j) for j in range(k))
+            evidence = max(evidence, -math.log(tail)) if tail > 1e-12 else max(evidence, toxicity._poisson_tail(k, mean))
+        score = 1 / (1 + math.exp(-(model.intercept + model.slope * math.log1p(evidence))))
+        assert toxicity.Scorer(model).score(text.encode())[0] == pytest.approx(score, abs=1e-3)
+
+
 def test_segments_against_all_spans():
     """The best segment is the best of all runs of words, and segments don't overlap."""
     rng = random.Random(9)
