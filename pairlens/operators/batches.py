@@ -23,3 +23,22 @@ def flat_map(df: DataFrame, function: Callable[[dict], Iterable[dict]], schema:
                 yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
     return df.mapInArrow(run, kind)
+
+
+def halving(run: Callable[[list], list], items: list, size: int, exhausted: tuple = (MemoryError,)) -> list:
+    """``run`` over slices of at most ``size``; a slice that exhausts memory is tried again in halves, down to one item.
+
+    The smaller size stays for what follows.  Other errors, and one item that is too much, are raised.
+    """
+    out, at = [], 0
+    while at < len(items):
+        try:
+            out += run(items[at : at + size])
+        except exhausted:
+            size = min(size, len(items) - at)
+            if size == 1:
+                raise
+            size //= 2
+            continue
+        at += size
+    return out

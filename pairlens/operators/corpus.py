@@ -50,6 +50,52 @@ def release_boundary(versions: DataFrame, package: str = "package", version: str
     return versions.where(v < f).groupBy(package, fixed).agg(F.max_by(version, v).alias("last_affected"))
 
 
+def is_ancestor(older: Column, newer: Column, comparison: Column) -> Column:
+    """Whether a commit is another one or comes before it, by the landed status of comparing both; null where there is none."""
+    return F.when(older == newer, True).otherwise(comparison.isin("ahead", "identical"))
+
+
+def resolved_boundaries(fixes: DataFrame, releases: DataFrame, comparisons: DataFrame) -> DataFrame:
+    """The last affected and first fixed release of each fix with their commits, or the reason why there is none.
+
+    ``fixes``: package, repo, fix, first_fixed, affected_versions (array).  ``releases``, one row per package and
+    version: package, repo, version, tarball, artifact_name, artifact_version, artifact_sha256, git_head, tag_commit.
+    ``comparisons``, one row per pair: repo, older, newer, status.  Both artifacts must be the package at that
+    version, and the fix must lie between the commits of both.
+    """
+    below = F.filter("affected_versions", lambda v: version_key(v) < version_key(F.col("first_fixed")))
+    last = F.array_max(F.transform(below, lambda v: F.struct(version_key(v).alias("k"), v.alias("v"))))["v"]
+    rows = fixes.select("*", last.alias("last_affected"))
+    known = releases.groupBy("package").agg(F.max("repo").alias("known_repo"))
+    rows = rows.join(known, "package", "left")
+    bare = lambda c: F.regexp_replace(F.trim(c), "^[vV=]+", "")
+    problems = []
+    for side, version in (("v", "last_affected"), ("f", "first_fixed")):
+        commit = F.coalesce("git_head", "tag_commit")
+        one = releases.select("package", F.col("version").alias(version), *[c.alias(f"{side}_{n}") for n, c in (("tarball", F.col("tarball")), ("name", F.col("artifact_name")), ("version", F.col("artifact_version")), ("sha256", F.col("artifact_sha256")), ("commit", commit))])
+        rows = rows.join(one, ["package", version], "left")
+        get = lambda n, side=side: F.col(f"{side}_{n}")
+        problems += [
+            (get("tarball").isNull(), "tarball_missing"),
+            (get("name").isNull() | get("version").isNull(), "tarball_invalid"),
+            ((get("name") != F.col("package")) | (bare(get("version")) != bare(F.col(version))), "tarball_identity_mismatch"),
+            (get("commit").isNull(), "release_commit_unresolved"),
+        ]
+    for side, older, newer in (("v", "v_commit", "fix"), ("f", "fix", "f_commit")):
+        status = comparisons.select("repo", F.col("older").alias(older), F.col("newer").alias(newer), F.col("status").alias(f"{side}_status"))
+        rows = rows.join(status, ["repo", older, newer], "left")
+        before = is_ancestor(F.col(older), F.col(newer), F.col(f"{side}_status"))
+        problems += [(before.isNull(), "commit_ancestry_unresolved"), (~before, "fix_outside_release_boundary")]
+    reason = first_reason(
+        (~F.coalesce(F.lower("known_repo") == F.lower("repo"), F.lit(False)), "repository_mismatch"),
+        (F.coalesce(F.size("affected_versions"), F.lit(0)) <= 0, "affected_versions_missing"),
+        (F.col("last_affected").isNull(), "last_affected_unresolved"),
+        *problems,
+    )
+    out = {"last_affected_commit": "v_commit", "first_fixed_commit": "f_commit", "vulnerable_artifact": "v_sha256", "fixed_artifact": "f_sha256"}
+    return rows.select(*fixes.columns, reason.alias("reason_code"), *[F.when(reason.isNull(), F.col(c)).alias(n) for n, c in {"last_affected": "last_affected", **out}.items()])
+
+
 def high_impact(rows: DataFrame) -> Column:
     """At least 100 dependents and 500 stars, not archived or disabled, and two of three signs of activity.
 

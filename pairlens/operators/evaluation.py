@@ -30,6 +30,41 @@ def verification_metrics(rows: DataFrame, group: list[str] | None = None, name:
     )
 
 
+def opinion_metrics(rows: DataFrame, group: list[str] | None = None) -> DataFrame:
+    """Second opinions (``opinion``: vulnerable, patched, abstained, manual_review or null): how many, how many
+    decide, their accuracy against ``expected``, and the recall over flagged cases with what they add to ``outcome``.
+
+    Excluded cases have no part in the recall, which is null where there is no opinion at all.
+    """
+    given, says = F.col("opinion").isNotNull(), F.coalesce(F.col("opinion") == "vulnerable", F.lit(False))
+    decides = given & ~F.col("opinion").isin("abstained", "manual_review")
+    flagged = F.col("expected") == "flagged"
+    counted = flagged & ~F.col("outcome").startswith("excluded")
+    agg = rows.groupBy(*(group or [])).agg(
+        F.count_if(given).alias("opinions"), F.count_if(decides).alias("decided"), F.count_if(given & ~decides).alias("abstained"),
+        share(F.count_if(decides & (says == flagged)), F.count_if(decides)).alias("accuracy"),
+        share(F.count_if(counted & ((F.col("outcome") == "true_positive") | says)), F.count_if(counted)).alias("recall"),
+    )
+    return agg.withColumn("adjusted_recall", F.when(F.col("opinions") > 0, F.col("recall"))).drop("recall")
+
+
+def origin_rates(rows: DataFrame, flags: list[str]) -> DataFrame:
+    """Rates of a run, one row per measure: count, denominator, rate (null over no cases).
+
+    ``rows``: expected, abstained, by_hash, found, correct, false_alarm, and further ``flags``.  Each is given over
+    all labelled cases; ``correct`` and ``false_alarm`` also over their own label, with and without abstentions,
+    and ``found`` for hash and other cases apart.
+    """
+    every, flagged, cleared = F.lit(True), F.col("expected") == "flagged", F.col("expected") == "cleared"
+    measures = [(f, f, every) for f in ("found", *flags, "abstained")]
+    for name, label in (("correct", flagged), ("false_alarm", cleared)):
+        measures += [(name, name, label), (f"{name}_decided", name, label & ~F.col("abstained")), (f"{name}_of_all", name, every)]
+    measures += [("found_by_hash", "found", F.col("by_hash")), ("found_otherwise", "found", ~F.col("by_hash"))]
+    counts = rows.agg(*[F.struct(F.count_if(of & F.col(flag)).alias("n"), F.count_if(of).alias("cases")).alias(name) for name, flag, of in measures])
+    lines = F.array(*[F.struct(F.lit(name).alias("measure"), F.col(name)["n"].alias("n"), F.col(name)["cases"].alias("cases")) for name, _, _ in measures])
+    return counts.select(F.inline(lines)).select("*", share(F.col("n"), F.col("cases")).alias("rate"))
+
+
 def effective_rank(rank: Column, hash_hit: Column) -> Column:
     """A hash hit is rank 1."""
     return F.when(hash_hit, 1).otherwise(rank)

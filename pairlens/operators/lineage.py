@@ -62,3 +62,14 @@ def lineage_scores(evidence: DataFrame, unit: str = "unit", lineage: str = "line
     row = F.round(0.60 * F.col(similarity) + 0.25 * F.col(structure) + 0.075, 6)
     agg = evidence.groupBy(unit, lineage).agg(F.count(F.lit(1)).alias("observations"), upper_median(F.collect_list(row)).alias("score"))
     return agg.select("*", confidence(F.col("score")).alias("confidence"))
+
+
+def unknown_applicabilities(aliases: DataFrame, unit: str = "unit", lineage: str = "lineage") -> DataFrame:
+    """Distinct (unit, lineage, package, ecosystem) of the advisories of a lineage, before any project is looked at.
+
+    ``aliases`` has a row per advisory with ``package, ecosystem``; without a package it names none, and an
+    ecosystem that is null or empty is npm.
+    """
+    rows = aliases.where(F.coalesce("package", F.lit("")) != "")
+    ecosystem = F.coalesce(F.nullif(F.col("ecosystem"), F.lit("")), F.lit("npm"))
+    return rows.select(unit, lineage, "package", ecosystem.alias("ecosystem"), F.lit("unknown").alias("status")).distinct()

@@ -82,6 +82,18 @@ def latest_stale(statuses: DataFrame) -> DataFrame:
     return agg.select("path", "function_id", F.when(F.col("dismissed"), "dismissed").otherwise("reopened").alias("state"), F.when(~F.col("dismissed"), F.col("last")).alias("reason"))
 
 
+def reconcile(findings: DataFrame, dismissals: DataFrame, files: DataFrame) -> DataFrame:
+    """A saved report's findings with what became of their dismissals, without a new scan.
+
+    ``findings``: path, function_id, function_hash, signature (recomputed in the project as it is; null where the
+    finding is no longer active).  ``dismissals``: as for :func:`dismissal_status`.  ``files``: path, file_hash of
+    the files as they are, scanned.  Findings that were never dismissed come with a null state.
+    """
+    here = files.select("path", "file_hash", "scanned").join(findings.select("path", "function_id", "function_hash", "signature"), "path", "left")
+    marks = latest_stale(dismissal_status(dismissals, here))
+    return findings.join(marks, ["path", "function_id"], "left").select(*findings.columns, "state", "reason")
+
+
 def signature(*evidence: Column) -> Column:
     return F.sha2(F.to_json(F.struct(*evidence)), 256)
 

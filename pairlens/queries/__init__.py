@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import corpus, detection, evaluation, review, state
+from . import corpus, detection, evaluation, projects, review, state
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "corpus", "detection", "evaluation", "review", "state"]
+__all__ = ["ORACLES", "QUERIES", "corpus", "detection", "evaluation", "projects", "review", "state"]

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import SOURCE_FILE
+from ..functions.text import SOURCE_FILE, repository
 from ..operators.batches import flat_map
 from ..operators.state import SKIPPED
 
@@ -23,6 +23,8 @@ ADVISORY = (
 OSV = "id string, aliases array<string>, affected array<struct<package:struct<name:string,ecosystem:string>,ranges:array<struct<type:string,events:array<struct<introduced:string,fixed:string,last_affected:string>>>>,versions:array<string>>>"
 COMMIT = "sha string, parent_shas array<string>, files array<struct<filename:string,status:string,additions:int,deletions:int,patch:string,previous_filename:string>>"
 
+BLOB = "repo string, sha string, encoding string, content string"
+
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines cut at line feeds alone: other line separators inside values are data."""
@@ -48,6 +50,50 @@ def read_osv(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("id", "ghsa_alias", F.col("a.package.name").alias("package"), F.col("a.package.ecosystem").alias("ecosystem"), first("introduced").alias("introduced"), first("fixed").alias("fixed"), F.coalesce("a.versions", F.array().cast("array<string>")).alias("versions"))
 
 
+def read_contents(spark: SparkSession, path: str, blobs: str | None = None) -> DataFrame:
+    """Texts of files at a commit: ``repo, path, ref, content, problem``.
+
+    A file that isn't there (404) has null content.  One without inline content (too large for it) takes the
+    landed blob of its digest.  Everything else that is no base64 of UTF-8 has a problem in place of content.
+    """
+    rows = read_jsonl(spark, path, "repo string, path string, ref string, status int, encoding string, content string, sha string")
+    big = read_jsonl(spark, blobs, BLOB) if blobs else spark.createDataFrame([], BLOB)
+    big = big.groupBy("repo", "sha").agg(F.max(F.when(F.col("encoding") == "base64", F.col("content"))).alias("blob"))
+    rows = rows.join(big, ["repo", "sha"], "left")
+    inline = F.coalesce(F.col("encoding") == "base64", F.lit(False))
+    body = F.when(inline, F.col("content")).when(F.col("encoding") == "none", F.col("blob"))
+    data = F.try_to_binary(F.regexp_replace(body, r"\s", ""), F.lit("base64"))
+    gone = F.coalesce(F.col("status") == 404, F.lit(False))
+    text = F.when(~gone & F.is_valid_utf8(data.cast("string")), data.cast("string"))
+    problem = (
+        F.when(gone, None)
+        .when(~inline & ~F.coalesce(F.col("encoding") == "none", F.lit(False)), "unexpected_encoding")
+        .when(body.isNull(), "blob_missing")
+        .when(text.isNull(), "not_utf8")
+    )
+    return rows.select("repo", "path", "ref", text.alias("content"), problem.alias("problem"))
+
+
+def read_releases(spark: SparkSession, path: str) -> DataFrame:
+    """Landed package metadata, one row per version: ``package, repo, version, tarball, git_head, missing``.
+
+    A line is a response: package, status, body.  A package that isn't known (404) has one row with ``missing``.
+    """
+    rows = spark.read.option("lineSep", "\n").text(path).select(F.try_parse_json("value").alias("r"))
+    get = lambda c, at, kind="string": F.try_variant_get(c, at, kind)
+    address = F.coalesce(get("r", "$.body.repository.url"), get("r", "$.body.repository"))
+    rows = rows.select(get("r", "$.package").alias("package"), repository(address).alias("repo"), (F.coalesce(get("r", "$.status", "int"), F.lit(200)) == 404).alias("missing"), get("r", "$.body.versions", "map<string,variant>").alias("m"))
+    rows = rows.where("package IS NOT NULL").select("package", "repo", "missing", F.explode_outer(F.when(~F.col("missing"), F.map_entries("m"))).alias("e"))
+    return rows.select("package", "repo", F.col("e.key").alias("version"), get("e.value", "$.dist.tarball").alias("tarball"), get("e.value", "$.gitHead").alias("git_head"), "missing")
+
+
+def read_dependents(spark: SparkSession, path: str) -> DataFrame:
+    """Landed registry scores: ``package, dependents``; 0 where the count isn't given."""
+    rows = spark.read.option("lineSep", "\n").text(path).select(F.try_parse_json("value").alias("r"))
+    count = F.try_variant_get("r", "$.body.collected.npm.dependentsCount", "long")
+    return rows.select(F.try_variant_get("r", "$.package", "string").alias("package"), F.coalesce(count, F.lit(0)).alias("dependents")).where("package IS NOT NULL")
+
+
 def osv_query(commit: str | None = None, package: str | None = None, ecosystem: str | None = None, version: str | None = None) -> dict:
     """A query by commit, or by package, ecosystem and version; anything else is an error."""
     named = (package, ecosystem, version)

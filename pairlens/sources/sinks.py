@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import os
+import pathlib
 import tempfile
 from collections.abc import Iterable
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +18,7 @@ from pyspark.sql import functions as F
 PRIORITIES = ["automatic_vulnerability", "manual_review", "informational_lineage", "none"]
 SEVERITIES = ["critical", "high", "moderate", "medium", "low", "unknown"]
 ACTIVE = PRIORITIES[:2]
+REPORT_TOOL_VERSION = "1"
 
 
 def ordered(findings: DataFrame) -> DataFrame:
@@ -32,22 +36,47 @@ def exit_code(findings: DataFrame) -> int:
     return int(not findings.where(F.col("priority").isin(ACTIVE) & ~F.coalesce("dismissed", F.lit(False))).isEmpty())
 
 
-def sarif(rows: Iterable[dict], tool: str = "pairlens") -> str:
-    """SARIF 2.1.0; active automatic findings are errors, the others notes; lines are 1-based."""
-    results, rules = [], {}
-    for r in rows:
-        rule = r.get("advisory") or "clone"
-        rules[rule] = {"id": rule, "shortDescription": {"text": r.get("title") or rule}}
+#: Rule, level and description of each priority in exports.
+RULES = {
+    "automatic_vulnerability": ("vulnerable-code", "error", "Vulnerable code clone"),
+    "manual_review": ("manual-review", "note", "Review possible vulnerable code clone"),
+}
+OTHER_RULE = ("related-code", "note", "Related code")
+
+
+def fingerprint(r: dict) -> str:
+    """What a finding keeps between runs: digest of priority, path, unit (else name and lines) and function hash."""
+    unit = r.get("unit") or f"{r.get('name') or '<anonymous>'}:{r['start_line'] + 1}:{r['end_line'] + 1}"
+    return hashlib.sha256("|".join([r["priority"], r["path"], str(unit), r.get("function_hash") or ""]).encode()).hexdigest()
+
+
+def sarif(rows: Iterable[dict], tool: str = "pairlens", root: str | None = None, version: str = REPORT_TOOL_VERSION) -> str:
+    """SARIF 2.1.0, a rule for each priority; automatic findings are errors, the others notes; lines are 1-based.
+
+    Paths are relative to ``%SRCROOT%``, which ``root`` sets.
+    """
+    rules = {tool + "/" + name: (level, text) for name, level, text in (*RULES.values(), OTHER_RULE)}
+    results = []
+    for r in sorted(rows, key=lambda r: (r["path"], r["start_line"], r["end_line"], r["priority"], r.get("name") or "")):
+        rule, level, _ = RULES.get(r["priority"], OTHER_RULE)
+        shown = {k: r.get(c) for k, c in (("confidence", "confidence"), ("reason", "reason"), ("opinion", "opinion"), ("findingId", "finding_id"))}
+        ids = sorted({x for x in [r.get("advisory"), *(r.get("aliases") or [])] if x})
+        region = {"startLine": max(1, r["start_line"] + 1), "endLine": max(1, r["start_line"] + 1, r["end_line"] + 1)}
         results.append(
             {
-                "ruleId": rule,
-                "level": "error" if r["priority"] == "automatic_vulnerability" else "note",
-                "message": {"text": r.get("reason") or r["priority"]},
-                "locations": [{"physicalLocation": {"artifactLocation": {"uri": r["path"]}, "region": {"startLine": r["start_line"] + 1, "endLine": r["end_line"] + 1}}}],
+                "ruleId": f"{tool}/{rule}",
+                "level": level,
+                "message": {"text": f"{r.get('name') or '<anonymous>'}: {r.get('reason') or r['priority']}"},
+                "locations": [{"physicalLocation": {"artifactLocation": {"uri": quote(r["path"], safe="/"), "uriBaseId": "%SRCROOT%"}, "region": region}}],
+                "partialFingerprints": {"primaryLocationLineHash": fingerprint(r)},
+                "properties": {tool: {"priority": r["priority"], "advisoryIds": ids, "packages": sorted(r.get("packages") or []), **shown}},
             }
         )
-    results.sort(key=lambda x: (x["locations"][0]["physicalLocation"]["artifactLocation"]["uri"], x["locations"][0]["physicalLocation"]["region"]["startLine"], x["ruleId"]))
-    run = {"tool": {"driver": {"name": tool, "rules": [rules[k] for k in sorted(rules)]}}, "results": results}
+    used = {x["ruleId"] for x in results}
+    named = [{"id": i, "name": i.rsplit("/", 1)[-1], "shortDescription": {"text": text}, "defaultConfiguration": {"level": level}} for i, (level, text) in rules.items() if i in used or not i.endswith(OTHER_RULE[0])]
+    run = {"tool": {"driver": {"name": tool, "version": version, "rules": named}}, "results": results}
+    if root is not None:
+        run["originalUriBaseIds"] = {"%SRCROOT%": {"uri": pathlib.Path(root).resolve().as_uri().rstrip("/") + "/"}}
     return json.dumps({"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [run]}, indent=1)
 
 
