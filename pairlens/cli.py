@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from .config import ScanConfig
 from .operators.corpus import deduplicate, package_probe
 from .operators.state import signature
-from .plans.scan import scan
+from .plans.scan import scan, with_applicability
 from .sources import reviews, sinks, store
-from .sources.landed import REPORT_VERSION, read_jsonl, read_report, read_tree
+from .sources.landed import REPORT_VERSION, read_jsonl, read_project, read_report, read_tree
 
 ENTRY = "repo string, path string, function string, fix string, vulnerable string, patched string, advisory string, severity string, package string"
 
@@ -80,7 +80,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             print("no corpus is published", file=sys.stderr)
             return 2
         config = ScanConfig(hits_per_region=a.top_k, pairs_per_unit=a.pairs, similarity=a.threshold)
-        found = scan(read_tree(spark, a.path), corpus, config)
+        files = read_tree(spark, a.path)
+        texts = files.select("path", F.col("content").cast("string").alias("content")).unionByName(read_project(spark, a.path))
+        found = with_applicability(scan(files, corpus, config), corpus, texts)
         rows = found.select("*", finding_id().alias("finding_id"), F.lit(False).alias("dismissed"), F.lit(REPORT_VERSION).alias("schema_version"), F.lit(config.fingerprint()).alias("settings"))
         rows.write.mode("overwrite").json(a.output.rstrip("/") + ".new")
         store.replace(spark, a.output.rstrip("/") + ".new", a.output)

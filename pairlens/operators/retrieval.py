@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .batches import halving
+
 #: Vectors of either side that one task compares at most, in expectation; of the corpus it holds a slice at a time.
 BLOCK = 4096
 SLICE = 512
@@ -84,6 +87,16 @@ def encoder(model: str):
     return ENCODERS[model]
 
 
+def batch_encoder(run, size: int = 64):
+    """An encoder from a model's ``run(list of texts)``, which returns a list of vectors: Arrow batches, in slices that are halved where memory runs out."""
+
+    @F.pandas_udf("array<float>")
+    def encode(texts: pd.Series) -> pd.Series:
+        return pd.Series([[float(x) for x in v] for v in halving(run, texts.fillna("").tolist(), size)], dtype=object)
+
+    return lambda text: encode(text)
+
+
 def hashing_vector(words: Column, size: int = 64) -> Column:
     """A stand-in encoder: signed feature hashing of words, L2-normalised."""
     slots = F.transform(words, lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(size)).cast("int").alias("i"), (F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2)) * 2 - 1).cast("double").alias("s")))

@@ -13,6 +13,7 @@ from ..operators import lineage as L
 from ..operators import retrieval as N
 from ..operators import verdicts as V
 from ..operators.matching import hash_verdicts
+from ..operators.project import assess
 from ..operators.units import candidate_regions, diagnostics, extract_units, fallback_udf, region_pairs, roles_udf, with_fingerprints
 from .scratch import materialise
 
@@ -22,10 +23,15 @@ def _keys(rows: DataFrame) -> DataFrame:
     return rows.select("*", F.inline(kinds)).where("digest IS NOT NULL")
 
 
+def with_boundary(corpus: DataFrame) -> DataFrame:
+    """Corpus entries with the ids of their lineage and boundary."""
+    rows = corpus.withColumn("lineage", L.lineage_id(F.col("repo"), F.col("path"), F.col("function")))
+    return rows.withColumn("boundary", L.boundary_id(F.col("lineage"), F.col("fix"), F.col("vulnerable"), F.col("patched")))
+
+
 def reference_boundaries(corpus: DataFrame) -> DataFrame:
     """Corpus entries (repo, path, function, fix, vulnerable, patched, advisory, severity) as one row per boundary."""
-    rows = corpus.withColumn("lineage", L.lineage_id(F.col("repo"), F.col("path"), F.col("function")))
-    rows = rows.withColumn("boundary", L.boundary_id(F.col("lineage"), F.col("fix"), F.col("vulnerable"), F.col("patched")))
+    rows = with_boundary(corpus)
     # all that the id is made of is equal in a group
     same = [F.any_value(c).alias(c) for c in ("lineage", "function", "vulnerable", "patched")]
     return rows.groupBy("boundary").agg(*same, F.any_value(language_of(F.col("path"))).alias("language"), F.min("advisory").alias("advisory"), F.min("severity").alias("severity"), F.count(F.lit(1)).alias("entries"))
@@ -192,6 +198,20 @@ def scan(files: DataFrame, corpus: DataFrame, config: ScanConfig | None = None)
     return out.select("unit", "path", "name", "start_line", "end_line", "function_hash", "boundary", "advisory", "severity", "route", "status", "abstention_reason", "prior_reason", "edit_strategy", "confidence", "priority")
 
 
+def with_applicability(findings: DataFrame, corpus: DataFrame, files: DataFrame) -> DataFrame:
+    """Findings with ``packages``: the packages of their boundary's advisories, each with its status in the project.
+
+    ``files(path, content)`` are the sources, manifests and lock files of one project, as text.  The priority
+    stays: which project a package applies to doesn't undo what the texts show.
+    """
+    named = with_boundary(corpus).where("package IS NOT NULL").select("boundary", "package").distinct()
+    rows = findings.select("path", "boundary").distinct().join(named, "boundary").withColumn("project", F.lit(""))
+    found = assess(rows, files.select(F.lit("").alias("project"), "path", "content"))
+    listed = found.groupBy("path", "boundary").agg(F.array_sort(F.collect_set(F.concat_ws(":", "package", "status"))).alias("packages"))
+    none = F.array().cast("array<string>")
+    return findings.join(listed, ["path", "boundary"], "left").select(*findings.columns, F.coalesce("packages", none).alias("packages"))
+
+
 def oversized(files: DataFrame, config: ScanConfig | None = None) -> DataFrame:
     """Files that are too large to scan: each goes to manual review."""
     config = config or ScanConfig()

@@ -8,7 +8,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import SOURCE_FILE, repository
@@ -109,6 +109,17 @@ def read_commits(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("sha", F.size("parent_shas").alias("parents"), F.explode("files").alias("f")).select("sha", "parents", F.col("f.filename").alias("path"), "f.status", (F.col("f.additions") + F.col("f.deletions")).alias("changed_lines"), "f.patch", "f.previous_filename")
 
 
+def _inside(root: str) -> Column:
+    return F.regexp_replace("path", "^.*?" + root.rstrip("/").replace("\\", "/").replace(".", r"\.") + "/", "")
+
+
+def read_project(spark: SparkSession, path: str) -> DataFrame:
+    """Manifests and lock files under a folder, installed packages' own ones included: ``path, content`` as text."""
+    names = "{package.json,package-lock.json,yarn.lock,pnpm-lock.yaml}"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", names).load(path)
+    return files.select(_inside(path).alias("path"), F.col("content").cast("string").alias("content"))
+
+
 def read_tree(spark: SparkSession, path: str, max_bytes: int = 1_000_000, limit: int | None = None, required: list[str] | None = None) -> DataFrame:
     """Source files under a folder: path inside it, content, size.
 
@@ -117,9 +128,7 @@ def read_tree(spark: SparkSession, path: str, max_bytes: int = 1_000_000, limit:
     it is the caller's bound on a tree, not a guard against size.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    root = path.rstrip("/")
-    inner = F.regexp_replace("path", "^.*?" + root.replace("\\", "/").replace(".", r"\.") + "/", "")
-    rows = files.select(inner.alias("path"), F.col("length").alias("bytes"), "content")
+    rows = files.select(_inside(path).alias("path"), F.col("length").alias("bytes"), "content")
     wanted = F.col("path").isin(required or [])
     rows = rows.where(wanted | (F.lower("path").rlike(SOURCE_FILE) & ~F.col("path").rlike(SKIPPED) & (F.col("bytes") <= max_bytes)))
     if limit is None:

@@ -11,6 +11,8 @@ from pairlens.operators import project as P
 from pairlens.operators import regions as R
 from pairlens.operators import state as S
 from pairlens.operators.batches import halving
+from pairlens.operators.retrieval import batch_encoder
+from pairlens.plans.scan import with_applicability, with_boundary
 from pairlens.sources import landed, sinks
 
 FILES = "project string, path string, content string"
@@ -149,3 +151,24 @@ def test_halving():
 def test_unknown_arm(spark):
     with pytest.raises(KeyError):
         R.eligible(spark.range(1).withColumn("granularity", F.lit("block")), "no_such")
+
+
+def test_batch_encoder(spark):
+    def run(texts):
+        if len(texts) > 2:
+            raise MemoryError
+        return [[float(len(t)), 1.0] for t in texts]
+
+    df = spark.createDataFrame([("a",), ("bcd",), (None,), ("",), ("ef",)], "t string").coalesce(1).select("t", batch_encoder(run)(F.col("t")).alias("v"))
+    assert [r["v"] for r in df.collect()] == [[1.0, 1.0], [3.0, 1.0], [0.0, 1.0], [0.0, 1.0], [2.0, 1.0]]
+
+
+def test_with_applicability(spark, tmp_path):
+    corpus = spark.createDataFrame([("o/r", "x.js", "f", "c", "old", "new", "A", "used"), ("o/r", "x.js", "f", "c", "old", "new", "B", "gone"), ("o/s", "y.js", "g", "d", "old", "new", "C", None)], "repo string, path string, function string, fix string, vulnerable string, patched string, advisory string, package string")
+    ids = {r["repo"]: r["boundary"] for r in with_boundary(corpus).collect()}
+    findings = spark.createDataFrame([("a.js", ids["o/r"], 1), ("a.js", ids["o/r"], 2), ("a.js", ids["o/s"], 3)], "path string, boundary string, n int")
+    (tmp_path / "a.js").write_text("require('used')")
+    (tmp_path / "package.json").write_text(json.dumps({"dependencies": {"used": "1"}}))
+    files = landed.read_tree(spark, str(tmp_path)).select("path", F.col("content").cast("string").alias("content")).unionByName(landed.read_project(spark, str(tmp_path)))
+    got = {r["n"]: r["packages"] for r in with_applicability(findings, corpus, files).collect()}
+    assert got == {1: ["gone:unknown", "used:confirmed"], 2: ["gone:unknown", "used:confirmed"], 3: []}
