@@ -1,8 +1,28 @@
 """What the driver holds while near copies are linked."""
 
+from itertools import combinations
+
+import pytest
+
+from pairlens.llm import simhash
 from pairlens.plans import scratch
 
 
+@pytest.mark.parametrize("bits", [1, 2])
+def test_points_are_those_within_so_many_bits(spark, bits):
+    fps = [0, -1, 1 << 62, -(1 << 63), 123456789]
+    df = spark.createDataFrame([(x,) for x in fps], "fp long").select("fp", simhash._points(bits).alias("p"))
+    masks = [sum(1 << b for b in c) for k in range(bits + 1) for c in combinations(range(64), k)]
+    for fp, points in df.collect():
+        assert sorted(points) == sorted(simhash._signed((fp & ((1 << 64) - 1)) ^ m) for m in masks)
+
+
+def test_plan_of_links_stays_small(spark):
+    df = simhash.links(spark.createDataFrame([(1,), (3,)], "fp long"))
+    # twice 2081 numbers were in it
+    assert len(df._jdf.queryExecution().logical().toString()) < 20_000 and {tuple(x) for x in df.collect()} == {(1, 3)}
+
+
 def test_long_runs_have_the_driver_collect(spark, monkeypatch):
     scratch.tidy(spark)
     monkeypatch.setattr(scratch, "TIDY_S", 3600.0)
