@@ -166,11 +166,33 @@ def bounded_selection(rows: DataFrame, group: list[str], order: list, weight: st
     return chosen.where(keep | required if required is not None else keep)
 
 
-def nearest_control(cases: DataFrame, controls: DataFrame, group: str, key: str, control: str, distance: Column) -> DataFrame:
-    """For each case the control of its group at the least distance, ties to the smaller key."""
-    rows = cases.join(controls, group).select(key, control, distance.alias("distance"))
-    best = rows.groupBy(key).agg(F.min(F.struct("distance", control)).alias("b"))
-    return best.select(key, F.col(f"b.{control}").alias(control), F.col("b.distance").alias("distance"))
+def nearest_control(cases: DataFrame, controls: DataFrame, group: str, key: str, control: str, value: str, kind: str, width: int, weight: int) -> DataFrame:
+    """For each case the control of its group at the least distance, ties to the smaller key.
+
+    The distance is the difference of ``value`` in whole ``width`` plus ``weight`` times that of ``kind``, of which a group
+    has few; both are integers.  It is null where a value is, and such controls come last.
+
+    No pairs are made: for each kind the nearest values on both sides of a case's value give the least distance, and the
+    controls at that distance have one of ``2 * width`` values, which are looked up.  Windows run over distinct values.
+    """
+    known = controls.select(group, control, F.col(kind).cast("long").alias("_k"), F.col(value).cast("long").alias("_m"))
+    asking = cases.select(key, group, F.col(value).cast("long").alias("_n"), F.col(kind).cast("long").alias("_d"))
+    points = known.where("_m IS NOT NULL").groupBy(group, "_k", "_m").agg(F.min(control).alias(control))
+    asked = asking.select(group, "_n", "_d").dropna().distinct()
+    wanted = asked.select(group, "_n").distinct().join(points.select(group, "_k").distinct(), group)
+    marks = wanted.select(group, "_k", F.col("_n").alias("_v"), F.lit(None).cast("long").alias("_m"), F.lit(True).alias("_asked"))
+    marks = marks.union(points.select(group, "_k", "_m", "_m", F.lit(False))).groupBy(group, "_k", "_v").agg(F.max("_m").alias("_m"), F.max("_asked").alias("_asked"))
+    rows = Window.partitionBy(group, "_k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sides = marks.withColumn("_below", F.max("_m").over(rows.orderBy("_v"))).withColumn("_above", F.min("_m").over(rows.orderBy(F.desc("_v")))).where("_asked")
+    near = sides.select(group, "_k", F.col("_v").alias("_n"), F.expr(f"least(_v - _below, _above - _v) div {width}").alias("_q"))
+    each = asked.join(near, [group, "_n"]).withColumn("_t", F.col("_q") + weight * F.abs(F.col("_d") - F.col("_k")))
+    best = each.groupBy(group, "_n", "_d").agg(F.min("_t").alias("_t"), F.collect_list(F.struct("_t", "_k", "_q")).alias("_all"))
+    best = best.select(group, "_n", "_d", "_t", F.inline(F.expr("transform(filter(_all, x -> x._t = _t), x -> struct(x._k AS _k, x._q AS _q))")))
+    spots = F.expr(f"concat(sequence(_n + _q * {width}, _n + _q * {width} + {width - 1}), sequence(_n - _q * {width} - {width - 1}, _n - _q * {width}))")
+    found = best.select(group, "_n", "_d", "_t", "_k", F.explode(spots).alias("_m")).join(points, [group, "_k", "_m"]).groupBy(group, "_n", "_d", "_t").agg(F.min(control).alias("_found"))
+    least = known.groupBy(group).agg(F.min(control).alias("_least"))
+    chosen = asking.join(least, group).join(found, [group, "_n", "_d"], "left").select(key, F.struct(F.col("_t").isNull(), "_t", F.coalesce("_found", "_least").alias("_c")).alias("_b"))
+    return chosen.groupBy(key).agg(F.min("_b").alias("_b")).select(key, F.col("_b._c").alias(control), F.col("_b._t").alias("distance"))
 
 
 def complete_pairs(rows: DataFrame, pair: str, label: str, labels: tuple[str, str], accepted: str, source: str) -> DataFrame:

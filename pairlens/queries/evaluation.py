@@ -154,10 +154,9 @@ d AS (SELECT doc_id, control_id, abs(n_chars - m) // 20 + 100 * abs(doc_id % 10
 SELECT doc_id, control_id, distance FROM d QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY distance, control_id) = 1""")
 def nearest_control(t: Tables):
     d = t.documents.join(t.labels, "doc_id")
-    a = d.where("toxic = 1").select("doc_id", "lang", "n_chars")
-    b = d.where("toxic = 0").select(F.col("doc_id").alias("control_id"), "lang", F.col("n_chars").alias("m"))
-    distance = F.floor(F.abs(F.col("n_chars") - F.col("m")) / 20) + 100 * F.abs(F.col("doc_id") % 10 - F.col("control_id") % 10)
-    return E.nearest_control(a, b, "lang", "doc_id", "control_id", distance)
+    d = d.select("doc_id", "lang", "n_chars", "toxic", (F.col("doc_id") % 10).alias("digit"))
+    a, b = d.where("toxic = 1"), d.where("toxic = 0").withColumnRenamed("doc_id", "control_id")
+    return E.nearest_control(a, b, "lang", "doc_id", "control_id", "n_chars", "digit", 20, 100)
 
 
 @query("""
