@@ -100,7 +100,8 @@ def learn_dictionaries(labelled: DataFrame, lang_col: str = "lang", text_col: st
     drawn = F.filter(places, lambda i: F.pmod(F.xxhash64("h", i), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
     passages = known.select("lang", "h", "text", F.explode(drawn).alias("i")).select("lang", "h", "i", F.xxhash64("h", "i").alias("key"), F.substr("text", F.col("i") * passage + 1, F.lit(passage)).alias("text"))
     out: dict[str, bytes] = {}
-    for r in passages.groupBy("lang", "h", "i", "key").agg(F.min("text").alias("text")).orderBy("key", "h", "i").toLocalIterator():
+    # at once, as a local iterator runs a job for each partition
+    for r in passages.groupBy("lang", "h", "i", "key").agg(F.min("text").alias("text")).orderBy("key", "h", "i").collect():
         if len(out.setdefault(r["lang"], b"")) < size:
             out[r["lang"]] += letters_of(r["text"].encode()) + b" "
     return {k: v[:size] for k, v in out.items() if len(v) >= 8}
